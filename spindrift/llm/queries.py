@@ -7,6 +7,7 @@ import importlib
 #: Module of each query.
 _OF = {
     "near_duplicates": ["p7_found", "p7_groups"],
+    "personal_data": ["p2_found", "p2_redacted"],
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"spindrift.llm.{module}"), name) for module, names in _OF.items() for name in names}
