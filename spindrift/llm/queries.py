@@ -6,8 +6,11 @@ import importlib
 
 #: Module of each query.
 _OF = {
+    "splits": ["p1_found", "p1_splits"],
     "near_duplicates": ["p7_found", "p7_groups"],
     "personal_data": ["p2_found", "p2_redacted"],
+    "defective_pairs": ["p3_found", "p3_labels"],
+    "truncation": ["p6_found", "p6_rates"],
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"spindrift.llm.{module}"), name) for module, names in _OF.items() for name in names}
