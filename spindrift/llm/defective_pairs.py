@@ -32,7 +32,7 @@ STOP = {
     "en": "the of and is in to what how which that for with are an by from on it be as at or this when why would does was has not can",
     "es": "el los las de del que en un una por con para como qué cómo se si también sin al es su entre hay después primero",
     "fr": "le les de des du que et en une par pour avec comment dans sur est quelles quels il aussi sans au aux si puis enfin",
-    "pt": "os de da dos das que em um uma por com para como se também sem ao é na nas quais são depois não mesmo havendo entre primeiro",
+    "pt": "o e os de da dos das que em um uma por com para como se também sem ao é na nas quais são depois não mesmo havendo entre primeiro",
     "de": "der die das den dem des und ist zu ein eine einer wie von mit für auf sie nicht wenn zuerst dann welche auch ohne zur zum nennen hat",
     "id": "yang dan di ke dari untuk dengan pada apa bagaimana itu ini adalah dalam lalu jika juga harus tanpa atau sebagai oleh antara peran",
 }
@@ -41,8 +41,8 @@ LABELS = {
     "frage", "antwort", "réponse", "resposta", "pergunta", "pertanyaan", "jawaban", "task", "your", "of", "course", "again", "repeat", "i", "repeated", "text",
 }
 DECLINES = re.compile(
-    r"(?:\b(?:i|we)\b(?:['’](?:m|d|ll|re))?[^.?!,;]{0,24}\b(?:can(?:no|['’]?t)|can not|unable|not able|won['’]?t|will not|rather not|must|have to|prefer not|do not feel|don['’]t feel|not allowed|not permitted|refuse)\b[^.?!]{0,40}\b(?:answer|help|assist|comply|decline|refuse|provide|rewrite|produce|respond|do this|do that|process|discuss\w*|go into|touch|turn|comfortable|able to|offer|engage|continue|fulfil\w*)\b"
-    r"|\b(?:sorry|unfortunately|apolog\w+|regrettabl[ey])\b[^.?!]{0,30}\b(?:can(?:no|['’]?t)|unable|won['’]?t|will not|off limits)\b"
+    r"(?:\b(?:i|we)\b(?:['’](?:m|d|ll|re))?[^.?!,;]{0,24}\b(?:can(?:not|['’]?t)|can not|unable|not able|won['’]?t|will not|rather not|must|have to|prefer not|do not feel|don['’]t feel|not allowed|not permitted|refuse)\b[^.?!]{0,40}\b(?:answer|help|assist|comply|decline|refuse|provide|rewrite|produce|respond|do this|do that|process|discuss\w*|go into|touch|turn|comfortable|able to|offer|engage|continue|fulfil\w*)\b"
+    r"|\b(?:sorry|unfortunately|apolog\w+|regrettabl[ey])\b[^.?!]{0,30}\b(?:can(?:not|['’]?t)|unable|won['’]?t|will not|off limits)\b"
     r"|\bunable to (?:process|comply|help|answer|assist)\b|\b(?:would be|is|am|are) (?:inappropriate|off limits)\b"
     r"|\b(?:request declined|content withheld|withheld by|off limits for me|no rewrite of|prevent me|outside what i am allowed|not something i can|let us talk about something else|would rather skip|i must (?:respectfully )?decline|i won['’]?t touch|have to refuse|can['’]?t answer|do not feel able|inappropriate for me)\b|^\W*(?:declined|refused)\W*$)",
     re.I,
