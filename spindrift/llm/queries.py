@@ -10,7 +10,12 @@ _OF = {
     "near_duplicates": ["p7_found", "p7_groups"],
     "personal_data": ["p2_found", "p2_redacted"],
     "defective_pairs": ["p3_found", "p3_labels"],
+    "chunking": ["p4_found", "p4_pieces"],
+    "quota_sample": ["p5_found", "p5_sample"],
     "truncation": ["p6_found", "p6_rates"],
+    "tokenize": ["p8_ids", "p8_roundtrip"],
+    "eval_leaks": ["p9_found", "p9_items"],
+    "toxic_content": ["p10_found", "p10_scores", "p10_rates"],
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"spindrift.llm.{module}"), name) for module, names in _OF.items() for name in names}
