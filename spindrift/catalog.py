@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from spindrift.plans import federated, metrics, quality, registry, similarity, sources, text  # noqa: F401
+
+QUERIES: dict = registry.QUERIES
+ORACLES: dict = registry.ORACLES
+COVERS: dict = registry.COVERS
 FLAGSHIP = "j11_protected_containment"
