@@ -53,7 +53,7 @@ def _rank_json(path: str) -> str:
 
 def _rank_map(path: str) -> F.Column:
     """The rank map as one foldable literal."""
-    return F.from_json(F.lit(_rank_json(path)), F.lit(f"array<map<string,int>>"))
+    return F.from_json(F.lit(_rank_json(path)), F.lit("array<map<string,int>>"))
 
 
 def _rank(ranks, piece) -> F.Column:
@@ -95,17 +95,18 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or ranks_path()
     ranks = _rank_map(path)
     docs = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
-    parts = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "word"))
-    parts = parts.withColumn("id", _rank(ranks, as_bytes(F.col("word"))))
-    parts = cut(parts)
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")
-    distinct = parts.filter("id is null").select("word").distinct().withColumn("ids", merge_word(ranks, as_bytes(F.col("word"))))
+    split = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
+    split = split.select("doc_id", "w", F.transform("w", lambda x: _rank(ranks, as_bytes(x))).alias("direct"))
+    unknown = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("pos"), F.when(F.get("direct", i).isNull(), x).alias("word"))), lambda u: u["word"].isNotNull())
+    base = cut(split.select("doc_id", "direct", unknown.alias("unknown")))
+    asked = base.select("doc_id", F.inline("unknown"))
+    distinct = asked.select("word").distinct().withColumn("ids", merge_word(ranks, as_bytes(F.col("word"))))
     copies = distinct.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALT)])))
-    merged = parts.filter("id is null").withColumn("salt", salt).join(copies, ["word", "salt"]).select("doc_id", "pos", "ids")
-    direct = parts.filter("id is not null").select("doc_id", "pos", F.array("id").alias("ids"))
-    lists = direct.union(merged).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    none = F.array().cast("array<int>")
-    return docs.select("doc_id").join(lists, "doc_id", "left").select("doc_id", F.coalesce("ids", none).alias("ids"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")
+    merged = asked.withColumn("salt", salt).join(copies, ["word", "salt"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "ids")).alias("merged"))
+    plain = F.filter(F.transform("direct", lambda x, i: F.struct(i.alias("pos"), F.when(x.isNotNull(), F.array(x)).alias("ids"))), lambda p: p["ids"].isNotNull())
+    ids = F.when(F.col("merged").isNull(), F.col("direct")).otherwise(F.flatten(F.transform(F.array_sort(F.concat(plain, F.col("merged"))), lambda p: p["ids"])))
+    return base.select("doc_id", "direct").join(merged, "doc_id", "left").select("doc_id", ids.alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
