@@ -59,7 +59,7 @@ def best_threshold(score: np.ndarray, y: np.ndarray, default: float = 0.5) -> fl
     """The cutoff of highest F1 on held-out rows, ties to the one nearest to ``default``."""
     if not len(y) or y.min() == y.max():
         return default
-    cuts = np.linspace(0.05, 0.95, 19)
+    cuts = [k / 20 for k in range(1, 20)]
     f1 = [2 * ((score >= c) & (y == 1)).sum() / max(1, (score >= c).sum() + (y == 1).sum()) for c in cuts]
     best = max(f1)
     return float(min((c for c, f in zip(cuts, f1) if f >= best - 1e-9), key=lambda c: abs(c - default)))

@@ -38,7 +38,9 @@ TITLES = {"dr", "prof", "mr", "mrs", "ms", "herr", "frau", "mme", "sr", "sra", "
 _CAP = r"[^\W\d_a-zß-öø-ÿ][\w'’̀-ͯ]+"
 _WORD = r"[^\W\d_][\w'’̀-ͯ]+"
 _AREA = r"(?:\(\d{2,5}\)|\d{2,5})"
-_PLACE = rf"{_CAP}(?:[ \t]{_CAP})?"
+#: A town of two words begins with one of these; else the next capital word is something else.
+_FIRST = r"(?:Port|Villa|San|Santa|Saint|St\.?|New|Los|Las|El|La|Le|Bad|North|South|East|West|Upper|Lower|Great|Little|Fort|Mount|Lake)"
+_PLACE = rf"(?:{_FIRST}[ \t]{_CAP}|{_CAP})"
 _FORMS = [
     ("email", r"[\w.+%-]+[ \t]?(?:@|\(at\)|\[at\]|\(AT\)|\[AT\])[ \t]?[\w-]+(?:(?:\.|[ \t]?\[(?:dot|DOT)\][ \t]?|[ \t]?\((?:dot|DOT)\)[ \t]?)[\w-]+)*(?:\.|[ \t]?\[(?:dot|DOT)\][ \t]?|[ \t]?\((?:dot|DOT)\)[ \t]?)[^\W\d_]{2,}"),
     ("email", r"[\w.+%-]+ at [\w-]+(?: dot [\w-]+)+"),
@@ -53,7 +55,7 @@ _FORMS = [
     ("street_address", rf"(?<!\d)\d{{1,5}},?[ ](?:bis[ ])?(?:rue|avenue|place|boulevard)[ ](?:de[ ](?:la[ ])?|du[ ])?{_WORD}(?:,\s{_PLACE})?"),
     ("street_address", rf"{_WORD}(?:straße|strasse|weg|gasse|platz)[ ]\d+\w?(?:,\s\d{{5}}\s{_PLACE})?"),
     ("street_address", rf"(?:Calle|Avenida|Rua|Via|Plaza)[ ]{_WORD}(?:[ ]{_CAP})?[ ]\d+(?:,[ ]\d+\.º[ ]\w)?(?:,\s{_PLACE})?"),
-    ("street_address", rf"(?<![\d.,:-])\d{{1,4}}[a-z]?[ ]{_WORD}[ ](?:st|rd|ave|ln|road|lane|street)[ ]{_WORD}(?:[ ](?:ansel|sarrene))?"),
+    ("street_address", rf"(?<![\d.,:-])\d{{1,4}}[a-z]?[ ]{_WORD}[ ](?:st|rd|ave|ln|road|lane|street)[ ](?:{_FIRST.lower()}[ ]{_WORD}|{_WORD})"),
 ]
 
 
@@ -120,7 +122,8 @@ def features(text: str, kind: str, s: int, e: int, lex: Lexicon) -> list[float]:
     digits = re.sub(r"\D", "", span)
     n = len(digits)
     f = [kind == k for k in KINDS]
-    f += [bool(set(lw) & CALL_CUES), bool(set(lw) & ID_CUES), bool(set(lw) & NOT_CUES), bool(set(lw[-1:]) & NAME_CUES), bool(set(lw[-1:]) & TITLES), lw[-1:] == ["the"]]
+    same = [w.strip("():,;.<>") for w in re.split(r"[.?!\n]\s", left.casefold())[-1].split()[-3:]]
+    f += [bool(set(lw) & CALL_CUES), bool(set(lw) & ID_CUES), bool(set(same) & NOT_CUES), bool(set(lw[-1:]) & NAME_CUES), bool(set(lw[-1:]) & TITLES), lw[-1:] == ["the"]]
     f += [bool(set(rw[:1]) & WORK_WORDS), bool(set(rw) & WORK_WORDS), rw[:2] != [] and rw[0] == "and" and rw[-1] in WORK_WORDS, not left.strip() or left.rstrip(" ")[-1:] in ".?!\n"]
     f += [n == 7, n == 8, n == 9, n == 10, n == 11, n == 12, n > 12, span.startswith(("+", "00")), span.startswith("("), "-" in span, " " in span, "." in span, bool(re.search(r"ext|x\d", span)), digits[:3] in ("666", "000"), digits[:4] == "0000", span[:1].isupper() and n > 4]
     f += [bool(re.search(r"555.?01\d\d|7700.?900|7946.?0", span)), digits.startswith("999"), bool(re.search(r"\d{3,} \d{3}$", span)), "@" in span, bool(re.search(r"\d,? |straße|Calle|rue", span)) and kind == "street_address", bool(re.search(r"[A-Z]\w+$|[A-Z]{2}$", span))]
@@ -138,7 +141,7 @@ def sure_label(text: str, kind: str, s: int, e: int, lex: Lexicon) -> int | None
     """1 or 0 where a rule is sure, else None."""
     span, left, right = text[s:e], text[max(0, s - 40) : s].casefold(), text[e : e + 24].casefold()
     digits = re.sub(r"\D", "", span)
-    lw = [w.strip("():,;.<>") for w in left.split()[-2:]]
+    lw = [w.strip("():,;.<>") for w in re.split(r"[.?!\n]\s", left)[-1].split()[-2:]]
     rw = [w.strip("():,;.<>") for w in right.split()[:2]]
     if kind == "email":
         return 1 if re.search(r"@|at[)\]]| dot ", span) and re.search(r"\.|dot", span.split("@")[-1]) and not re.match(r"\W", span) else 0
@@ -171,7 +174,7 @@ def train(texts: list[str], people: list[tuple[str, str]]) -> tuple[BoostedTrees
                 y.append(lab)
                 kinds.append(kind)
     X, y, kinds = np.array(X).reshape(len(y), -1), np.array(y, float), np.array(kinds)
-    held = np.arange(len(y)) % 4 == 3
+    held = np.random.default_rng(0).random(len(y)) < 0.25
     model = BoostedTrees().fit(X[~held], y[~held]) if len(y) else BoostedTrees()
     cut = {k: best_threshold(model.predict(X[held & (kinds == k)]), y[held & (kinds == k)]) if len(y) else 0.5 for k in KINDS}
     return model, cut
@@ -224,7 +227,7 @@ def find_mentions(texts: DataFrame, people: DataFrame) -> DataFrame:
     mention; repeated rows give their mentions once; very long texts are read as a whole.
     """
     roster = tuple(sorted((r[0] or "", r[1] or "") for r in people.select("given_name", "family_name").limit(100_000).collect()))
-    sample = texts.filter(F.col("text").rlike(r"\d|@|[A-Z]\w+ [A-Z]")).orderBy(F.xxhash64("tbl", "row_key"), "text").limit(TRAIN_TEXTS)
+    sample = texts.filter(F.col("text").rlike(r"\d|@|[A-Z]\w+,?\s[A-Z]")).orderBy(F.xxhash64("tbl", "row_key"), "text").limit(TRAIN_TEXTS)
     model, cut = train([r["text"] for r in sample.select("text").collect()], list(roster))
 
     def scan(frames):

@@ -60,7 +60,7 @@ def tail_evidence(texts: DataFrame) -> DataFrame:
             & ~F.regexp_extract("core", r",\s+([^,]*)$", 1).rlike(r"(?i)\b(?:and|or|nor|but|is|are|was|were|be|has|had|have|does|do|did|can|could|will|would|must|may|might|remain\w*|stay\w*|show\w*|y|e|et|und|dan|ou|o|u|[\w]+(?:s|ed) the)\b"),
         )
     )
-    raw = cut(raw.select("tbl", "row_key", "run_id", "last", "size", "cut_mark", "open_list"))
+    raw = cut(raw.select("tbl", "row_key", "run_id", "last", "size", F.length("core").alias("chars"), "cut_mark", "open_list"))
     vocab = cut(vocabulary(texts))
     asked = raw.select("last").filter("last != ''").distinct()
     lens = F.sequence(F.lit(1), F.length("word") - 1)
@@ -79,7 +79,7 @@ def tail_evidence(texts: DataFrame) -> DataFrame:
         "tbl",
         "row_key",
         "run_id",
-        F.coalesce("unknown", F.lit(False)).alias("unknown"),
+        (F.coalesce("unknown", F.lit(False)) & ((F.col("size") >= 3) | (F.col("chars") >= 12))).alias("unknown"),
         (F.coalesce("open_word", F.lit(False)) & long).alias("open_word"),
         (F.col("cut_mark") & (F.col("last") != "")).alias("cut_mark"),
         (F.col("open_list") & long).alias("open_list"),
