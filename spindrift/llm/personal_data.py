@@ -173,10 +173,12 @@ def train(texts: list[str], people: list[tuple[str, str]]) -> tuple[BoostedTrees
                 X.append(features(t, kind, s, e, lex))
                 y.append(lab)
                 kinds.append(kind)
-    X, y, kinds = np.array(X).reshape(len(y), -1), np.array(y, float), np.array(kinds)
+    if not y:
+        return BoostedTrees(), dict.fromkeys(KINDS, 0.5)
+    X, y, kinds = np.array(X), np.array(y, float), np.array(kinds)
     held = np.random.default_rng(0).random(len(y)) < 0.25
-    model = BoostedTrees().fit(X[~held], y[~held]) if len(y) else BoostedTrees()
-    cut = {k: best_threshold(model.predict(X[held & (kinds == k)]), y[held & (kinds == k)]) if len(y) else 0.5 for k in KINDS}
+    model = BoostedTrees().fit(X[~held], y[~held])
+    cut = {k: best_threshold(model.predict(X[held & (kinds == k)]), y[held & (kinds == k)]) for k in KINDS}
     return model, cut
 
 
