@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.plans import federated, metrics, quality, registry, similarity, sources, text  # noqa: F401
+from spindrift.plans import federated, metrics, quality, registry, rules, similarity, sources, text  # noqa: F401
 
 QUERIES: dict = registry.QUERIES
 ORACLES: dict = registry.ORACLES

@@ -97,7 +97,7 @@ with t as (select source, chunk_id, string_split_regex(trim(regexp_replace(min(t
 x as (select source, chunk_id, w, unnest(range(0,len(w),48)) i from t)
 select source, chunk_id, (i/48)::bigint as piece, least(64,len(w)-i)::bigint as words, md5(array_to_string(w[i+1:i+64],' ')) as h from x""")
 def word_windows(s, d):
-    t = table(s, d, "document_chunks").filter("text is not null").filter(F.col("text").rlike(r"^[ -~\n\t]+$"))
+    t = table(s, d, "document_chunks").filter("text is not null").filter(F.col("text").rlike(r"\A[ -~\n\t]+\z"))
     t = t.groupBy("source", "chunk_id").agg(F.min("text").alias("text"))
     return R.word_windows(t, ["source", "chunk_id"], 64, 16)
 

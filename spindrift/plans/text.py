@@ -118,7 +118,7 @@ select distinct id, trim(regexp_replace(regexp_replace(source_question,'^(what i
 from predictions where source_question is not null and task='qa' and regexp_matches(source_question,'^[ -~]+$')""")
 def topic(s, d):
     q = F.regexp_replace("source_question", r"(?i)^(what is|what are|explain|describe|compare|list|name|state|why does|how would you adapt|show how|design|compose|assess the claim that|judge whether|do you agree that)\s+", "")
-    p = table(s, d, "predictions").filter("source_question is not null and task = 'qa'").filter(F.col("source_question").rlike("^[ -~]+$"))
+    p = table(s, d, "predictions").filter("source_question is not null and task = 'qa'").filter(F.col("source_question").rlike(r"\A[ -~]+\z"))
     return p.select("id", F.trim(F.regexp_replace(q, r"[?.!]+\s*$", "")).alias("topic")).distinct()
 
 
@@ -148,7 +148,7 @@ def forms(s, d):
 select distinct diag_id, trim(regexp_replace(regexp_replace(regexp_replace(raw_output,'<\|[a-z_]+\|>','','g'),'^\s*(Answer|Rewritten|Question|Here is the rewritten question|Certainly, see below\.?|Sure!)\s*:?\s*','','i'),'\s+',' ','g')) as cleaned
 from target_rewrite_diagnostic where raw_output is not null and regexp_matches(raw_output,'^[ -~\n]*$')""")
 def cleaned(s, d):
-    t = table(s, d, "target_rewrite_diagnostic").filter("raw_output is not null").filter(F.col("raw_output").rlike("^[ -~\n]*$"))
+    t = table(s, d, "target_rewrite_diagnostic").filter("raw_output is not null").filter(F.col("raw_output").rlike(r"\A[ -~\n]*\z"))
     c = F.regexp_replace("raw_output", r"<\|[a-z_]+\|>", "")
     c = F.regexp_replace(c, r"(?i)^\s*(Answer|Rewritten|Question|Here is the rewritten question|Certainly, see below\.?|Sure!)\s*:?\s*", "")
     return t.select("diag_id", F.trim(F.regexp_replace(c, r"\s+", " ")).alias("cleaned")).distinct()
