@@ -2,37 +2,62 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
-from spindrift.functions import vectors as V
 
-#: Query blocks are sent to every task; this is their size in rows.
-QUERY_BLOCK = 4096
-
-
-def _scored(queries: DataFrame, corpus: DataFrame, score) -> DataFrame:
-    """Every stated query against all rows, in blocks of queries joined to the corpus by block number."""
-    q = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), *[F.col(c).alias(f"q_{c}") for c in queries.columns if c == "label"])
-    blocks = q.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    c = corpus.withColumn("block", F.explode(F.array(*[F.lit(k).cast("long") for k in range(n)])))
-    return c.join(blocks, "block").filter(F.col("vec_id") != F.col("q")).withColumn("s", score(F.col("qe"), F.col("embedding")))
+#: Rows of a block of queries and of a block of the corpus; a task multiplies one of each.
+QUERY_BLOCK, CORPUS_BLOCK = 4096, 32_768
+
+
+def top_matches(queries: DataFrame, corpus: DataFrame, k: int, nearest: bool = False) -> DataFrame:
+    """(q, v, s, r): the k best rows of the corpus for every query, ties by id, the query itself left out.
+
+    queries, corpus: (vec_id, embedding). Both are cut into blocks by hash; every pair of blocks is
+    one matrix product in one task and sends k rows per query on, so neither side is broadcast and
+    no task sees more than two blocks. s is the dot product, or the squared distance if ``nearest``.
+    """
+    nq, nc = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-corpus.count() // CORPUS_BLOCK))
+    cols = ["vec_id", "embedding"]
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(*cols, block(nq).alias("qb")).withColumn("cb", each(nc))
+    c = corpus.select(*cols, block(nc).alias("cb")).withColumn("qb", each(nq))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"q": [], "v": [], "s": []}).astype({"q": "int64", "v": "int64"})
+        A, B, ids = np.stack(a["embedding"]).astype(float), np.stack(b["embedding"]).astype(float), b["vec_id"].to_numpy()
+        out = []
+        for x in range(0, len(A), 256):
+            S = A[x : x + 256] @ B.T
+            S = np.round((A[x : x + 256] ** 2).sum(1)[:, None] + (B**2).sum(1) - 2 * S, 5) if nearest else -np.round(S, 6)
+            for q_id, row in zip(a["vec_id"].to_numpy()[x : x + 256], S):
+                row = np.where(ids == q_id, np.inf, row)
+                edge = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
+                near = np.flatnonzero(row <= edge)
+                near = near[np.lexsort((ids[near], row[near]))][:k]
+                near = near[np.isfinite(row[near])]
+                out.append(pd.DataFrame({"q": q_id, "v": ids[near], "s": row[near]}))
+        return pd.concat(out).astype({"q": "int64", "v": "int64"})
+
+    x = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(best, "q long, v long, s double")
+    x = x.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("s", "v"))).filter(F.col("r") <= k)
+    return x if nearest else x.withColumn("s", -F.col("s"))
 
 
 def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(q, v, dist): the k rows of least squared distance of each query, ties by id."""
-    x = _scored(queries, corpus, lambda a, b: F.round(V.squared_l2(a, b), 5))
-    r = F.row_number().over(W.partitionBy("q").orderBy("s", "vec_id"))
-    return x.select("q", "vec_id", "s").withColumn("r", r).filter(F.col("r") <= k).select("q", F.col("vec_id").alias("v"), F.col("s").alias("dist"))
+    return top_matches(queries, corpus, k, nearest=True).select("q", "v", F.col("s").alias("dist"))
 
 
 def privacy_rerank(queries: DataFrame, corpus: DataFrame, pool: int, temperature: float, weight: float) -> DataFrame:
     """(q, v, risk, score, rank): cosine of the pool minus ``weight`` times its softmax over the pool."""
-    x = _scored(queries, corpus, lambda a, b: F.round(V.dot(a, b), 6)).select("q", F.col("vec_id").alias("v"), F.col("s").alias("c"))
-    x = x.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("c"), "v"))).filter(F.col("r") <= pool)
+    x = top_matches(queries, corpus, pool).select("q", "v", F.col("s").alias("c"))
     by = W.partitionBy("q")
     x = x.withColumn("e", F.exp((F.col("c") - F.max("c").over(by)) / temperature))
     x = x.withColumn("risk", F.col("e") / F.sum("e").over(by))
@@ -42,8 +67,8 @@ def privacy_rerank(queries: DataFrame, corpus: DataFrame, pool: int, temperature
 
 def retrieval_quality(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """One row (queries, hit_at_1, hit_at_3, mrr); a hit has the query's label."""
-    x = _scored(queries, corpus, lambda a, b: F.round(V.dot(a, b), 6))
-    x = x.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).filter(F.col("r") <= k)
+    x = top_matches(queries, corpus, k).select("q", "v", "r")
+    x = x.join(corpus.select(F.col("vec_id").alias("v"), "label"), "v").join(queries.select(F.col("vec_id").alias("q"), F.col("label").alias("q_label")), "q")
     hit = F.col("label") == F.col("q_label")
     g = x.groupBy("q").agg(F.max(F.when(hit & (F.col("r") <= 1), 1).otherwise(0)).alias("h1"), F.max(F.when(hit & (F.col("r") <= 3), 1).otherwise(0)).alias("h3"), F.coalesce(1.0 / F.min(F.when(hit, F.col("r"))), F.lit(0.0)).alias("rr"))
     return g.agg(F.count("*").alias("queries"), F.round(F.avg("h1"), 6).alias("hit_at_1"), F.round(F.avg("h3"), 6).alias("hit_at_3"), F.round(F.avg("rr"), 6).alias("mrr"))

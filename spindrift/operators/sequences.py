@@ -62,28 +62,38 @@ def sequence_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def merge_overlaps(chunks: DataFrame, most: int = 9000) -> DataFrame:
     """(source, merged, used) of chunks (source, page, chunk_id, text): texts in order, repeated heads dropped, shared word runs joined once.
 
-    Null pages sort as 0. The fold needs the order of one source; a source's text is cut at ``most`` characters, as the result is.
+    Null pages sort as 0. Repeated heads go before the shuffle's sort; the fold then streams over
+    sorted rows and keeps one source's text, at most ``most`` characters and the heads in it, so a
+    source with most of all rows needs no more memory than another.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, heads, used = "", set(), 0
-        for text in pdf.sort_values(["page", "chunk_id"])["text"]:
-            t = " ".join((text or "").split())
-            if not t or t[:280] in heads:
-                continue
-            heads.add(t[:280])
-            a, b = out.split()[-60:], t.split()
-            for k in range(min(len(a), len(b)), 7, -1):
-                if a[-k:] == b[:k]:
-                    t = " ".join(b[k:])
-                    break
-            out, used = (out + " " + t).strip(), used + 1
-            if len(out) >= most:
-                break
-        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "merged": [out[:most]], "used": [used]})
-
-    c = chunks.select("source", F.coalesce("page", F.lit(0)).alias("page"), "chunk_id", "text").dropDuplicates(["source", "page", "chunk_id"])
-    return c.groupBy("source").applyInPandas(fold, "source string, merged string, used long")
+    def fold(frames):
+        source, out, used = None, "", 0
+        for pdf in frames:
+            done = []
+            for s, text in zip(pdf["source"], pdf["text"]):
+                if s != source:
+                    if source is not None:
+                        done.append((source, out[:most], used))
+                    source, out, used = s, "", 0
+                if len(out) >= most or not (t := " ".join((text or "").split())):
+                    continue
+                a, b = out.split()[-60:], t.split()
+                for k in range(min(len(a), len(b)), 7, -1):
+                    if a[-k:] == b[:k]:
+                        t = " ".join(b[k:])
+                        break
+                out, used = (out + " " + t).strip(), used + 1
+            if done:
+                yield pd.DataFrame(done, columns=["source", "merged", "used"])
+        if source is not None:
+            yield pd.DataFrame([(source, out[:most], used)], columns=["source", "merged", "used"])
+
+    c = chunks.filter(F.col("source").isNotNull()).select("source", F.coalesce("page", F.lit(0)).alias("page"), "chunk_id", "text")
+    head = F.md5(F.left(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), F.lit(280)))
+    first = c.groupBy("source", head.alias("head")).agg(F.min_by("text", F.struct("page", "chunk_id")).alias("text"), F.min(F.struct("page", "chunk_id")).alias("at"))
+    parts = max(4, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return first.repartition(parts, "source").sortWithinPartitions("source", "at").select("source", "text").mapInPandas(fold, "source string, merged string, used long")
 
 
 def hashed_features(texts: DataFrame, size: int = 2048) -> DataFrame:

@@ -117,3 +117,22 @@ def test_sources(spark, tmp_path):
     assert io.check_manifest(h, h.withColumn("sha256", F.lit("0"))).first()["violation"] == "changed"
     with pytest.raises(ValueError):
         io.read_tasks(spark, str(tmp_path), "id string", ["nope"], {"qa"})
+
+
+def test_top_matches_over_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from spindrift.operators import retrieval as R
+
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(R, "CORPUS_BLOCK", 30)
+    rng = np.random.default_rng(1)
+    v = rng.integers(-2, 3, (200, 4)).astype(float)  # many ties
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {(r["q"], r["v"], r["r"]) for r in R.top_matches(df.filter("vec_id % 20 = 0"), df, 5).collect()}
+    want = set()
+    for q in range(0, 200, 20):
+        order = sorted((k for k in range(200) if k != q), key=lambda k: (-float(v[q] @ v[k]), k))[:5]
+        want |= {(q, k, i + 1) for i, k in enumerate(order)}
+    assert got == want
+    assert R.top_matches(df.limit(0), df, 5).count() == 0
