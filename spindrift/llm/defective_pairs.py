@@ -51,6 +51,8 @@ LEAD = re.compile(
     r"^\W*(?:i['’]?m (?:sorry|unable|afraid)|sorry|apolog\w+|i apologi[sz]e|regrettabl[ey]|unfortunately|as an? (?:ai|language|study|assistant|large)|hmm|to be safe|thank(?:s| you) for asking|after checking|my guidelines|it would be inappropriate|unable to|no, i|i (?:must|cannot|can['’]?t|won['’]?t|would rather|do not|don['’]?t|have to)|this is not|let us|declined|request|content withheld|can['’]?t|lo siento|no puedo|désolé\w*|je (?:ne peux|suis désolé)|desculpe|não posso|tut mir leid|ich kann|leider|maaf)\b",
     re.I,
 )
+#: A text without one of these pieces can't match DECLINES.
+_DECLINE_PIECES = ("can", "unable", "able to", "won", "will not", "rather", "must", "have to", "prefer", "feel", "allowed", "permitted", "refus", "declin", "withheld", "off limits", "no rewrite of", "prevent me", "outside what", "not something", "something else", "inappropriate")
 WORD = re.compile(r"[^\W_]+")
 _OF_WORD: dict[str, int] = {}
 LANGS = tuple(STOP)
@@ -103,7 +105,8 @@ def language(text: str) -> tuple[str | None, str | None]:
 def _votes(question: str | None, prediction: str | None) -> dict[str, int]:
     """Votes of all text voters: 1, 0 or -1 (abstain)."""
     p, q = prediction or "", question or ""
-    pw = WORD.findall(p.lower())
+    low = p.lower()
+    pw = WORD.findall(low)
     v = {"no_letter": int(not pw), "placeholder": int(not pw or len(pw) <= 2 and " ".join(pw) in PLACEHOLDERS)}
     qw = WORD.findall(q.lower())
     same = same_set = 0
@@ -120,8 +123,7 @@ def _votes(question: str | None, prediction: str | None) -> dict[str, int]:
             same = int(n > 0 and len(rest) <= 8 and all(w in LABELS for w in rest))
             same_set = int(n > 0 and set(pw) - LABELS == set(qw) - LABELS)
     v["same_words"], v["same_set"] = (same, same_set) if qw else (-1, -1)
-    early = p[:400]
-    v["declines"] = int(bool(DECLINES.search(early)) and not early.rstrip().endswith("?"))
+    v["declines"] = int(any(x in low for x in _DECLINE_PIECES) and not p.rstrip().endswith("?") and bool(DECLINES.search(p)))
     v["stands_off"] = int(bool(LEAD.match(p)))
     v["shape"] = int(bool(pw) and not p.rstrip().endswith("?"))
     if not qw or len(pw) < 4:

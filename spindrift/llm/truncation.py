@@ -26,15 +26,20 @@ END_MARKS = r"[.?!。？！؟।…:)\]}]"
 TOKEN = r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}]+)?"
 
 
+def _closed(text) -> F.Column:
+    """Whether a text ends in a sentence's mark, and not in dots; most do, and need no further look."""
+    return F.substring(text, -1, 1).isin(".", "?", "!") & ~F.endswith(text, F.lit(".."))
+
+
 def _core(text) -> F.Column:
-    return F.regexp_replace(text, TRAILER, "")
+    return F.when(_closed(text), text).otherwise(F.regexp_replace(text, TRAILER, ""))
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
     """(word, n, ended): how often a word occurs before the last word of a text or before an end mark, and the latter alone."""
     token = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"{TOKEN}(?:[.?!]|(?=[^\p{{L}}\p{{M}}\p{{N}}.?!]))"), F.lit(0))).alias("token")
     # The last word has no following character once the trailer is gone, so an unmarked last word isn't counted.
-    words = texts.select(F.regexp_replace("text", TRAILER, "").alias("text")).select(token)
+    words = texts.select(_core(F.col("text")).alias("text")).select(token)
     ended = F.col("token").rlike(r"[.?!]$")
     counted = words.groupBy("token").agg(F.count("*").alias("n"))
     return counted.select(F.regexp_replace("token", r"[.?!]$", "").alias("word"), "n", F.when(ended, F.col("n")).otherwise(0).alias("e")).groupBy("word").agg(F.sum("n").alias("n"), F.sum("e").alias("ended"))
@@ -47,7 +52,7 @@ def tail_evidence(texts: DataFrame) -> DataFrame:
     """
     words = F.size(F.split(F.trim("core"), r"\s+"))
     raw = (
-        texts.filter(F.col("text").isNotNull())
+        texts.filter(F.col("text").isNotNull() & ~_closed(F.col("text")))
         .withColumn("core", _core(F.col("text")))
         .filter((F.length("core") > 0) & (~F.col("core").rlike(END_MARKS + "$") | F.col("core").rlike(r"(?:\w|,) ?(?:\.\.\.|…)$")))
         .dropDuplicates(["tbl", "row_key"])
