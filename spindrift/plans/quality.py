@@ -158,7 +158,7 @@ def cross_templates(s, d):
     return p.groupBy("template").agg(F.countDistinct("run_id").alias("runs"), F.count("*").alias("n")).filter("runs > 1")
 
 
-@query("p09_usable", "P9 P10 P11 T21 R50", r"""
+@query("pr09_usable", "P9 P10 P11 T21 R50", r"""
 with p as (select distinct id, source_question q from predictions), r as (select case when q is null or trim(q)='' then 'missing' when len(regexp_extract_all(q,'[^\s]+'))<6 then 'too_short' when len(regexp_extract_all(q,'[^\s]+'))>30 then 'too_long' when length(q)-length(replace(q,'?',''))>3 then 'many_questions' when not regexp_matches(trim(q),'[.?!]$') then 'incomplete' else 'ok' end reason from p)
 select reason, count(*)::bigint as n from r group by 1""")
 def usable(s, d):
@@ -168,7 +168,7 @@ def usable(s, d):
     return table(s, d, "predictions").select("id", "source_question").distinct().groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("p12_validated", "P12 P20 P21 T27 M11", """
+@query("pr12_validated", "P12 P20 P21 T27 M11", """
 with p as (select distinct id, prediction r, format_valid f, topic_preserved t, trivial_transform v, cognitive_valid c from predictions where task='bloom_rewrite'),
 x as (select id, list_filter([case when regexp_matches(coalesce(r,''),'^ *$') then 'empty_output' end, case when not coalesce(f,false) then 'invalid_question_format' end, case when not coalesce(t,false) then 'topic_drift' end, case when coalesce(v,false) then 'trivial_verb_swap' end, case when not coalesce(c,false) then 'cognitive_invalid' end], x -> x is not null) l from p)
 select id, len(l)=0 as accepted, array_to_string(l,';') as reasons from x""")
@@ -179,7 +179,7 @@ def validated(s, d):
     return p.select("id", (F.size(found) == 0).alias("accepted"), F.array_join(found, ";").alias("reasons"))
 
 
-@query("p17_repeated_wording", "P17 P26 P16", f"""
+@query("pr17_repeated_wording", "P17 P26 P16", f"""
 with p as (select distinct diag_id, cleaned_output text from target_rewrite_diagnostic where cleaned_output is not null), w as (select diag_id, {_TOK} w from p), g as (select diag_id, array_to_string(w[i:i+3],' ') gram, i from (select diag_id, w, unnest(case when len(w)>=4 then range(1,len(w)-2) else [] end) i from w)), r as (select diag_id, gram from g group by all having max(i)-min(i)>=6)
 select diag_id, count(*)::bigint as repeats from r group by 1""")
 def repeated(s, d):

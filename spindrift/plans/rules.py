@@ -58,7 +58,7 @@ def _case(rules):
     return "case lvl " + " ".join(f"when '{k}' then regexp_matches(p,'{v}')" for k, v in rules.items()) + " else false end"
 
 
-@query("p18_task_structure", "P18 P19 P14 R45 R49", f"select id, case when {_case(FORBIDDEN)} then 'forbidden' when not {_case(REQUIRED)} then 'no_pattern' else 'ok' end as verdict from {_REWRITES}")
+@query("pr18_task_structure", "P18 P19 P14 R45 R49", f"select id, case when {_case(FORBIDDEN)} then 'forbidden' when not {_case(REQUIRED)} then 'no_pattern' else 'ok' end as verdict from {_REWRITES}")
 def task_structure(s, d):
     verdict = F.when(_by_level(FORBIDDEN, F.col("p")), "forbidden").when(~_by_level(REQUIRED, F.col("p")), "no_pattern").otherwise("ok")
     return _rewrites(s, d).select("id", verdict.alias("verdict"))
@@ -119,7 +119,7 @@ def failures(s, d):
     return p.select("id", F.array_join(F.array_compact(found), ";").alias("failures"))
 
 
-@query("p03_output_screen", "P3 R30 R54 T5 T17 T18", f"""
+@query("pr03_output_screen", "P3 R30 R54 T5 T17 T18", f"""
 with t as (select distinct turn_id, coalesce(content,'') text from chat_turns), w as (select turn_id, {_TOK} w, text from t),
 g8 as (select distinct turn_id from {_grams('t', 'turn_id', 8)} join (select distinct gram from {_grams('eval_items', 'item_id', 8)}) using(gram)),
 g5 as (select turn_id, avg((p.gram is not null)::int) c from {_grams('t', 'turn_id', 5)} a left join (select distinct gram from {_grams('eval_items', 'item_id', 5)}) p using(gram) group by 1),
@@ -209,7 +209,7 @@ def budget_ratio(s, d):
     return a.select("client", "planned", "actual", F.round(F.try_divide("actual", "planned"), 4).alias("ratio"), (3 * F.ceil(F.col("planned") / 64.0)).alias("steps"), F.sum("actual").over(W.partitionBy()).alias("total"))  # seven rows
 
 
-@query("p13_verbatim_rewrites", "P13 P11 T35")
+@query("pr13_verbatim_rewrites", "P13 P11 T35")
 def verbatim(s, d):
     """(id, ratio, verbatim): rewrites whose text after the first word is the question's, by difflib's ratio."""
     from spindrift.operators.sequences import sequence_ratio

@@ -150,7 +150,7 @@ _ARTIFACT = r"\buploaded\b|\bprotected\b|\bexam\b|\bquestion paper\b|\bpaper\b|\
 _RISK_SQL = "+".join(f"(case when regexp_matches(lower(c),'{p}') then 1 else 0 end)" for p in _RISK)
 
 
-@query("p01_screening", "P1 P2 P4 R30", f"""
+@query("pr01_screening", "P1 P2 P4 R30", f"""
 with t as (select distinct turn_id, coalesce(content,'') c from chat_turns), h as (select turn_id, c, {_RISK_SQL} hits, regexp_matches(lower(c),'{_ARTIFACT}') art from t),
 g as (select distinct h.turn_id from h join {_grams('chat_turns', 'turn_id', 8, 'content is not null').replace('lower(text)', 'lower(content)')} using(turn_id) join {_grams('eval_items', 'item_id', 8)} using(gram))
 select turn_id, case when trim(c)='' then 'empty_query' when hits>0 then 'reconstruction_intent_detected' when g.turn_id is not null then 'protected_span_in_query' else 'ok' end as reason, round(case when trim(c)='' then 1.0 else least(1.0,0.2*hits) end,6) as risk, art as names_artifact
@@ -162,7 +162,7 @@ def screening(s, d):
     return screen(t, table(s, d, "eval_items"), _RISK, _ARTIFACT)
 
 
-@query("p05_visible", "P5 P6", "select content_type, count(*)::bigint as documents, sum(case when access_level='public' then 1 else 0 end)::bigint as open_documents from documents group by 1")
+@query("pr05_visible", "P5 P6", "select content_type, count(*)::bigint as documents, sum(case when access_level='public' then 1 else 0 end)::bigint as open_documents from documents group by 1")
 def visible(s, d):
     return table(s, d, "documents").groupBy("content_type").agg(F.count("*").alias("documents"), F.count_if(F.col("access_level") == "public").alias("open_documents"))
 
