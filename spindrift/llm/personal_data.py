@@ -23,6 +23,8 @@ from spindrift.runtime import table
 KINDS = ("email", "phone", "identity_number", "street_address", "person_name")
 #: Texts from which the trees learn; a fixed bound, chosen by hash over all texts with a digit, @ or capital pair.
 TRAIN_TEXTS = 6000
+#: Bound of the roster, which is sent to every task.
+MAX_ROSTER = 100_000
 
 # Cue words.
 CALL_CUES = {"call", "number", "tel", "text", "helpline", "phone", "on", "use", "or", "mobile", "fax", "cell"}
@@ -228,7 +230,9 @@ def find_mentions(texts: DataFrame, people: DataFrame) -> DataFrame:
     people: (given_name, family_name), a roster of bounded size. Null or empty texts have no
     mention; repeated rows give their mentions once; very long texts are read as a whole.
     """
-    roster = tuple(sorted((r[0] or "", r[1] or "") for r in people.select("given_name", "family_name").limit(100_000).collect()))
+    roster = tuple(sorted((r[0] or "", r[1] or "") for r in people.select("given_name", "family_name").limit(MAX_ROSTER + 1).collect()))
+    if len(roster) > MAX_ROSTER:
+        raise ValueError("the roster exceeds the bound of what is sent to every task")
     sample = texts.filter(F.col("text").rlike(r"\d|@|[A-Z]\w+,?\s[A-Z]")).orderBy(F.xxhash64("tbl", "row_key"), "text").limit(TRAIN_TEXTS)
     model, cut = train([r["text"] for r in sample.select("text").collect()], list(roster))
 
