@@ -27,6 +27,8 @@ LEAST_SENTENCE, STOCK_ITEMS = 8, 3
 ERRORS = 0.2
 #: Three-word windows that must be hit within SPREAD words; a run with every sixth word altered keeps more.
 WINDOWS, SPREAD = 3, 60
+#: A stretch must also hold this many windows that at most RARE_ITEMS items share: items built on one pattern share its words, not their own.
+RARE_WINDOWS, RARE_ITEMS = 4, 2
 #: Bound of the items' text that is sent to every task.
 MAX_ITEM_CHARS = 20_000_000
 
@@ -36,26 +38,37 @@ _WORD = re.compile(r"[^\W_]+")
 _APOSTROPHE = re.compile(r"(?<=\w)['’`´](?=\w)")
 
 
-def normal_words(text: str) -> tuple[list[str], list[int]]:
-    """Words without markup, case, marks and line-break hyphens, and each word's offset in the text."""
-    cover = [m.span() for p in (_TAG, _BREAK) for m in p.finditer(text)]
+_ASCII_WORD = re.compile(r"[a-z0-9\x00]+")
+
+
+def normal_words(text: str, offsets: bool = True) -> tuple[list[str], list[int]]:
+    """Words without markup, case, marks and line-break hyphens, and each word's offset in the text if asked for."""
+    plain = text.isascii()
+    cover = [m.span() for m in _TAG.finditer(text)] if not plain or "<" in text or "&" in text else []
+    if "\n" in text and ("-" in text or "‐" in text):
+        cover += [m.span() for m in _BREAK.finditer(text)]
     cover.sort()
-    pieces, at, skip = [], 0, []
+    pieces, at, skip, done = [], 0, [], 0
     for s, e in cover:
         if s < at:
             continue
-        tag = text[s] in "<&"
-        pieces.append(text[at:s] + (" " if tag else ""))
-        skip.append((sum(map(len, pieces)), e))
+        piece = text[at:s] + (" " if text[s] in "<&" else "")
+        pieces.append(piece)
+        done += len(piece)
+        skip.append((done, e))
         at = e
     pieces.append(text[at:])
-    flat = _APOSTROPHE.sub("\x00", "".join(pieces)) if skip or "'" in text or "’" in text else text
+    flat = _APOSTROPHE.sub("\x00", "".join(pieces))
+    if plain and not offsets:
+        words = _ASCII_WORD.findall(flat.lower())
+        return ([w.replace("\x00", "") for w in words] if "\x00" in flat else words), []
     words, starts, k, shift = [], [], 0, 0
     for m in re.finditer(r"[^\W_\x00](?:[^\W_]|\x00)*", flat):
         while k < len(skip) and skip[k][0] <= m.start():
             shift = skip[k][1] - skip[k][0]
             k += 1
-        words.append(unicodedata.normalize("NFKC", m.group().replace("\x00", "")).casefold())
+        w = m.group().replace("\x00", "")
+        words.append(w.lower() if w.isascii() else unicodedata.normalize("NFKC", w).casefold())
         starts.append(m.start() + shift)
     return words, starts
 
@@ -93,7 +106,7 @@ class Items:
         """(item, offset in the text, share of errors) of every item found in a text."""
         if not text or self.empty:
             return []
-        words, starts = normal_words(text)
+        words, _ = normal_words(text, offsets=False)
         flat = " " + " ".join(words) + " "
         hits, at, seen = defaultdict(list), 0, 0
         for end, (size, own) in self.auto.iter(flat):
@@ -101,26 +114,27 @@ class Items:
             seen += flat.count(" ", at, start)
             at = start
             for i in own:
-                hits[i].append(seen)
-        out = []
+                hits[i].append((seen, len(own) <= RARE_ITEMS))
+        out, starts = [], None
         for i, pos in hits.items():
             if len(pos) < WINDOWS:
                 continue
             groups, g = [], [pos[0]]
             for p in pos[1:]:
-                if p - g[-1] > SPREAD // 3:
+                if p[0] - g[-1][0] > SPREAD // 3:
                     groups.append(g)
                     g = []
                 g.append(p)
             groups.append(g)
             best = None
             for g in groups:
-                if len(g) >= WINDOWS:
-                    a = max(0, g[0] - 20)
-                    if (r := self._aligned(i, words[a : g[-1] + 24])) and (best is None or r[0] < best[1]):
-                        best = (starts[min(len(starts) - 1, a + r[1])], r[0])
+                if len(g) >= WINDOWS and sum(rare for _, rare in g) >= RARE_WINDOWS:
+                    a = max(0, g[0][0] - 20)
+                    if (r := self._aligned(i, words[a : g[-1][0] + 24])) and (best is None or r[0] < best[1]):
+                        best = (a + r[1], r[0])
             if best:
-                out.append((i, *best))
+                starts = starts or normal_words(text)[1]
+                out.append((i, starts[min(len(starts) - 1, best[0])], best[1]))
         return out
 
     def _aligned(self, i: int, doc: list[str]) -> tuple[float, int] | None:
