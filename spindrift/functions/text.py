@@ -37,9 +37,16 @@ def token_set(c) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """n-grams as strings; empty when there are fewer than n words (sequence would run backwards)."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+    """n-grams as strings; empty when there are fewer than n words (sequence would run backwards).
+
+    The words are bound by an outer lambda, else they would be computed again for every n-gram.
+    """
+
+    def grams(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.when(F.size(w) >= n, each).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(words), grams), F.lit(0))
 
 
 def ngram_set(words: Column, n: int) -> Column:
