@@ -19,8 +19,11 @@ def gram_rows(df: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:
 
 
 def multiset_overlap(items: DataFrame, docs: DataFrame, top: int) -> DataFrame:
-    """Sum of the smaller counts over the item's length; the ``top`` documents of each item, ties by doc_id."""
-    a, b = term_counts(items, "item_id"), term_counts(docs, "doc_id").withColumnRenamed("n", "m")
+    """Sum of the smaller counts over the item's length; the ``top`` documents of each item, ties by doc_id.
+
+    Documents stay on their doc_id's task, so the pairs are added up without a shuffle of their shared terms.
+    """
+    a, b = term_counts(items, "item_id"), term_counts(docs.select("doc_id", "text").repartition("doc_id"), "doc_id").withColumnRenamed("n", "m")
     total = a.groupBy("item_id").agg(F.sum("n").alias("total"))
     pairs = a.join(b, "t").groupBy("item_id", "doc_id").agg(F.sum(F.least("n", "m")).alias("shared"))
     rank = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id"))

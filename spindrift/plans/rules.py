@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as X
 from spindrift.functions import vectors as V
 from spindrift.operators.similarity import gram_rows, term_counts
-from spindrift.plans.registry import query
+from spindrift.plans.registry import ORACLES, query
 from spindrift.plans.similarity import _grams
 from spindrift.plans.text import _TOK, _sql_list
 from spindrift.runtime import table
@@ -147,11 +147,20 @@ with i as (select distinct unnest({_TOK}) t from eval_items), p as (select list(
 d as (select doc_id, list_distinct(list_filter({_TOK}, x -> length(x)>=3 and not list_contains({_sql_list(X.CONCEPT_STOPWORDS)},x))) b from documents where text is not null and source='papers-final')
 select doc_id, len(b)::bigint as concepts, round(len(list_intersect(b,ps))/greatest(1,len(b))::double,6) as ratio from d, p""")
 def concept_ratio(s, d):
+    return _concept_ratio(table(s, d, "eval_items"), table(s, d, "documents").filter("source = 'papers-final'"))
+
+
+@query("t05_concept_ratio_all", "P3 T5 T13", ORACLES["t05_concept_ratio"].replace(" and source='papers-final'", ""))
+def concept_ratio_all(s, d):
+    """Over the documents of every source; the query above keeps to the one source of its SQL."""
+    return _concept_ratio(table(s, d, "eval_items"), table(s, d, "documents"))
+
+
+def _concept_ratio(items, docs):
     """The protected vocabulary is joined by term, so it never has to fit in one row."""
     keep = lambda w: (F.length(w) >= 3) & ~F.array_contains(X.array_of(X.CONCEPT_STOPWORDS), w)
-    p = term_counts(table(s, d, "eval_items"), "item_id").select("t", F.lit(1).alias("k")).distinct()
-    docs = table(s, d, "documents").filter("text is not null and source = 'papers-final'")
-    b = docs.select("doc_id", F.explode_outer(F.array_distinct(F.filter(X.tokens(F.col("text")), keep))).alias("t"))
+    p = term_counts(items, "item_id").select("t", F.lit(1).alias("k")).distinct()
+    b = docs.filter("text is not null").select("doc_id", F.explode_outer(F.array_distinct(F.filter(X.tokens(F.col("text")), keep))).alias("t"))
     return b.join(p, "t", "left").groupBy("doc_id").agg(F.count("t").alias("concepts"), F.round(F.sum(F.coalesce("k", F.lit(0))) / F.greatest(F.lit(1), F.count("t")), 6).alias("ratio"))
 
 

@@ -9,7 +9,7 @@ from spindrift.functions import text as X
 from spindrift.functions import vectors as V
 from spindrift.operators import retrieval as R
 from spindrift.operators import similarity as S
-from spindrift.plans.registry import query
+from spindrift.plans.registry import ORACLES, query
 from spindrift.plans.text import _TOK, _content_sql, _sql_list
 from spindrift.runtime import table
 
@@ -82,6 +82,12 @@ def lexical_rank(s, d):
     return R.lexical_rank(table(s, d, "eval_items"), table(s, d, "documents").filter("source = 'papers-final'"), 4)
 
 
+@query("j10_lexical_rank_all", "J10 N5 N6", ORACLES["j10_lexical_rank"].replace(" and source='papers-final'", ""))
+def lexical_rank_all(s, d):
+    """Over the documents of every source; the query above keeps to the one source of its SQL."""
+    return R.lexical_rank(table(s, d, "eval_items"), table(s, d, "documents"), 4)
+
+
 @query("a37_retrieval_quality", "A37 A38 P8", """
 with q as (select vec_id q, label l, embedding e from embeddings where vec_id%20=0),
 x as (select q.q, q.l=e.label hit, row_number() over(partition by q.q order by round(list_dot_product(q.e::double[],e.embedding::double[]),6) desc, e.vec_id) r from q join embeddings e on e.vec_id<>q.q qualify r<=10),

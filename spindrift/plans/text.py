@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
-from spindrift.plans.registry import query
+from spindrift.plans.registry import ORACLES, query
 from spindrift.runtime import table
 
 _TOK = "regexp_extract_all(lower(text),'[a-z0-9]+')"
@@ -113,6 +113,14 @@ def multiset_overlap(s, d):
     return f(table(s, d, "eval_items"), docs, 3)
 
 
+@query("t17_multiset_overlap_all", "T17 G3", ORACLES["t17_multiset_overlap"].replace(" where source='papers-final'", ""))
+def multiset_overlap_all(s, d):
+    """Over the documents of every source; the query above keeps to the one source of its SQL."""
+    from spindrift.operators.similarity import multiset_overlap as f
+
+    return f(table(s, d, "eval_items"), table(s, d, "documents"), 3)
+
+
 @query("t20_topic", "T20 T14", r"""
 select distinct id, trim(regexp_replace(regexp_replace(source_question,'^(what is|what are|explain|describe|compare|list|name|state|why does|how would you adapt|show how|design|compose|assess the claim that|judge whether|do you agree that)\s+','','i'),'[?.!]+\s*$','')) as topic
 from predictions where source_question is not null and task='qa' and regexp_matches(source_question,'^[ -~]+$')""")
