@@ -22,6 +22,8 @@ CONCEPT_ALIASES = {
 VALIDATION_STOPWORDS = "a an the of in on for to with and or is are be this that it its than more under what how why which who when where would should could can you your based understanding support answer show working provide relevant example following given determine please briefly clearly".split()
 LEVEL_VERBS = "define explain describe discuss list name state identify recall summarize interpret classify apply calculate compute solve analyze analyse compare contrast differentiate examine evaluate assess justify critique design develop create propose formulate construct suggest recommend categorize infer predict outline rank prioritize organize investigate inspect derive select".split()
 
+GROUPING_STOPWORDS = "a an the of in on for to with and or is are be this that it its than more under what how why which who when where would should could can you your based understanding support answer show working provide relevant example following given determine please briefly clearly one two three four five six seven eight nine ten define explain describe discuss list name state identify recall recognize summarize interpret classify apply calculate compute solve demonstrate analyze analyse compare contrast differentiate examine evaluate assess justify critique appraise design develop create propose formulate construct suggest recommend distinguish highlight outline give comment illustrate mention specify write draw revise participate derive predict choose select use implement elaborate using appropriate".split()
+
 
 def array_of(words) -> Column:
     return F.array(*[F.lit(w) for w in words])

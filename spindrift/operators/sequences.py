@@ -59,6 +59,113 @@ def sequence_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("ratio", f(F.col(a), F.col(b)))
 
 
+#: Rows of a block of texts; a task compares two blocks.
+TEXT_BLOCK = 4096
+#: Symbols of normalized texts (letters, blank, digits as one) and counts of each up to which they tell texts apart.
+_SYMBOLS, _COUNTED = 28, 16
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols 1 to 38 of normalized texts, one row each and 0 behind their ends, and the lengths."""
+    code = np.full(256, 38, np.uint8)
+    code[97:123], code[32], code[48:58] = np.arange(1, 27), 27, np.arange(28, 38)
+    size = np.array([len(t) for t in texts])
+    out = np.zeros((len(texts), size.max()), np.uint8)
+    out[np.arange(out.shape[1]) < size[:, None]] = code[np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8)]
+    return out, size
+
+
+def _letter_bits(codes: np.ndarray) -> np.ndarray:
+    """Counts of symbols in unary, so differing bits never exceed the characters that differ."""
+    n = np.stack([((codes == c) if c < _SYMBOLS else (codes >= c)).sum(1) for c in range(1, _SYMBOLS + 1)], 1)
+    return np.packbits(np.arange(_COUNTED) < n[:, :, None], axis=None).reshape(len(codes), -1).view(np.uint64)
+
+
+def _pair_bits(codes: np.ndarray) -> np.ndarray:
+    """A bit turned by every two neighbours; a character more or less turns three at most."""
+    row, at = np.nonzero(codes[:, 1:])
+    cell = (codes[row, at].astype(np.int64) * 39 + codes[row, at + 1]) * 40503 % 65537 % 2048
+    n = np.bincount(row * 2048 + cell, minlength=len(codes) * 2048)
+    return np.packbits((n & 1).astype(bool)).reshape(len(codes), -1).view(np.uint64)
+
+
+def _lcs_of_pairs(codes: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of rows a and b, all pairs at once by bit vectors."""
+    width = -(-int(size[a].max()) // 64)
+    rows, back = np.unique(a, return_inverse=True)
+    own = np.zeros((len(rows), width * 64), np.uint8)
+    own[:, : min(codes.shape[1], width * 64)] = codes[rows, : width * 64]
+    at = np.zeros((len(rows), 39, width), np.uint64)
+    for c in range(1, 39):
+        at[:, c] = np.packbits(own == c, axis=1, bitorder="little").view(np.uint64)
+    rest = np.full((width, len(a)), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for k in range(int(size[b].max())):
+        hit = at[back, codes[b, k]]
+        carry = np.zeros(len(a), np.uint64)
+        for w in range(width):
+            u = rest[w] & hit[:, w]
+            s = rest[w] + u
+            over = s < u
+            s += carry
+            over |= s < carry
+            rest[w], carry = s | (rest[w] & ~u), over.astype(np.uint64)
+    return width * 64 - np.bitwise_count(rest).sum(0, dtype=np.int64)
+
+
+def ratio_candidates(texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a < b, of texts whose common subsequence lets difflib's ratio reach ``least``; none is missing.
+
+    texts: (k string, text string), distinct k, no empty text. Texts are put in classes by the logarithm of their
+    length, so that pairs lie in one class or two next to each other; classes are cut into blocks by hash, and every
+    pair of blocks is one task, which compares counts of letters and then the common subsequence of what is left.
+    """
+    widest = math.log((2 - least) / least) + 1e-9  # of the longer to the shorter length
+    t = texts.withColumn("c", F.floor(F.log(F.length("text")) / widest).cast("int"))
+    blocks = {r["c"]: -(-r["n"] // TEXT_BLOCK) for r in t.groupBy("c").agg(F.count("*").alias("n")).collect()}  # one row per class
+    of = lambda c: F.coalesce(F.try_element_at(sizes, c), F.lit(0))
+    sizes = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]) if blocks else F.expr("cast(map() as map<int,int>)")
+    n, after, before = of(F.col("c")), of(F.col("c") + 1), of(F.col("c") - 1)
+    t = t.withColumn("h", F.pmod(F.xxhash64("k"), n).cast("int"))
+    upto = lambda m, f: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(m, F.lit(1)) - 1), lambda o: o < m), f)
+    cell = lambda c, x, d, y: F.struct(c.alias("c"), x.cast("int").alias("x"), d.alias("d"), y.cast("int").alias("y"))
+    c, h = F.col("c"), F.col("h")
+    cells = F.concat(
+        upto(n, lambda o: cell(c, F.least(h, o), c, F.greatest(h, o))),
+        upto(after, lambda o: cell(c, h, c + 1, o)),
+        upto(before, lambda o: cell(c - 1, o, c, h)),
+    )
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        k, text = pdf["k"].tolist(), pdf["text"].tolist()
+        codes, size = _codes(text)
+        letters, twos = _letter_bits(codes), _pair_bits(codes)
+        one = (pdf["cc"].iloc[0], pdf["x"].iloc[0]) == (pdf["d"].iloc[0], pdf["y"].iloc[0])
+        side = ((pdf["c"] == pdf["d"]) & (pdf["h"] == pdf["y"])).to_numpy()
+        left, right = (np.arange(len(k)),) * 2 if one else (np.flatnonzero(~side), np.flatnonzero(side))
+        found = [(np.zeros(0, np.int64),) * 2]
+        for x in range(0, len(left), 64):
+            i = left[x : x + 64]
+            far = np.zeros((len(i), len(right)), np.uint16)
+            for w in range(letters.shape[1]):
+                far += np.bitwise_count(letters[i, None, w] ^ letters[None, right, w])
+            p, q = np.nonzero(far <= np.floor((1 - least) * (size[i][:, None] + size[right]) + 1e-9))
+            p, q = i[p], right[q]
+            keep = np.bitwise_count(twos[p] ^ twos[q]).sum(1, dtype=np.int64) <= 3 * np.floor((1 - least) * (size[p] + size[q]) + 1e-9)
+            keep &= (p < q) if one else (p != q)
+            found.append((p[keep], q[keep]))
+        p, q = (np.concatenate(z) for z in zip(*found))
+        out = []
+        for x in range(0, len(p), 8192):
+            u, v = p[x : x + 8192], q[x : x + 8192]
+            near = 2.0 * _lcs_of_pairs(codes, size, u, v) / (size[u] + size[v]) >= least
+            out += [(k[y], k[z]) for y, z in zip(np.minimum(u, v)[near].tolist(), np.maximum(u, v)[near].tolist())]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    rows = t.select("k", "text", "c", "h", F.explode(cells).alias("cell")).select("k", "text", "c", "h", F.col("cell.c").alias("cc"), "cell.x", "cell.d", "cell.y")
+    return rows.groupBy("cc", "x", "d", "y").applyInPandas(join, "a string, b string")
+
+
 def merge_overlaps(chunks: DataFrame, most: int = 9000) -> DataFrame:
     """(source, merged, used) of chunks (source, page, chunk_id, text): texts in order, repeated heads dropped, shared word runs joined once.
 

@@ -9,7 +9,7 @@ from spindrift.functions import text as X
 from spindrift.operators import partition as P
 from spindrift.plans.registry import query
 from spindrift.plans.text import _TOK
-from spindrift.runtime import table
+from spindrift.runtime import cut, table
 
 _NORM = "trim(regexp_replace(lower(text),'[^a-z0-9]+',' ','g'))"
 
@@ -215,22 +215,54 @@ def dataset_hash(s, d):
     return table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.bit_xor(h).alias("h"))
 
 
-@query("j07_question_families", "J7 T35 G1")
-def families(s, d):
-    """(a, b, likeness, ratio): questions of one run alike by words, with difflib's ratio from the earlier to the later id."""
-    from spindrift.operators.sequences import sequence_ratio
+def _normal_questions(s, d):
+    """(question, k, text): every distinct question with its normalized form and the form's key."""
+    p = table(s, d, "predictions").filter("source_question is not null").select("source_question").distinct()
+    p = p.select(F.md5("source_question").alias("question"), X.normalize(F.col("source_question")).alias("text"))
+    return p.select("question", F.md5("text").alias("k"), "text")
+
+
+@query("j07_question_pairs", "J7 T35")
+def question_pairs(s, d):
+    """(a, b, likeness, ratio) of all normalized questions: alike by words, or by difflib's ratio from the earlier to the later key."""
+    return _question_pairs(_normal_questions(s, d).select("k", "text").distinct())
+
 
-    p = table(s, d, "predictions").filter("source_question is not null and run_id = 'run-fedprox-q4'").select("source_question").distinct()
-    w = p.select(F.md5("source_question").alias("k"), "source_question", X.content_tokens(F.col("source_question"), X.VALIDATION_STOPWORDS).alias("t")).filter(F.size("t") >= 4)
-    df = w.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+def _question_pairs(texts):
+    from spindrift.operators.sequences import ratio_candidates, sequence_ratio
+
+    w = cut(texts.select("k", "text", F.transform(X.content_tokens(F.col("text"), X.GROUPING_STOPWORDS), lambda t: F.xxhash64(t)).alias("t")))
+    many = w.filter(F.size("t") >= 4)
+    df = many.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     # Prefixes of the rarest tokens: alike sets share one of them.
-    toks = w.select("k", F.size("t").alias("m"), F.explode("t").alias("w")).join(df, "w")
+    toks = many.select("k", F.size("t").alias("m"), F.explode("t").alias("w")).join(df, "w")
     rank = F.row_number().over(W.partitionBy("k").orderBy("n", "w"))
-    pre = toks.withColumn("r", rank).filter(F.col("r") <= F.col("m") - F.ceil(0.8 * F.col("m")) + 1).select("k", "w")
-    c = pre.select(F.col("k").alias("a"), "w").join(pre.select(F.col("k").alias("b"), "w"), "w").filter("a < b").select("a", "b").distinct()
-    x = c.join(w.select(F.col("k").alias("a"), F.col("source_question").alias("qa"), F.col("t").alias("ta")), "a").join(w.select(F.col("k").alias("b"), F.col("source_question").alias("qb"), F.col("t").alias("tb")), "b")
-    x = x.withColumn("likeness", X.jaccard(F.col("ta"), F.col("tb"))).filter("likeness >= 0.8")
-    return sequence_ratio(x.select("a", "b", "likeness", X.normalize(F.col("qa")).alias("qa"), X.normalize(F.col("qb")).alias("qb")), "qa", "qb").select("a", "b", F.round("likeness", 6).alias("likeness"), F.round("ratio", 6).alias("ratio"))
+    pre = toks.withColumn("r", rank).filter(F.col("r") <= F.col("m") - F.ceil(0.8 * F.col("m")) + 1).select("k", "w", "m", "r")
+    ends = lambda x: [F.col("k").alias(x), "w", F.col("m").alias(f"m{x}"), F.col("r").alias(f"r{x}")]
+    # Tokens before, at and behind the place where two sets meet must still hold 4/9 of the sizes' sum.
+    reach = 1 + F.least(F.col("ma") - F.col("ra"), F.col("mb") - F.col("rb"))
+    met = pre.select(*ends("a")).join(pre.select(*ends("b")), "w").filter("a < b").withColumn("reach", reach + F.least("ra", "rb") - 1)
+    alike = met.filter(F.col("reach") >= F.col("ma").cast("double") * 0.8 / 1.8 + F.col("mb") * 0.8 / 1.8 - 1e-9).select("a", "b").distinct()
+    near = ratio_candidates(w.filter("text != ''").select("k", "text"), 0.9)
+    c = alike.withColumn("near", F.lit(False)).union(near.withColumn("near", F.lit(True))).groupBy("a", "b").agg(F.max("near").alias("near"))
+    x = c.join(w.select(F.col("k").alias("a"), F.col("text").alias("qa"), F.col("t").alias("ta")), "a").join(w.select(F.col("k").alias("b"), F.col("text").alias("qb"), F.col("t").alias("tb")), "b")
+    family = (F.size("ta") >= 4) & (F.size("tb") >= 4) & (F.col("likeness") >= 0.8)
+    x = x.withColumn("likeness", X.jaccard(F.col("ta"), F.col("tb"))).withColumn("family", family).filter("family or near")
+    gap = F.abs(F.length("qa") - F.length("qb"))
+    x = x.filter(F.col("family") | (F.col("likeness") >= 0.25) | (gap <= 12)).select("a", "b", "likeness", "family", "qa", "qb")
+    return sequence_ratio(x, "qa", "qb").filter("family or ratio >= 0.9").select("a", "b", F.round("likeness", 6).alias("likeness"), F.round("ratio", 6).alias("ratio"))
+
+
+@query("j07_question_families", "J7 T35 G1")
+def families(s, d):
+    """(question, family): components of the pairs; a family is named by its smallest question, and a question without a like one is its own."""
+    from spindrift.operators.components import components
+
+    q = _normal_questions(s, d)
+    node = lambda c: F.xxhash64(c)
+    edges = _question_pairs(q.select("k", "text").distinct()).select(node("a").alias("u"), node("b").alias("v"))
+    x = q.select("question", node("k").alias("node")).join(components(edges), "node", "left").select("question", F.coalesce("root", "node").alias("root"))
+    return x.join(x.groupBy("root").agg(F.min("question").alias("family")), "root").select("question", "family")
 
 
 @query("w07_merged_sources", "W7")

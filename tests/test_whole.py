@@ -1,11 +1,13 @@
 """Queries over whole tables: nothing is cut by source, run, label, language or character set before the work."""
 
+import difflib
+import hashlib
 import re
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 from spindrift import catalog
+from spindrift.functions import text as X
+from spindrift.operators import sequences
 from spindrift.runtime import table
 
 
@@ -26,3 +28,51 @@ def test_items_meet_the_documents_of_every_source(spark, data):
     for name in ("t17_multiset_overlap_all", "j10_lexical_rank_all"):
         assert catalog.QUERIES[name](spark, data).join(sources, "doc_id").filter("source != 'papers-final'").count(), name
     assert {r["doc_id"] for r in catalog.QUERIES["t05_concept_ratio_all"](spark, data).collect()} == set(docs)
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def question_pairs(norms):
+    """Pairs (i, j), i before j by key, that the reference's group_questions would join."""
+    out, stop = set(), set(X.GROUPING_STOPWORDS)
+    tokens = [{w for w in n.split() if len(w) > 2 and w not in stop} for n in norms]
+    for i, a in enumerate(norms):
+        for j in range(i + 1, len(norms)):
+            b, like = norms[j], likeness(tokens[i], tokens[j])
+            gap, family = abs(len(a) - len(b)), min(len(tokens[i]), len(tokens[j])) >= 4 and len(tokens[i] & tokens[j]) >= 3 and like >= 0.8
+            ratio = gap <= max(40, 0.45 * max(len(a), len(b), 1)) and not (like < 0.25 and gap > 12) and difflib.SequenceMatcher(None, a, b).ratio() >= 0.9
+            if family or ratio:
+                out.add((i, j))
+    return out
+
+
+def key(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def test_question_families_of_all_runs_by_words_and_by_sequence(spark, data, tmp_path, monkeypatch):
+    monkeypatch.setattr(sequences, "TEXT_BLOCK", 7)  # several blocks of one length
+    base = [r[0] for r in table(spark, data, "predictions").filter("source_question is not null").select("source_question").distinct().orderBy("source_question").limit(50).collect()]
+    damaged = [re.sub(r"([a-z]{2})([a-z])([a-z]{3,})", r"\1\2\2\3", q, count=7) for q in base[:12]]  # seven words of each
+    short = ["Why?", "why", "Name the fungi", "Name the fungus", "", "?", "12 apples", "12 apple", "x" * 300, "x" * 290 + "y" * 10]
+    rows = [(q, f"run-{k % 3}") for k, q in enumerate(dict.fromkeys([*base, *damaged, *short]))]
+    spark.createDataFrame(rows, "source_question string, run_id string").write.parquet(f"{tmp_path}/predictions.parquet")
+    norm = {q: " ".join(words(q)) for q, _ in rows}
+    norms = sorted(set(norm.values()), key=key)
+    want = question_pairs(norms)
+    got = {(r["a"], r["b"]) for r in catalog.QUERIES["j07_question_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(key(norms[i]), key(norms[j])) for i, j in want}
+    tokens = [{w for w in n.split() if len(w) > 2} for n in norms]
+    assert any(likeness(tokens[i], tokens[j]) < 0.8 for i, j in want)  # by the ratio alone
+    root = list(range(len(norms)))
+    for i, j in want:
+        root = [root[i] if x == root[j] else x for x in root]
+    families: dict = {}
+    for q, n in norm.items():
+        families.setdefault(root[norms.index(n)], set()).add(key(q))
+    found: dict = {}
+    for r in catalog.QUERIES["j07_question_families"](spark, str(tmp_path)).collect():
+        found.setdefault(r["family"], set()).add(r["question"])
+    assert found == {min(x): x for x in families.values()}
