@@ -71,6 +71,15 @@ def diversified(s, d):
     return a.select("label", "vec_id", F.row_number().over(W.partitionBy("label").orderBy(F.when(F.col("rn") == 1, 0).otherwise(1), "c", "vec_id")).cast("long").alias("place"))
 
 
+@query("w05_diversified_all", "W5", ORACLES["w05_diversified"].replace(" where t.rn<=30", ""))
+def diversified_all(s, d):
+    """Every row of a label gets its place; the query above keeps the 30 lowest ids, as its SQL does."""
+    e = table(s, d, "embeddings").select("label", "vec_id", "embedding")
+    head = e.groupBy("label").agg(F.min("vec_id").alias("first"), F.min_by("embedding", "vec_id").alias("h"))
+    a = e.join(F.broadcast(head), "label").withColumn("c", F.round(V.dot(F.col("embedding"), F.col("h")), 6))  # one row per label
+    return a.select("label", "vec_id", F.row_number().over(W.partitionBy("label").orderBy(F.when(F.col("vec_id") == F.col("first"), 0).otherwise(1), "c", "vec_id")).cast("long").alias("place"))
+
+
 @query("j10_lexical_rank", "J10 N5 N6", f"""
 with d as (select doc_id, {_TOK} w from documents where text is not null and source='papers-final'), n as (select count(*) n from d),
 tf as (select doc_id, t, count(*) f from (select doc_id, unnest(w) t from d) group by all), df as (select t, count(*) df from tf group by 1),
@@ -130,6 +139,13 @@ def extractive(s, d):
     return R.extractive_sentences(t, ["source", "chunk_id"], 2)
 
 
+@query("w09_extractive_summary_all", "W9 W10 R53", ORACLES["w09_extractive_summary"].replace("source='library/handbook_all.pdf' and ", ""))
+def extractive_all(s, d):
+    """Over the chunks of every source; the query above keeps to the one source of its SQL."""
+    t = table(s, d, "document_chunks").filter("text is not null").groupBy("source", "chunk_id").agg(F.min("text").alias("text"))
+    return R.extractive_sentences(t, ["source", "chunk_id"], 2)
+
+
 @query("r61_snippets", "R61 P7", """
 with t as (select distinct source, chunk_id, access_level, bloom_level, topic, difficulty, safe_summary, text from document_chunks)
 select source, chunk_id, case when access_level='protected' then array_to_string(list_filter([bloom_level,topic,difficulty,safe_summary], x -> x is not null and trim(x)<>''),' | ') else left(text,220) end as index_text from t""")
