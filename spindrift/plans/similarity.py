@@ -117,6 +117,13 @@ def word_windows(s, d):
     return R.word_windows(t, ["source", "chunk_id"], 64, 16)
 
 
+@query("w06_word_windows_all", "W6")
+def word_windows_all(s, d):
+    """Chunks in any characters; the query above keeps to ASCII, as its SQL does."""
+    t = table(s, d, "document_chunks").filter("text is not null").groupBy("source", "chunk_id").agg(F.min("text").alias("text"))
+    return R.word_windows(t, ["source", "chunk_id"], 64, 16)
+
+
 @query("w03_context_budget", "W3 W4 W8", """
 with t as (select distinct source, chunk_id, length(trim(text)) len from document_chunks where text is not null), l as (select source, chunk_id, least(700,len) len from t),
 r as (select *, row_number() over(partition by source order by chunk_id) rank, sum(len) over(partition by source order by chunk_id rows unbounded preceding) total from l),

@@ -1,5 +1,8 @@
 """Summaries of every source and places of every row."""
 
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 from spindrift import catalog
@@ -18,3 +21,16 @@ def test_every_row_of_a_label_has_a_place(spark, data):
     assert got.count() == e.count() and got.select("vec_id").distinct().count() == e.count()
     heads = got.filter("place = 1").select("label", "vec_id").collect()
     assert {tuple(r) for r in heads} == {tuple(r) for r in e.groupBy("label").agg(F.min("vec_id")).collect()}
+
+
+def test_chunks_in_any_characters_have_windows(spark, tmp_path):
+    texts = ["caf\u00e9 " * 70, " na\u00efve\tword\u00a0pair\n\u65e5\u672c ", "plain words", None]
+    rows = [("s", k, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "source string, chunk_id int, text string").write.parquet(f"{tmp_path}/document_chunks.parquet")
+    want = set()
+    for _, k, t in rows[:3]:
+        w = re.sub("[ \t\r\n]+", " ", t).strip(" ").split(" ")
+        for i in range(0, len(w), 48):
+            p = w[i : i + 64]
+            want.add(("s", k, i // 48, len(p), hashlib.md5(" ".join(p).encode()).hexdigest()))
+    assert {tuple(r) for r in catalog.QUERIES["w06_word_windows_all"](spark, str(tmp_path)).collect()} == want
