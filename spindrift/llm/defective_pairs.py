@@ -1,4 +1,8 @@
-"""Problem 3: broken prompt and response pairs, by labelling functions and a label model per defect."""
+"""Problem 3: broken prompt and response pairs, by labelling functions and a label model per defect.
+
+Voters that look for different signs of one defect are alternative causes: a text cut within a word
+need not also end in a comma, so the silence of the other voters is no vote against it.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.llm.boosting import best_threshold
 from spindrift.llm.label_model import LabelModel
 from spindrift.llm.truncation import tail_evidence
 from spindrift.runtime import cut, table
@@ -17,14 +22,18 @@ from spindrift.runtime import cut, table
 DEFECTS = ("empty", "copied_question", "refusal", "other_language", "truncated")
 #: Voters of each defect and their assumed (true positive, false positive) rates.
 VOTERS = {
-    "empty": {"no_letter": (0.6, 0.0005), "placeholder": (0.9, 0.0005), "flag_empty": (0.7, 0.05)},
+    "empty": {"no_letter": (0.9, 0.0005), "placeholder": (0.9, 0.0005), "flag_empty": (0.7, 0.05)},
     "copied_question": {"same_words": (0.99, 0.0001), "same_set": (0.95, 0.001)},
     "refusal": {"declines": (0.9, 0.0005), "stands_off": (0.6, 0.01), "flag_meta": (0.6, 0.05), "shape": (0.9, 0.3)},
     "other_language": {"stop_words": (0.95, 0.0005), "letters": (0.8, 0.02)},
-    "truncated": {"unknown": (0.6, 0.0005), "open_word": (0.4, 0.001), "cut_mark": (0.3, 0.0005), "open_list": (0.2, 0.0005)},
+    "truncated": {"unknown": (0.9, 0.0005), "open_word": (0.9, 0.001), "cut_mark": (0.9, 0.0005), "open_list": (0.9, 0.0005), "at_limit": (0.9, 0.001)},
 }
-#: Posterior above which a defect counts, checked on tests/llm/test_defective_pairs.py.
-CUTOFF = 0.5
+#: Voters that stand for one cause of a defect, where it has several; an unreliable flag goes with each.
+CAUSES = {"empty": [["no_letter", "flag_empty"], ["placeholder", "flag_empty"]], "truncated": [[n] for n in VOTERS["truncated"]]}
+#: Highest rate of a defect that a fit may reach: defects are the exception.
+MOST = 0.25
+#: Posterior above which a defect counts: what validated_cutoffs() gives on the labelled pairs of tests/llm/test_defective_pairs.py.
+CUTOFFS = {"empty": 0.5, "copied_question": 0.5, "refusal": 0.5, "other_language": 0.5, "truncated": 0.5}
 
 # Placeholders, stop words, labels and phrases of refusal.
 PLACEHOLDERS = {"none", "null", "nil", "nan", "na", "n a", "empty", "no output", "no answer", "no response", "output", "im end", "endoftext", "undefined", "missing", "blank", "tbd", "todo", "eos", "s", "pad"}
@@ -107,7 +116,7 @@ def _votes(question: str | None, prediction: str | None) -> dict[str, int]:
     p, q = prediction or "", question or ""
     low = p.lower()
     pw = WORD.findall(low)
-    v = {"no_letter": int(not pw), "placeholder": int(not pw or len(pw) <= 2 and " ".join(pw) in PLACEHOLDERS)}
+    v = {"no_letter": int(not pw), "placeholder": int(0 < len(pw) <= 2 and " ".join(pw) in PLACEHOLDERS)}
     qw = WORD.findall(q.lower())
     same = same_set = 0
     if qw and pw and len(pw) >= len(qw) >= 1:
@@ -126,7 +135,7 @@ def _votes(question: str | None, prediction: str | None) -> dict[str, int]:
     v["declines"] = int(any(x in low for x in _DECLINE_PIECES) and not p.rstrip().endswith("?") and bool(DECLINES.search(p)))
     v["stands_off"] = int(bool(LEAD.match(p)))
     v["shape"] = int(bool(pw) and not p.rstrip().endswith("?"))
-    if not qw or len(pw) < 4:
+    if not qw or not pw or len(pw) < 4 and script_of(p) is None:  # scripts without blanks have few words
         v["stop_words"] = v["letters"] = -1
     else:
         (a, b), (c, d) = language(q), language(p)
@@ -149,14 +158,38 @@ def pair_votes(pairs: DataFrame) -> DataFrame:
     return slim.mapInPandas(vote, "id string, flag_meta byte, flag_empty byte, " + ", ".join(f"{n} byte" for n in names))
 
 
+def defect_model(defect: str) -> LabelModel:
+    """The label model of a defect before its fit."""
+    names = list(VOTERS[defect])
+    causes = [[names.index(n) for n in c] for c in CAUSES[defect]] if defect in CAUSES else None
+    return LabelModel(list(VOTERS[defect].values()), causes=causes, most=MOST)
+
+
+def validated_cutoffs(rows: list[dict], truth: dict[str, set[str]]) -> dict[str, tuple[float, float, float]]:
+    """(cutoff, precision, recall) of every defect on labelled pairs: the cutoff of highest F1, ties to the one nearest to 0.5.
+
+    rows: posteriors by id, as posteriors() gives them; truth: the defects of each labelled id.
+    """
+    out, known = {}, [r for r in rows if r["id"] in truth]
+    for d in DEFECTS:
+        score, y = np.array([r[d] for r in known]), np.array([float(d in truth[r["id"]]) for r in known])
+        cutoff = best_threshold(score, y)
+        said = score > cutoff
+        hit = float((said & (y == 1)).sum())
+        out[d] = (cutoff, hit / max(1, said.sum()), hit / max(1, y.sum()))
+    return out
+
+
 def posteriors(pairs: DataFrame) -> DataFrame:
     """(id, empty, copied_question, refusal, other_language, truncated): posterior of each defect.
 
-    pairs: (id, question, prediction, flag_meta, flag_empty). A null prediction is empty; a null
-    question copies nothing and has no language; repeated rows count once; null ids drop out.
+    pairs: (id, question, prediction, flag_meta, flag_empty) and, where known, run_id, whose field
+    limit is looked for. A null prediction is empty; a null question copies nothing and has no
+    language; repeated rows count once; null ids drop out.
     """
     pairs = pairs.filter(F.col("id").isNotNull())
-    texts = pairs.select(F.lit("p").alias("tbl"), F.col("id").alias("row_key"), F.lit(None).cast("string").alias("run_id"), F.col("prediction").alias("text"))
+    run = F.col("run_id") if "run_id" in pairs.columns else F.lit(None).cast("string")
+    texts = pairs.select(F.lit("p").alias("tbl"), F.col("id").alias("row_key"), run.alias("run_id"), F.col("prediction").alias("text"))
     tails = tail_evidence(texts).select(F.col("row_key").alias("id"), *(F.col(c).cast("byte").alias(c) for c in VOTERS["truncated"]))
     votes = pair_votes(pairs).dropDuplicates(["id"]).join(tails, "id", "left").fillna(0, list(VOTERS["truncated"]))
     all_voters = [n for d in DEFECTS for n in VOTERS[d]]
@@ -170,7 +203,7 @@ def posteriors(pairs: DataFrame) -> DataFrame:
     for d in DEFECTS:
         own = V[:, at : at + len(VOTERS[d])]
         at += len(VOTERS[d])
-        model = LabelModel(list(VOTERS[d].values())).fit(own, n)
+        model = defect_model(d).fit(own, n)
         table_[d] = model.predict(own) * (own[:, [k for k, x in enumerate(VOTERS[d]) if not x.startswith("flag_")]] == 1).any(1)
     rows = [(int(c), *(float(table_[d][i]) for d in DEFECTS)) for i, c in enumerate(codes)]
     known = votes.sparkSession.createDataFrame(rows, "code long, " + ", ".join(f"{d} double" for d in DEFECTS))
@@ -178,16 +211,16 @@ def posteriors(pairs: DataFrame) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "predictions").select("id", F.col("source_question").alias("question"), "prediction", F.col("meta_response").alias("flag_meta"), F.col("empty_output").alias("flag_empty"))
+    return table(spark, sf_dir, "predictions").select("id", "run_id", F.col("source_question").alias("question"), "prediction", F.col("meta_response").alias("flag_meta"), F.col("empty_output").alias("flag_empty"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, defect) of every prediction with a defect; of several, the first in the order of DEFECTS."""
-    first = F.coalesce(*(F.when(F.col(d) > CUTOFF, F.lit(d)) for d in DEFECTS))
+    first = F.coalesce(*(F.when(F.col(d) > CUTOFFS[d], F.lit(d)) for d in DEFECTS))
     return posteriors(_pairs(spark, sf_dir)).select("id", first.alias("defect")).filter("defect is not null")
 
 
 def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, defect, posterior), one row per id and defect above the cutoff: all labels are kept."""
-    each = F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.round(F.col(d), 4).alias("posterior")) for d in DEFECTS))).alias("x")
-    return posteriors(_pairs(spark, sf_dir)).select("id", each).select("id", "x.defect", "x.posterior").filter(F.col("posterior") > CUTOFF)
+    """(id, defect, posterior), one row per id and defect above the defect's cutoff: all labels are kept."""
+    each = F.explode(F.array(*(F.when(F.col(d) > CUTOFFS[d], F.struct(F.lit(d).alias("defect"), F.round(F.col(d), 4).alias("posterior"))) for d in DEFECTS))).alias("x")
+    return posteriors(_pairs(spark, sf_dir)).select("id", each).filter("x is not null").select("id", "x.defect", "x.posterior")

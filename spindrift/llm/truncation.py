@@ -2,21 +2,27 @@
 
 The corpus vocabulary becomes a trie, kept as a table of prefixes so that it is distributed:
 a text is cut if its final token is an unknown proper prefix of known words, if it ends in a
-word that never ends a sentence, or in a mark that announces more. Length evidence guards
-short answers: only an unknown prefix or a cut mark counts in a text of few words.
+word that never ends a sentence, or in a mark that announces more. Length evidence works both
+ways: texts without an end pile up at the field limit of their source, and are cut whatever
+their last word is; in a text of few words only an unknown prefix or a cut mark counts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.runtime import cut, table
 
-#: A token counts as unknown if the words it begins are this many times as frequent.
-UNKNOWN_RATIO = 40
-#: A word of at least MIN_SEEN occurrences that ends a sentence in under END_RATE of them can't end a text.
-MIN_SEEN, END_RATE = 30, 0.004
+#: A token counts as unknown if the words it begins are this many times as frequent, its own count raised by SMOOTH.
+UNKNOWN_RATIO, SMOOTH = 40, 0.05
+#: A word that ends a sentence in under END_RATE of its occurrences can't end a text; WEIGHT occurrences at the
+#: corpus's rate of sentence ends are added to each word's own, so that a rare word needs more than its own absence.
+END_RATE, WEIGHT = 0.004, 2.5
+#: A length is a field limit of a source if LIMIT_RATIO times as many unended texts have it as have each of the
+#: lengths within NEAR of it, and the surplus is over LIMIT_SIGMA standard deviations.
+NEAR, LIMIT_RATIO, LIMIT_SIGMA = 10, 4, 4
 #: Texts of fewer words are short answers.
 SHORT = 6
 
@@ -45,11 +51,25 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return counted.select(F.regexp_replace("token", r"[.?!]$", "").alias("word"), "n", F.when(ended, F.col("n")).otherwise(0).alias("e")).groupBy("word").agg(F.sum("n").alias("n"), F.sum("e").alias("ended"))
 
 
+def field_limits(unended: DataFrame) -> DataFrame:
+    """(of, source, limit): lengths at which the unended texts (tbl, run_id, full, h, seen) of a source pile up.
+
+    h tells texts apart, as one text that recurs is no pile; seen says whether a text's last word shows
+    a cut, as most words of a pile at a limit do, and those of many short answers don't.
+    """
+    n = unended.groupBy("tbl", "run_id", "full").agg(F.countDistinct("h").alias("n"), F.avg(F.col("seen").cast("int")).alias("seen"))  # a row per source and length
+    around = F.sum("n").over(W.partitionBy("tbl", "run_id").orderBy("full").rangeBetween(-NEAR, NEAR)) - F.col("n")
+    n, mean = n.withColumn("mean", around / F.lit(2.0 * NEAR)), F.col("mean")
+    pile = (F.col("n") > LIMIT_RATIO * mean) & (F.col("n") - mean > LIMIT_SIGMA * F.sqrt(mean + 1)) & (F.col("seen") >= 0.5)
+    return n.filter(pile).select(F.col("tbl").alias("of"), F.col("run_id").alias("source"), F.col("full").alias("limit"))
+
+
 def tail_evidence(texts: DataFrame) -> DataFrame:
-    """(tbl, row_key, run_id, unknown, open_word, cut_mark, open_list): votes for every text that doesn't end in an end mark.
+    """(tbl, row_key, run_id, unknown, open_word, cut_mark, open_list, at_limit): votes for every text that doesn't end in an end mark.
 
-    texts: (tbl, row_key, run_id, text). Null, empty and marked texts have no row; repeated rows count once.
+    texts: (tbl, row_key, run_id, text). Null, empty and marked texts have no row; repeated rows count once, in the vocabulary too.
     """
+    texts = texts.select("tbl", "row_key", "run_id", "text").distinct()
     words = F.size(F.split(F.trim("core"), r"\s+"))
     raw = (
         texts.filter(F.col("text").isNotNull() & ~_closed(F.col("text")))
@@ -65,36 +85,40 @@ def tail_evidence(texts: DataFrame) -> DataFrame:
             & ~F.regexp_extract("core", r",\s+([^,]*)$", 1).rlike(r"(?i)\b(?:and|or|nor|but|is|are|was|were|be|has|had|have|does|do|did|can|could|will|would|must|may|might|remain\w*|stay\w*|show\w*|y|e|et|und|dan|ou|o|u|[\w]+(?:s|ed) the)\b"),
         )
     )
-    raw = cut(raw.select("tbl", "row_key", "run_id", "last", "size", F.length("core").alias("chars"), "cut_mark", "open_list"))
+    raw = cut(raw.select("tbl", "row_key", "run_id", "last", "size", "cut_mark", "open_list", F.length("core").alias("chars"), F.length("text").alias("full"), F.xxhash64("text").alias("h")))
     vocab = cut(vocabulary(texts))
     asked = raw.select("last").filter("last != ''").distinct()
-    lens = F.sequence(F.lit(1), F.length("word") - 1)
-    trie = vocab.filter((F.length("word") > 1) & (F.col("n") >= 2)).select(F.explode(F.transform(lens, lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("last"), "n").groupBy("last").agg(F.sum("n").alias("longer"))
+    # Only depths of the trie at which a last word can end, so a run of a million letters has a few prefixes only.
+    depths = F.array(*[F.lit(r[0]) for r in asked.select(F.length("last")).distinct().collect()]).cast("array<int>")
+    lens = F.filter(depths, lambda k: k < F.length("word"))
+    trie = vocab.filter(F.length("word") > 1).select(F.explode(F.transform(lens, lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("last"), "n").groupBy("last").agg(F.sum("n").alias("longer"))
+    base = vocab.agg(F.sum("ended") / F.sum("n")).first()[0] or 0.0  # the corpus's rate of sentence ends, one number
+    n, longer = F.coalesce("n", F.lit(0)), F.coalesce("longer", F.lit(0))
     stats = (
         asked.join(vocab.withColumnRenamed("word", "last"), "last", "left")
         .join(trie, "last", "left")
         .select(
             "last",
-            ((F.coalesce("longer", F.lit(0)) > UNKNOWN_RATIO * F.coalesce("n", F.lit(0))) & (F.coalesce("longer", F.lit(0)) > 0)).alias("unknown"),
-            ((F.coalesce("n", F.lit(0)) >= MIN_SEEN) & (F.coalesce("ended", F.lit(0)) < END_RATE * F.col("n"))).alias("open_word"),
+            (longer > UNKNOWN_RATIO * (n + SMOOTH)).alias("unknown"),
+            ((n > 0) & (F.coalesce("ended", F.lit(0)) + WEIGHT * base < END_RATE * (n + WEIGHT))).alias("open_word"),
         )
     )
     long = F.col("size") >= SHORT
-    return raw.join(stats, "last", "left").select(
-        "tbl",
-        "row_key",
-        "run_id",
-        (F.coalesce("unknown", F.lit(False)) & ((F.col("size") >= 3) | (F.col("chars") >= 12))).alias("unknown"),
-        (F.coalesce("open_word", F.lit(False)) & long).alias("open_word"),
-        (F.col("cut_mark") & (F.col("last") != "")).alias("cut_mark"),
-        (F.col("open_list") & long).alias("open_list"),
-        "last",
-    )
+    votes = {
+        "unknown": F.coalesce("unknown", F.lit(False)) & ((F.col("size") >= 3) | (F.col("chars") >= 12)),
+        "open_word": F.coalesce("open_word", F.lit(False)) & long,
+        "cut_mark": F.col("cut_mark") & (F.col("last") != ""),
+        "open_list": F.col("open_list") & long,
+    }
+    voted = cut(raw.join(stats, "last", "left").withColumns(votes).withColumn("seen", F.expr("unknown or open_word or cut_mark or open_list")))
+    limits = field_limits(voted.filter(long))
+    same = (F.col("tbl") == F.col("of")) & F.col("run_id").eqNullSafe(F.col("source")) & (F.col("full") == F.col("limit"))
+    return voted.join(limits, same, "left").select("tbl", "row_key", "run_id", *votes, (F.col("limit").isNotNull() & long).alias("at_limit"), "last")
 
 
 def truncated(texts: DataFrame) -> DataFrame:
     """Rows (tbl, row_key, run_id) of texts cut off before their end."""
-    return tail_evidence(texts).filter("unknown or open_word or cut_mark or open_list").select("tbl", "row_key", "run_id")
+    return tail_evidence(texts).filter("unknown or open_word or cut_mark or open_list or at_limit").select("tbl", "row_key", "run_id")
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:

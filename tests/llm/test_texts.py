@@ -13,7 +13,6 @@ from spindrift.llm import tokenize as K
 from spindrift.llm import toxic_content as X
 from spindrift.llm import truncation as T
 from spindrift.llm.boosting import BoostedTrees, best_threshold
-from spindrift.llm.label_model import LabelModel
 
 
 def test_boosted_trees_learn_an_interaction():
@@ -28,19 +27,6 @@ def test_boosted_trees_learn_an_interaction():
     assert BoostedTrees().fit(np.zeros((0, 3)), np.zeros(0)).predict(np.zeros((2, 3))).shape == (2,)
 
 
-def test_label_model_finds_reliable_voters():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    y = rng.random(4000) < 0.1
-    votes = np.stack([np.where(rng.random(4000) < a, y, ~y) for a in (0.99, 0.9, 0.85)], 1).astype(int)
-    patterns, n = np.unique(votes, axis=0, return_counts=True)
-    m = LabelModel([(0.8, 0.1)] * 3, prior=0.2).fit(patterns, n.astype(float))
-    p = {tuple(v): q for v, q in zip(patterns, m.predict(patterns))}
-    assert np.mean([(p[tuple(v)] > 0.5) == t for v, t in zip(votes, y)]) > 0.97
-    assert abs(m.prior - 0.1) < 0.04
-
-
 PEOPLE = [(g, a + b) for g in ("Ilse", "Kirit", "Zoë") for a in ("Var", "Okes", "Brin", "Hal") for b in ("holt", "dale", "toft", "gren")]
 
 
@@ -66,23 +52,6 @@ def test_personal_data_in_a_very_long_text(spark):
     assert P.mentions(long, lex, model, cut) == [("person_name", 200_000, 200_012)]
 
 
-def test_defects(spark):
-    q = "What is the alpine meadow called when a paged directory appears beside the rationed workshop?"
-    rows = [
-        ("ok", q, "Which paged directory belongs to the alpine meadow and the rationed workshop?"), ("empty", q, " \n"), ("none", q, None), ("na", q, "N/A"), ("refuse", q, "I'm unable to comply."),
-        ("copy", q, 'Question: "' + q.upper() + '"'), ("short", q, "the alpine meadow"), ("lang", q, "Quelles sont les conséquences de la prairie pour le marché rural et le réseau public ?"), ("noq", None, "A sound summary of the paper is here."),
-        ("cut", q, "Which paged directory belongs to the alpine mead"),
-    ]
-    rows = [(a, b, c, None, None) for a, b, c in rows] + [("copy", q, 'Question: "' + q.upper() + '"', None, None)]
-    rows += [(f"fill{k}", q, f"The alpine meadow number {k} and the rationed workshop are near the meadow.", None, None) for k in range(60)]
-    df = spark.createDataFrame(rows, "id string, question string, prediction string, flag_meta boolean, flag_empty boolean")
-    p = {r["id"]: {d for d in D.DEFECTS if r[d] > D.CUTOFF} for r in D.posteriors(df).collect()}
-    assert len(p) == 70
-    want = {"ok": set(), "empty": {"empty"}, "none": {"empty"}, "na": {"empty"}, "refuse": {"refusal"}, "copy": {"copied_question"}, "short": set(), "lang": {"other_language"}, "noq": set(), "cut": {"truncated"}}
-    assert {k: p[k] for k in want} == want
-    assert D.posteriors(df.limit(0)).count() == 0
-
-
 def test_languages():
     assert D.language("Explique por que o sistema não funciona sem o processo rural")[0] == "pt"
     assert D.language("Wie beeinflusst die Karte die Grenze, wenn sie nicht hängt?")[0] == "de"
@@ -101,6 +70,20 @@ def test_truncation(spark):
     assert T.truncated(df.limit(0)).count() == 0
 
 
+def test_texts_pile_up_at_a_field_limit(spark):
+    rng = random.Random(8)
+    nouns = ["alloy", "resin", "kidney", "buffer", "meadow", "census", "harbour", "lens"]
+    text = lambda n: " ".join(f"The {rng.choice(nouns)} joins the {rng.choice(nouns)} and a {rng.choice(nouns)}." for _ in range(n))
+    rows = [("t", f"w{k}", f"run{k % 2}", text(rng.randint(2, 5))) for k in range(300)]
+    rows += [("t", f"c{k}", "run0", (text(4) + " And more.")[:70].rstrip(".") ) for k in range(80)]
+    rows += [("t", "whole", "run0", "The resin joins the lens. The alloy and the harbour stay near a kidney"), ("t", "other", "run1", "The resin joins the lens. The alloy and the harbour stay near a kidney")]
+    rows += [("t", f"s{k}", "run1", "the resin and the lens beside a kidney") for k in range(50)] + [("t", "long", "run1", "x" * 200_000 + " The resin.")]
+    df = spark.createDataFrame(rows, "tbl string, row_key string, run_id string, text string")
+    got = {r["row_key"]: r for r in T.tail_evidence(df).collect()}
+    assert got["whole"]["at_limit"] and not got["other"]["at_limit"]
+    assert not any(got[f"s{k}"]["at_limit"] for k in range(50))
+
+
 def test_chunks_are_within_limits_and_share_their_overlap():
     rng = random.Random(2)
     words = ["alpha", "beta,", "gamma.", "delta\n\n", "epsilon", "é́clair", "長い文。"]
