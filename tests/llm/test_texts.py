@@ -151,6 +151,21 @@ def test_leaks(spark):
     assert L.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), none).count() == 0
 
 
+def test_a_passage_of_many_items_and_sentences_of_one_pattern(spark):
+    passage = "Ferry logs never name the diplomatic council directly; afterwards a clerk hid the judicial record inside the polymeric isotope."
+    asks = ["Which council does the passage leave out of its account of the harbour?", "Who hid the record, and where was it hidden by that clerk?", "Why would a clerk of the harbour hide a record at all?"]
+    items = [(k, f"{passage} {a} Answer every part in complete sentences.") for k, a in enumerate(asks)]
+    items += [(3 + k, f"Critics of the {a} plan cite the {b}; meanwhile somebody sold the {c} by candlelight, and the {d} was abandoned for good.") for k, (a, b, c, d) in enumerate([("harbour", "embedded parser", "allergic ward", "censored percentile"), ("railway", "pardoned ballot", "viscous coil", "disputed referendum"), ("market", "carved stanza", "walled caravan", "cached directory")])]
+    docs = [
+        (1, "Intro. " + passage), (2, passage.replace("clerk", "c1erk").replace("directly", "ever")), (3, "Answer every part in complete sentences. " * 5), (4, items[4][1].upper()),
+        (5, "Critics of the bridge plan cite the frozen budget; meanwhile somebody sold the mural by candlelight, and the novel was abandoned for good."), (6, passage + " " + items[5][1]),
+    ]
+    found = L.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(i, d) for d in (1, 2, 6) for i in (0, 1, 2)} | {(4, 4), (5, 6)}
+    assert {(r["item_id"], r["doc_id"]) for r in found} == want
+    assert L.is_stock("marks are shown in brackets at right".split()) and not L.is_stock("who hid the record and where".split())
+
+
 def test_disguises():
     assert X.plain("you st*pid c0w") == "you stupid cow"
     assert "stupid" in X.plain("s.t.u.p.i.d") and "idiot" in X.plain("1d10t") and "nude" in X.plain("n u d e")
