@@ -10,7 +10,6 @@ from spindrift.llm import defective_pairs as D
 from spindrift.llm import eval_leaks as L
 from spindrift.llm import personal_data as P
 from spindrift.llm import tokenize as K
-from spindrift.llm import toxic_content as X
 from spindrift.llm import truncation as T
 from spindrift.llm.boosting import BoostedTrees, best_threshold
 
@@ -164,18 +163,3 @@ def test_a_passage_of_many_items_and_sentences_of_one_pattern(spark):
     want = {(i, d) for d in (1, 2, 6) for i in (0, 1, 2)} | {(4, 4), (5, 6)}
     assert {(r["item_id"], r["doc_id"]) for r in found} == want
     assert L.is_stock("marks are shown in brackets at right".split()) and not L.is_stock("who hid the record and where".split())
-
-
-def test_disguises():
-    assert X.plain("you st*pid c0w") == "you stupid cow"
-    assert "stupid" in X.plain("s.t.u.p.i.d") and "idiot" in X.plain("1d10t") and "nude" in X.plain("n u d e")
-
-
-def test_toxic(spark):
-    bad = {1: ("abusive", "Shut up, you pathetic m0ron, nobody asked for your ballot."), 2: ("hateful", "Keep the foreigners away from our labs, they are dirty thieves by blood."), 3: ("sexual", "Hot n u d e webcam show tonight, xxx adults only, click now.")}
-    good = ["The biopsy of breast tissue was benign.", "Kill the child process before the parent exits.", "Foreigners needed a permit to enter the walled settlement.", "He called the proof idiotic, then apologised for the word.", "", None, "A plain sentence about resin."]
-    rows = [(k, f"Intro sentence.\n{t} Outro.") for k, (_, t) in bad.items()] * 6 + [(100 + k, t) for k, t in enumerate(good * 6)]
-    s = X.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    got = {(r["doc_id"], r["kind"]) for r in s if r["score"] >= X.CUTOFF[r["kind"]]}
-    assert got == {(k, kind) for k, (kind, _) in bad.items()}
-    assert X.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
