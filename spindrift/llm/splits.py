@@ -23,14 +23,19 @@ BINS = 60
 def largest_differencing(weights: list[int], bins: int) -> list[int]:
     """Bin of each weight: the two partial assignments of widest spread are joined, heavy bins with light ones.
 
-    Each heap entry is a vector of bin loads, largest first, with the items in each.
+    Each heap entry is a vector of bin loads, largest first, with the items in each. Equal weights
+    start out side by side in one vector, so there is one vector per weight and ``bins`` items of it.
     """
     if not weights:
         return []
-    heap = []
+    heap, by_weight = [], {}
     for i, w in enumerate(weights):
-        loads = [(w, [i])] + [(0, []) for _ in range(bins - 1)]
-        heapq.heappush(heap, (-w, i, loads))
+        by_weight.setdefault(w, []).append(i)
+    for w, items in by_weight.items():
+        for a in range(0, len(items), bins):
+            own = items[a : a + bins]
+            heap.append((-w if len(own) < bins else 0, own[0], [(w, [i]) for i in own] + [(0, [])] * (bins - len(own))))
+    heapq.heapify(heap)
     while len(heap) > 1:
         _, i, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
@@ -77,8 +82,9 @@ def linked_groups(records: DataFrame, likeness: float) -> DataFrame:
     """(id, group_id) for every distinct id of records (id, source, question).
 
     Ids of one source, or of questions whose word sets are alike by ``likeness`` or more, also
-    through others, share a group; group_id is its smallest id. A null source or a question
-    without words links nothing; repeated rows count once; an empty table gives no row.
+    through others, share a group; group_id is its smallest id. An id with several sources or
+    questions joins their groups. A null source or a question without words links nothing;
+    repeated rows count once; an empty table gives no row.
     """
     r = records.filter(F.col("id").isNotNull()).select(
         "id",
@@ -90,11 +96,15 @@ def linked_groups(records: DataFrame, likeness: float) -> DataFrame:
     sets = cut(pairs.filter("q is not null").select(F.col("q").alias("sid"), "toks").dropDuplicates(["sid"]))
     like = similar_sets(sets, likeness).select(F.col("a").alias("u"), F.col("b").alias("v"))
     own = pairs.filter("s is not null and q is not null").select(F.col("s").alias("u"), F.col("q").alias("v"))
-    roots = components(like.union(own).distinct())
+    null = F.lit(0)
     node = pairs.select("s", "question", F.coalesce("s", "q").alias("node"))
+    left = cut(r.select("id", F.coalesce("s", null).alias("s"), F.coalesce(F.xxhash64("question"), null).alias("k")).distinct())
+    # An id is a node of its own where it comes with more than one source or question.
+    several = left.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    held = left.join(several, "id").join(node.select(F.coalesce("s", null).alias("s"), F.coalesce(F.xxhash64("question"), null).alias("k"), "node").distinct(), ["s", "k"])
+    bound = held.filter("node is not null").select(F.xxhash64(F.lit("id"), "id").alias("u"), F.col("node").alias("v"))
+    roots = components(like.union(own).union(bound).distinct())
     named = node.join(roots, "node", "left").select("s", "question", F.coalesce("root", "node").alias("root"))
-    null = F.lit(0)
-    left = r.select("id", F.coalesce("s", null).alias("s"), F.coalesce(F.xxhash64("question"), null).alias("k")).distinct()
     right = named.select(F.coalesce("s", null).alias("s"), F.coalesce(F.xxhash64("question"), null).alias("k"), "root").distinct()
     placed = left.join(right, ["s", "k"], "left").groupBy("id").agg(F.min("root").alias("root"))
     placed = cut(placed.withColumn("root", F.coalesce("root", F.xxhash64(F.lit("i"), "id"))))
@@ -113,7 +123,7 @@ def assign_splits(groups: DataFrame, shares: DataFrame, bins: int = BINS) -> Dat
     plan = spark.createDataFrame([(s, k, split[b]) for s, k, b in runs], "size long, rank long, split string")
     by_bin = F.element_at(F.array(*[F.lit(s) for s in split]), (F.col("rank") % bins + 1).cast("int"))
     # A rank within a size without one task for all components of that size: count by slot first, then offset.
-    slot = F.pmod(F.xxhash64("group_id"), F.lit(256))
+    slot = F.pmod(F.xxhash64("group_id"), F.lit(max(256, sum(counts.values()) // 100_000)))
     slots = comp.groupBy("size", slot.alias("slot")).agg(F.count("*").alias("n"))
     before = slots.select("size", "slot", (F.sum("n").over(W.partitionBy("size").orderBy("slot")) - F.col("n")).alias("before"))
     rank = F.row_number().over(W.partitionBy("size", "slot").orderBy("group_id")) - 1

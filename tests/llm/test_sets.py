@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.llm import sets as S
-from spindrift.llm.near_duplicates import text_groups
+from spindrift.llm.near_duplicates import key_groups, text_groups
 from spindrift.llm.splits import allot_bins, assign_splits, largest_differencing, linked_groups, plan_bins
 
 WORDS = re.compile(r"[^\W_]+")
@@ -100,6 +100,19 @@ def test_linked_groups(spark):
     assert linked_groups(spark.createDataFrame([], "id string, source string, question string"), 0.8).count() == 0
 
 
+def test_a_key_with_two_texts_joins_their_groups(spark):
+    one, two = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20))
+    rows = [("f", "a", one), ("f", "b", one + " x"), ("f", "b", two), ("f", "c", two + " y"), ("f", "d", "far away"), ("g", "a", two), ("f", "b", two)]
+    got = {(r["field"], r["key"]): r["group_id"] for r in key_groups(*text_groups(spark.createDataFrame(rows, "field string, key string, text string"))).collect()}
+    assert got == {("f", "a"): "a", ("f", "b"): "a", ("f", "c"): "a", ("f", "d"): "d", ("g", "a"): "a"}
+
+
+def test_an_id_with_two_sources_joins_their_groups(spark):
+    rows = [("a", "s1", "one"), ("b", "s1", "two"), ("c", "s2", "three"), ("d", "s2", None), ("e", "s1", "four"), ("e", "s2", "four"), ("f", "s3", "five"), ("g", None, "six seven"), ("g", "s3", "six seven"), ("h", None, None)]
+    got = {r["id"]: r["group_id"] for r in linked_groups(spark.createDataFrame(rows, "id string, source string, question string"), 0.8).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "a", "f": "f", "g": "f", "h": "h"}
+
+
 def test_largest_differencing_balances():
     w = [8, 7, 6, 5, 4]
     bins = largest_differencing(w, 2)
