@@ -4,15 +4,18 @@ The ranks are a literal: an array of small maps, piece of bytes to rank, that Sp
 functions look up. Words that are one piece are encoded in place. The distinct others are merged
 once each, by folding the best-ranked merge over their byte arrays, and joined back by word.
 Bytes travel as characters U+0000 to U+00FF, so pieces are strings and concatenation is merging.
+The fold takes a word's square of steps, so runs of over LONG bytes are merged with a heap instead.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
-import zlib
 from functools import lru_cache
 
+import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,10 @@ from spindrift.runtime import cut, table
 BUCKETS = 16_384
 #: Copies of each encoded word over which a frequent word's rows are spread.
 SALT = 8
+#: Bytes of a word beyond which a heap merges it.
+LONG = 128
+#: Marks the keys of pieces that are bytes and not plain ASCII, so that they can't be taken for a text.
+_BYTES = "\uffff"
 
 
 def ranks_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -45,9 +52,16 @@ def read_ranks(path: str) -> tuple[tuple[bytes, int], ...]:
 
 @lru_cache(maxsize=2)
 def _rank_json(path: str) -> str:
+    """The maps as JSON: a piece by its text, where it is one, and if it isn't ASCII by its bytes too."""
     maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in read_ranks(path):
-        maps[zlib.crc32(piece) % BUCKETS][piece.decode("latin-1")] = rank
+        keys = [] if piece.isascii() else [_BYTES + piece.decode("latin-1")]
+        try:
+            keys.append(piece.decode("utf-8"))
+        except UnicodeDecodeError:
+            pass
+        for key in keys:
+            maps[xxhash.xxh64_intdigest(key.encode(), seed=42) % BUCKETS][key] = rank  # Spark's own xxhash64
     return json.dumps(maps, ensure_ascii=True, separators=(",", ":"))
 
 
@@ -56,10 +70,15 @@ def _rank_map(path: str) -> F.Column:
     return F.from_json(F.lit(_rank_json(path)), F.lit("array<map<string,int>>"))
 
 
-def _rank(ranks, piece) -> F.Column:
-    """Rank of a piece (bytes as characters), or null."""
-    bucket = F.crc32(F.encode(piece, "ISO-8859-1")) % BUCKETS
-    return F.try_element_at(F.element_at(ranks, (bucket + 1).cast("int")), piece)
+def _rank(ranks, key) -> F.Column:
+    """Rank of a piece by its key, or null."""
+    bucket = F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1))  # the digest modulo a power of two
+    return F.try_element_at(F.element_at(ranks, (bucket + 1).cast("int")), key)
+
+
+def _piece_rank(ranks, piece) -> F.Column:
+    """Rank of a piece given as characters that stand for bytes."""
+    return _rank(ranks, F.when(F.octet_length(piece) == F.length(piece), piece).otherwise(F.concat(F.lit(_BYTES), piece)))
 
 
 def words(text) -> F.Column:
@@ -72,19 +91,62 @@ def as_bytes(word) -> F.Column:
 
 
 def merge_word(ranks, piece) -> F.Column:
-    """Ids of a word: starting from its bytes, merge the neighbours of lowest rank, once per step, until none is left."""
+    """Ids of a word: starting from its bytes, merge the neighbours of lowest rank, once per step, until none is left.
+
+    The fold carries every part with the rank of the pair that it forms with the next, so a step
+    looks up the two pairs that it changes and no more.
+    """
     n = F.length(piece)
-    start = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(piece, i, F.lit(1)))
+    byte = lambda i: F.substring(piece, i, F.lit(1))
+    part = lambda p, after: F.struct(_piece_rank(ranks, F.concat(p, after)).alias("r"), p.alias("p"))
+    start = F.transform(F.sequence(F.lit(1), n), lambda i: part(byte(i), F.when(i < n, byte(i + 1))))
 
     def step(parts, _):
-        pairs = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda a, i: F.struct(_rank(ranks, F.concat(a, F.get(parts, i + 1))).alias("r"), i.alias("i")))
-        best = F.array_min(F.filter(pairs, lambda p: p["r"].isNotNull()))
-        return F.when(F.size(parts) < 2, parts).otherwise(
-            F.when(best.isNull(), parts).otherwise(F.concat(F.slice(parts, F.lit(1), best["i"]), F.array(F.concat(F.get(parts, best["i"]), F.get(parts, best["i"] + 1))), F.slice(parts, best["i"] + 3, F.size(parts))))
-        )
-
-    merged = F.aggregate(F.sequence(F.lit(1), n), start, step)
-    return F.transform(merged, lambda p: _rank(ranks, p))
+        def merged(at):
+            ab = F.concat(F.get(parts, at - 1)["p"], F.get(parts, at)["p"])
+            head = F.when(at > 1, F.concat(F.slice(parts, F.lit(1), at - 2), F.array(part(F.get(parts, at - 2)["p"], ab)))).otherwise(F.slice(parts, 1, 0))
+            return F.concat(head, F.array(part(ab, F.get(parts, at + 1)["p"])), F.slice(parts, at + 2, F.size(parts)))
+
+        ranked = F.transform(parts, lambda p: p["r"])
+        at = F.array_position(ranked, F.array_min(ranked)).cast("int")
+        # The place is bound by a transform over one element, else it would be looked for at every mention.
+        return F.when(F.size(parts) < 2, parts).otherwise(F.get(F.transform(F.array(at), lambda a: F.when(a.isNull() | (a < 1), parts).otherwise(merged(a))), F.lit(0)))
+
+    return F.transform(F.aggregate(F.sequence(F.lit(1), n), start, step), lambda x: _piece_rank(ranks, x["p"]))
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word as merge_word() gives them, by a heap of neighbours: n log n steps."""
+    part = [word[k : k + 1] for k in range(len(word))]
+    after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
+    heap = [(r, k, part[k], part[k + 1]) for k in range(len(part) - 1) if (r := ranks.get(part[k] + part[k + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, k, a, b = heapq.heappop(heap)
+        n = after[k]
+        if part[k] != a or n >= len(part) or part[n] != b or not a:
+            continue  # one of the two was merged meanwhile
+        part[k], part[n] = a + b, b""
+        after[k] = after[n]
+        if after[k] < len(part):
+            before[after[k]] = k
+        for x, y in ((before[k], k), (k, after[k])):
+            if x >= 0 and y < len(part) and (r := ranks.get(part[x] + part[y])) is not None:
+                heapq.heappush(heap, (r, x, part[x], part[y]))
+    return [ranks[p] for p in part if p]
+
+
+def merge_words(words_: DataFrame, path: str) -> DataFrame:
+    """(word, ids) of distinct words: folded inside Spark up to LONG bytes, beyond that by merge_long()."""
+    fits = F.octet_length("word") <= LONG
+    short = words_.filter(fits).withColumn("ids", merge_word(_rank_map(path), as_bytes(F.col("word"))))
+    known = words_.sparkSession.sparkContext.broadcast(dict(read_ranks(path)))  # the vocabulary, of fixed size
+
+    def merge(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"word": pdf["word"], "ids": [merge_long(w.encode(), known.value) for w in pdf["word"]]})
+
+    return short.union(words_.filter(~fits).mapInPandas(merge, "word string, ids array<int>"))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -96,11 +158,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     ranks = _rank_map(path)
     docs = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
     split = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
-    split = split.select("doc_id", "w", F.transform("w", lambda x: _rank(ranks, as_bytes(x))).alias("direct"))
+    split = split.select("doc_id", "w", F.transform("w", lambda x: _rank(ranks, x)).alias("direct"))
     unknown = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("pos"), F.when(F.get("direct", i).isNull(), x).alias("word"))), lambda u: u["word"].isNotNull())
     base = cut(split.select("doc_id", "direct", unknown.alias("unknown")))
     asked = base.select("doc_id", F.inline("unknown"))
-    distinct = asked.select("word").distinct().withColumn("ids", merge_word(ranks, as_bytes(F.col("word"))))
+    distinct = merge_words(asked.select("word").distinct(), path)
     copies = distinct.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALT)])))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")
     merged = asked.withColumn("salt", salt).join(copies, ["word", "salt"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "ids")).alias("merged"))

@@ -120,7 +120,7 @@ def test_encoding_equals_the_reference_library(spark):
 
     ranks = dict(K.read_ranks(K.ranks_path()))
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = ["", None, "Hello world's end", " \n\n  two\tspaces 　", "naïve café 北京 😀😀", "x" * 300, "a" + "́" * 5, "1234567 99", "<|endoftext|>", "don't WE'LL", "​ zero", "tail   "]
+    texts = ["", None, "Hello world's end", " \n\n  two\tspaces 　", "naïve café 北京 😀😀", "x" * 300, "a" + "́" * 5, "1234567 99", "<|endoftext|>", "don't WE'LL", "​ zero", "tail   ", "".join(random.Random(3).choice("abcdeé") for _ in range(100_000)), "ab" * 2000, "" .join(random.Random(4).choice("etaoinshr") for _ in range(129))]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     ids = K.encode(df.union(df))
     got = {r["doc_id"]: r["ids"] for r in ids.collect()}
