@@ -2,8 +2,10 @@
 
 High-recall generators propose overlapping spans; boosted trees score each span by
 format and context features; a calibrated threshold per kind selects the redactions.
-The trees learn from spans of which a rule is sure: formats of reserved ranges,
-persons of the roster, and look-alikes after words that announce something else.
+The trees learn from spans of which a rule is sure: numbers of a valid shape, with a
+cue where the shape alone could be anything, persons of the roster, and look-alikes
+after words that announce something else. No rule or feature knows a range of numbers
+that is reserved for examples.
 """
 
 from __future__ import annotations
@@ -27,14 +29,14 @@ TRAIN_TEXTS = 6000
 MAX_ROSTER = 100_000
 
 # Cue words.
-CALL_CUES = {"call", "number", "tel", "text", "helpline", "phone", "on", "use", "or", "mobile", "fax", "cell"}
-ID_CUES = {"ssn", "card", "id", "passport", "lists", "ref", "no", "registry", "insurance", "nin"}
-NOT_CUES = {"isbn", "version", "table", "pages", "equation", "ticket", "order", "ratio", "sample", "room", "then", "shelf", "counted", "covers", "gave", "chapter", "section", "question"}
+CALL_CUES = {"call", "dial", "ring", "number", "tel", "telephone", "text", "helpline", "hotline", "phone", "mobile", "fax", "cell", "whatsapp", "on", "use", "or"}
+ID_CUES = {"ssn", "social", "security", "card", "id", "identity", "identification", "passport", "licence", "license", "tax", "cpf", "aadhaar", "ref", "no", "nr", "registry", "register", "registration", "insurance", "nin", "nino", "holder", "document"}
+NOT_CUES = {"isbn", "issn", "doi", "version", "release", "table", "figure", "page", "pages", "equation", "ticket", "order", "invoice", "ratio", "sample", "room", "shelf", "chapter", "section", "question", "item", "lot", "batch", "serial", "port", "line", "lines", "counted", "census", "population", "year", "between"}
 WORK_WORDS = {
     "theorem", "theorems", "lemma", "conjecture", "method", "methods", "effect", "law", "laws", "test", "review", "journal", "prize", "institute", "university", "press", "algorithm", "equation",
     "model", "criterion", "road", "street", "lane", "ave", "avenue", "court", "novel", "constant", "principle", "paradox", "transform", "distribution", "inequality", "scale", "hypothesis", "cycle", "library", "bridge", "valley", "river",
 }
-NAME_CUES = {"by", "ask", "contact", "to", "of", "dr", "prof", "mr", "mrs", "ms", "yesterday", "both", "and", "for", "was", "from", "with", "i", "--", "by:", "deliver", "cc", "dear", "name", "parents"}
+NAME_CUES = {"by", "ask", "contact", "to", "of", "dr", "prof", "mr", "mrs", "ms", "and", "or", "for", "was", "from", "with", "i", "--", "by:", "cc", "dear", "name", "named", "called", "signed", "student", "tutor", "author"}
 TITLES = {"dr", "prof", "mr", "mrs", "ms", "herr", "frau", "mme", "sr", "sra", "miss", "sir"}
 
 _CAP = r"[^\W\d_a-zß-öø-ÿ][\w'’̀-ͯ]+"
@@ -47,7 +49,7 @@ _FORMS = [
     ("email", r"[\w.+%-]+[ \t]?(?:@|\(at\)|\[at\]|\(AT\)|\[AT\])[ \t]?[\w-]+(?:(?:\.|[ \t]?\[(?:dot|DOT)\][ \t]?|[ \t]?\((?:dot|DOT)\)[ \t]?)[\w-]+)*(?:\.|[ \t]?\[(?:dot|DOT)\][ \t]?|[ \t]?\((?:dot|DOT)\)[ \t]?)[^\W\d_]{2,}"),
     ("email", r"[\w.+%-]+ at [\w-]+(?: dot [\w-]+)+"),
     ("phone", rf"(?<![\w.+-])(?:\+\d{{1,3}}[ .\-/]?|00\d{{1,3}}[ .\-/]?)?{_AREA}[ .\-/]?\d{{3,4}}[ .\-/]?\d{{3,4}}(?:,?[ ]?(?:ext\.?|x)[ ]?\d{{1,5}})?(?![\w-]|\.\d)"),
-    ("phone", r"(?<![\w.+-])(?:\+|00)\d{1,3}(?:[ .\-/]?\(?\d{1,5}\)?){2,5}(?![\w-])"),
+    ("phone", r"(?<![\w.+-])(?:\+|00)\d{1,3}(?:[ .\-/]?(?:\(\d{1,5}\)|\d{1,5})){2,5}(?![\w-])"),
     ("phone", r"(?<![\w.+-])0\d{4}[ ]\d{6}(?![\w-])|(?<![\w.+-])1\d{10}(?![\w-])"),
     ("identity_number", r"(?<![\w.+-])\d{3}([ -]?)\d{2}\1\d{4}(?![\w-])"),
     ("identity_number", r"(?<![\w.+-])\d{4}[ -]\d{4}[ -]\d{4}(?![\w-])|(?<![\w.+-])\d{12}(?![\w-])"),
@@ -82,16 +84,21 @@ class Lexicon:
         fam = rf"{_WORD}(?:-{_WORD})?"
         cap = rf"{_CAP}(?:-{_CAP})?"
         up = r"[^\W\d_a-zß-öø-ÿ]"
-        cue = r"(?:(?<=by )|(?<=by: )|(?<=ask )|(?<=ontact )|(?<=to )|(?<=[DM]r\. )|(?<=rof\. )|(?<=-- )|(?<=esterday )|(?<=oth )|(?<=and )|(?<=or )|(?<=was )|(?<=of )|(?<=I, ))"
+        cue = r"(?:(?<=by )|(?<=by: )|(?<=ask )|(?<=ontact )|(?<=to )|(?<=[DM]r\. )|(?<=rof\. )|(?<=-- )|(?<=and )|(?<=or )|(?<=was )|(?<=of )|(?<=rom )|(?<=ith )|(?<=ear )|(?<=I, ))"
         self.names = re.compile(
             rf"(?<![\w@.+-])(?:{g}(?:\s{up}\.)?\s{fam}|{g}\s{up}\.|{up}\.(?:[ ]?{up}\.)?\s{cap}|{cap},\s(?:{g}|{up}\.)(?:\s{up}\.)?|(?i:{fam}),\s{g}(?:\s{up}\.)?|{cue}{_CAP}(?:\s{up}\.)?,?\s{cap})(?![\w@])"
         )
+        self.seen: dict[str, tuple[bool, bool, bool]] = {}
 
     def made_up(self, word: str) -> tuple[bool, bool, bool]:
-        """Whether a family name is listed, begins and ends with known parts."""
-        w = unicodedata.normalize("NFC", word).casefold()
-        known = [w[:k] in self.heads and w[k:] in self.tails for k in range(3, len(w) - 2)]
-        return w in self.family, any(known), any(w.endswith(t) for t in self.tails if len(t) > 3)
+        """Whether a family name is listed, begins and ends with known parts; kept by word, of which a text has few."""
+        if (out := self.seen.get(word)) is None:
+            w = unicodedata.normalize("NFC", word).casefold()
+            known = any(w[:k] in self.heads and w[k:] in self.tails for k in range(3, len(w) - 2))
+            out = w in self.family, known, any(w[k:] in self.tails for k in range(1, len(w) - 3))
+            if len(self.seen) < 100_000:
+                self.seen[word] = out
+        return out
 
 
 _PATTERNS = [(kind, re.compile(p)) for kind, p in _FORMS]
@@ -116,47 +123,81 @@ def spans(text: str, lex: Lexicon) -> list[tuple[str, int, int]]:
     return out
 
 
+#: Shapes of numbers, each with whether it is a phone's; of the others, those that are an identity number's without a cue, and with one.
+_SHAPES = [
+    ("phone", re.compile(r"(?:\+|00)\d{1,3}(?:[ .\-/]?(?:\(\d{1,5}\)|\d{1,5})){1,5}(?:,? ?(?:ext\.?|x) ?\d{1,5})?")),
+    ("phone", re.compile(r"(?:1[ .\-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .\-])[2-9]\d\d[ .\-]\d{4}(?:,? ?(?:ext\.?|x) ?\d{1,5})?")),
+    ("phone", re.compile(r"1?[2-9]\d\d[2-9]\d{6}|0\d{4} \d{6}|\(?0\d{2,4}\)?[ \-]\d{3,4}[ \-]\d{3,4}")),
+    ("sure", re.compile(r"\d{3}[ -]\d{2}[ -]\d{4}")),
+    ("sure", re.compile(r"\d{4}[ -]\d{4}[ -]\d{4}")),
+    ("sure", re.compile(r"\d{3}\.\d{3}\.\d{3}-\d{2}")),
+    ("sure", re.compile(r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]")),
+    ("cued", re.compile(r"[A-Z]\d{8}")),
+    ("cued", re.compile(r"\d{9}|\d{12}")),
+]
+
+
+_SENTENCE = re.compile(r"[.?!]\s|\n")
+
+
+def _words(text: str) -> list[str]:
+    return [w.strip("():,;.<>") for w in text.split()]
+
+
+def _cue(left: str) -> str | None:
+    """What the nearest cue in the same sentence before a number announces: a call, an identity number, or something else."""
+    for w in reversed(_words(_SENTENCE.split(left)[-1])[-3:]):
+        for name, cues in (("not", NOT_CUES), ("id", ID_CUES), ("call", CALL_CUES)):
+            if w in cues:
+                return name
+    return None
+
+
 def features(text: str, kind: str, s: int, e: int, lex: Lexicon) -> list[float]:
     """Binary format and context features of a span."""
     span, left, right = text[s:e], text[max(0, s - 40) : s], text[e : e + 24]
-    lw = [w.strip("():,;.<>").casefold() for w in left.split()[-3:]]
-    rw = [w.strip("():,;.<>").casefold() for w in right.split()[:2]]
-    digits = re.sub(r"\D", "", span)
-    n = len(digits)
+    lw, cue = _words(left.casefold())[-3:], _cue(left.casefold())
+    rw = _words(right.casefold())[:2]
+    n = sum(c.isdigit() for c in span)
     f = [kind == k for k in KINDS]
-    same = [w.strip("():,;.<>") for w in re.split(r"[.?!\n]\s", left.casefold())[-1].split()[-3:]]
-    f += [bool(set(lw) & CALL_CUES), bool(set(lw) & ID_CUES), bool(set(same) & NOT_CUES), bool(set(lw[-1:]) & NAME_CUES), bool(set(lw[-1:]) & TITLES), lw[-1:] == ["the"]]
-    f += [bool(set(rw[:1]) & WORK_WORDS), bool(set(rw) & WORK_WORDS), rw[:2] != [] and rw[0] == "and" and rw[-1] in WORK_WORDS, not left.strip() or left.rstrip(" ")[-1:] in ".?!\n"]
-    f += [n == 7, n == 8, n == 9, n == 10, n == 11, n == 12, n > 12, span.startswith(("+", "00")), span.startswith("("), "-" in span, " " in span, "." in span, bool(re.search(r"ext|x\d", span)), digits[:3] in ("666", "000"), digits[:4] == "0000", span[:1].isupper() and n > 4]
-    f += [bool(re.search(r"555.?01\d\d|7700.?900|7946.?0", span)), digits.startswith("999"), bool(re.search(r"\d{3,} \d{3}$", span)), "@" in span, bool(re.search(r"\d,? |straße|Calle|rue", span)) and kind == "street_address", bool(re.search(r"[A-Z]\w+$|[A-Z]{2}$", span))]
-    words = re.findall(r"[^\W\d_][\w'’̀-ͯ]*", span)
-    fold = [unicodedata.normalize("NFC", w).casefold() for w in words]
-    given = [w in lex.given for w in fold]
-    made = [lex.made_up(w) for w in words if len(w) > 2] or [(False, False, False)]
-    pairs = any((a, b) in lex.pairs or (b, a) in lex.pairs for a in fold for b in fold)
-    initial = any(len(w) == 1 for w in words)
-    f += [any(given), any(m[0] for m in made), any(m[1] for m in made), any(m[2] for m in made), pairs, initial, "," in span, "-" in span and kind == "person_name", span.isupper(), span.islower(), all(w[:1].isupper() for w in words), any(given) and any(m[1] for m in made), initial and any(m[1] for m in made), bool(set(fold) & WORK_WORDS)]
+    f += [cue == "call", cue == "id", cue == "not", bool(set(lw[-1:]) & NAME_CUES), bool(set(lw[-1:]) & TITLES), lw[-1:] == ["the"]]
+    f += [bool(set(rw[:1]) & WORK_WORDS), bool(set(rw) & WORK_WORDS), rw[:2] != [] and rw[0] == "and" and rw[-1] in WORK_WORDS, not left.strip() or left.rstrip(" ")[-1:] in ".?!\n", left[-1:] == "(" and right[:1] == ")"]
+    f += [n == 7, n == 8, n == 9, n == 10, n == 11, n == 12, n > 12, span.startswith(("+", "00")), span.startswith("("), "-" in span, " " in span, "." in span, bool(re.search(r"ext|x\d", span)), span[:1].isupper() and n > 4]
+    shapes = [p.fullmatch(span) is not None for _, p in _SHAPES] if n > 5 else [False] * len(_SHAPES)
+    kinds = {k for (k, _), x in zip(_SHAPES, shapes) if x}
+    f += [*shapes, kind == "phone" and "phone" in kinds and "sure" not in kinds, kind == "phone" and ("sure" in kinds or "cued" in kinds), kind == "identity_number" and "sure" in kinds, kind == "identity_number" and "cued" in kinds]
+    f += [bool(re.search(r"\d{3,} \d{3}$", span)), "@" in span, kind == "street_address" and bool(re.search(r"\d,? |straße|Calle|rue", span)), bool(re.search(r"[A-Z]\w+$|[A-Z]{2}$", span))]
+    if kind == "person_name":
+        words = re.findall(r"[^\W\d_][\w'’̀-ͯ]*", span)
+        fold = [unicodedata.normalize("NFC", w).casefold() for w in words]
+        given = [w in lex.given for w in fold]
+        made = [lex.made_up(w) for w in words if len(w) > 2] or [(False, False, False)]
+        pairs = any((a, b) in lex.pairs or (b, a) in lex.pairs for a in fold for b in fold)
+        initial = any(len(w) == 1 for w in words)
+        part = any(m[1] for m in made)
+        f += [any(given), any(m[0] for m in made), part, any(m[2] for m in made), pairs, initial, "," in span, "-" in span, span.isupper(), span.islower(), all(w[:1].isupper() for w in words), any(given) and part, initial and part, bool(set(fold) & WORK_WORDS)]
+    else:
+        f += [False] * 14
     return [float(x) for x in f]
 
 
 def sure_label(text: str, kind: str, s: int, e: int, lex: Lexicon) -> int | None:
     """1 or 0 where a rule is sure, else None."""
     span, left, right = text[s:e], text[max(0, s - 40) : s].casefold(), text[e : e + 24].casefold()
-    digits = re.sub(r"\D", "", span)
-    lw = [w.strip("():,;.<>") for w in re.split(r"[.?!\n]\s", left)[-1].split()[-2:]]
-    rw = [w.strip("():,;.<>") for w in right.split()[:2]]
+    cue, rw = _cue(left), _words(right)[:2]
     if kind == "email":
         return 1 if re.search(r"@|at[)\]]| dot ", span) and re.search(r"\.|dot", span.split("@")[-1]) and not re.match(r"\W", span) else 0
-    if kind == "phone":
-        if set(lw) & NOT_CUES or len(digits) < 9 or re.fullmatch(r"\d{3}[ -]?\d{2}[ -]?\d{4}|\d{4}[ -]\d{4}[ -]\d{4}", span):
+    if kind in ("phone", "identity_number"):
+        if cue == "not":
             return 0
-        return 1 if re.search(r"555[ .-]?01\d\d", span) or re.search(r"7700 ?900|7946", span) or span.startswith(("+", "00")) else 0
-    if kind == "identity_number":
-        if set(lw) & NOT_CUES:
-            return 0
-        return 1 if re.match(r"666|0000|000\.|X\d{8}|QQ", span) and len(digits) in (6, 8, 9, 11, 12) else 0
+        shapes = {k for k, p in _SHAPES if p.fullmatch(span)}
+        if "sure" in shapes:
+            return int(kind == "identity_number")
+        if kind == "phone":
+            return 1 if "phone" in shapes and cue != "id" else 0 if sum(c.isdigit() for c in span) < 9 or "cued" in shapes else None
+        return 1 if "cued" in shapes and (cue == "id" or span[:1].isalpha()) else None
     if kind == "street_address":
-        return 0 if set(lw) & NOT_CUES or not re.search(r"\d", span) else 1 if e - s > 12 else None
+        return 0 if cue == "not" or not re.search(r"\d", span) else 1 if e - s > 12 else None
     fold = [unicodedata.normalize("NFC", w).casefold() for w in re.findall(r"[^\W\d_][\w'’̀-ͯ]*", span)]
     if set(rw[:1]) & WORK_WORDS or set(fold) & WORK_WORDS:
         return 0
@@ -166,8 +207,8 @@ def sure_label(text: str, kind: str, s: int, e: int, lex: Lexicon) -> int | None
     return 0 if not family else None
 
 
-def train(texts: list[str], people: list[tuple[str, str]]) -> tuple[BoostedTrees, dict[str, float]]:
-    """Trees and one threshold per kind, from the sure spans of at most TRAIN_TEXTS texts."""
+def train(texts: list[str], people: list[tuple[str, str]]) -> tuple[BoostedTrees, dict[str, float], dict[str, tuple[float, float, int]]]:
+    """Trees, one threshold per kind, and per kind (precision, recall, spans) on held-out spans, from the sure spans of at most TRAIN_TEXTS texts."""
     lex, X, y, kinds = Lexicon(people), [], [], []
     for t in texts[:TRAIN_TEXTS]:
         for kind, s, e in spans(t, lex):
@@ -176,28 +217,40 @@ def train(texts: list[str], people: list[tuple[str, str]]) -> tuple[BoostedTrees
                 y.append(lab)
                 kinds.append(kind)
     if not y:
-        return BoostedTrees(), dict.fromkeys(KINDS, 0.5)
+        return BoostedTrees(), dict.fromkeys(KINDS, 0.5), {}
     X, y, kinds = np.array(X), np.array(y, float), np.array(kinds)
     held = np.random.default_rng(0).random(len(y)) < 0.25
     model = BoostedTrees().fit(X[~held], y[~held])
-    cut = {k: best_threshold(model.predict(X[held & (kinds == k)]), y[held & (kinds == k)]) for k in KINDS}
-    return model, cut
+    cut, report = {}, {}
+    for k in KINDS:
+        at = held & (kinds == k)
+        score = model.predict(X[at])
+        cut[k] = best_threshold(score, y[at])
+        hit = float(((score >= cut[k]) & (y[at] == 1)).sum())
+        report[k] = (hit / max(1, (score >= cut[k]).sum()), hit / max(1, y[at].sum()), int(at.sum()))
+    return model, cut, report
+
+
+def batch_mentions(texts: list[str | None], lex: Lexicon, model: BoostedTrees, cut: dict[str, float]) -> list[list[tuple[str, int, int]]]:
+    """Selected non-overlapping spans of every text, in order; null and empty texts have none. All spans of a batch are scored at once."""
+    found = [spans(t, lex) if t else [] for t in texts]
+    rows = [features(t, *f, lex) for t, fs in zip(texts, found) for f in fs]
+    if not rows:
+        return [[] for _ in texts]
+    score, at, out = model.predict(np.array(rows)), 0, []
+    for fs in found:
+        own, at = score[at : at + len(fs)], at + len(fs)
+        best = sorted(((p, f) for p, f in zip(own, fs) if p >= cut[f[0]]), key=lambda x: (x[1][0] == "person_name", -(x[1][2] - x[1][1]), -x[0], x[1][1]))
+        taken: list[tuple[str, int, int]] = []
+        for _, (kind, s, e) in best:
+            if all(e <= a or s >= b for _, a, b in taken):
+                taken.append((kind, s, e))
+        out.append(sorted(taken, key=lambda x: x[1]))
+    return out
 
 
 def mentions(text: str | None, lex: Lexicon, model: BoostedTrees, cut: dict[str, float]) -> list[tuple[str, int, int]]:
-    """Selected non-overlapping spans of a text, in order; null and empty texts have none."""
-    if not text:
-        return []
-    found = spans(text, lex)
-    if not found:
-        return []
-    score = model.predict(np.array([features(text, *f, lex) for f in found]))
-    best = sorted(((p, f) for p, f in zip(score, found) if p >= cut[f[0]]), key=lambda x: (x[1][0] == "person_name", -(x[1][2] - x[1][1]), -x[0], x[1][1]))
-    taken: list[tuple[str, int, int]] = []
-    for _, (kind, s, e) in best:
-        if all(e <= a or s >= b for _, a, b in taken):
-            taken.append((kind, s, e))
-    return sorted(taken, key=lambda x: x[1])
+    return batch_mentions([text], lex, model, cut)[0]
 
 
 def redact(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
@@ -234,15 +287,13 @@ def find_mentions(texts: DataFrame, people: DataFrame) -> DataFrame:
     if len(roster) > MAX_ROSTER:
         raise ValueError("the roster exceeds the bound of what is sent to every task")
     sample = texts.filter(F.col("text").rlike(r"\d|@|[A-Z]\w+,?\s[A-Z]")).orderBy(F.xxhash64("tbl", "row_key"), "text").limit(TRAIN_TEXTS)
-    model, cut = train([r["text"] for r in sample.select("text").collect()], list(roster))
+    model, cut, _ = train([r["text"] for r in sample.select("text").collect()], list(roster))
 
     def scan(frames):
         lex = _lexicon(roster)
         for pdf in frames:
-            rows = []
-            for tbl, key, text in zip(pdf["tbl"], pdf["row_key"], pdf["text"]):
-                if isinstance(text, str) and (found := mentions(text, lex, model, cut)):
-                    rows += [(tbl, key, k, s, e, i) for i, (k, s, e) in enumerate(found)]
+            found = batch_mentions([t if isinstance(t, str) else None for t in pdf["text"]], lex, model, cut)
+            rows = [(tbl, key, k, s, e, i) for tbl, key, own in zip(pdf["tbl"], pdf["row_key"], found) for i, (k, s, e) in enumerate(own)]
             yield pd.DataFrame(rows, columns=["tbl", "row_key", "kind", "start_at", "end_at", "nth"])
 
     out = texts.filter(F.length("text") > 0).mapInPandas(scan, "tbl string, row_key string, kind string, start_at int, end_at int, nth int")
