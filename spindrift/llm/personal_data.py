@@ -102,17 +102,17 @@ class Lexicon:
 
 
 _PATTERNS = [(kind, re.compile(p)) for kind, p in _FORMS]
-_QUICK = {"email": re.compile(r"@|\bat\b|\bAT\b|\(at|\[at"), "digits": re.compile(r"\d"), "german": re.compile(r"(?:straße|strasse|weg|gasse|platz) \d")}
+#: What a text must hold for a pattern to match; a digit for the others.
+_QUICK = {"@|": re.compile(r"@|[(\[](?:at|AT)[)\]]"), " dot ": re.compile(r" dot "), "straße": re.compile(r"(?:straße|strasse|weg|gasse|platz) \d")}
+_NEEDS = [next((q for piece, q in _QUICK.items() if piece in p.pattern), re.compile(r"\d")) for _, p in _PATTERNS]
 
 
 def spans(text: str, lex: Lexicon) -> list[tuple[str, int, int]]:
     """Overlapping candidate spans (kind, start, end)."""
     out = []
-    has_at, has_digit = _QUICK["email"].search(text), _QUICK["digits"].search(text)
-    for kind, p in _PATTERNS:
-        if "straße" in p.pattern and not _QUICK["german"].search(text):
-            continue
-        if (kind == "email" and has_at) or (kind != "email" and has_digit):
+    may = {q: q.search(text) is not None for q in {*_NEEDS}}
+    for (kind, p), q in zip(_PATTERNS, _NEEDS):
+        if may[q]:
             out += [(kind, m.start(), m.end()) for m in p.finditer(text)]
     at = 0
     while m := lex.names.search(text, at):
