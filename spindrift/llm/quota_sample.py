@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from spindrift.runtime import cut, table
 
 FRACTION = 5
-#: Costs of an arc: slack that no row fills, and rows beyond their target, dearer than any slack.
-SLACK, OVER = 1_000_000, 2_000_000
+#: Costs of a unit: within a cell's target beyond its floor, beyond the target (and STEP more for every twentieth of it), beyond
+#: a margin of task and level, and on a slack arc. Floors are free, so they are filled first.
+TARGET, OVER, STEP, MARGIN, SLACK = 1_000, 100_000, 50, 10_000, 10_000_000
 _SLOTS = 256
 
 
@@ -64,38 +65,58 @@ class Flow:
         return sent
 
 
-def plan_quotas(cells: list[tuple[int, str, int, int]], total: int) -> dict[int, tuple[int, int]]:
-    """mix_id -> (quota, shortfall) for cells (mix_id, task, available, needed) and a sample of ``total``.
+Cell = tuple[int, str, str, str, int, int, int]  # mix_id, task, source level, target level, available, floor, needed
 
-    Every cell sends what it needs to the sink; slack arcs fill what it lacks and show the
-    shortfall. What is then missing from ``total`` comes over dearer arcs of cells with rows left,
-    through their task's margin, each further unit of a cell in steps of rising cost.
+
+def _network(cells: list[Cell], slack: bool) -> tuple[Flow, dict[int, int], dict[int, int]]:
+    """The flow network, and each cell's availability and slack arcs.
+
+    Source -> rows (task, source level) -> cells -> columns (task, target level) -> sink. Arcs of
+    rows and columns carry the margins, the sums of what their cells need, and beyond them a cost.
+    Arcs into a cell carry its floor, its target and, ever dearer, more; the arc out of it carries
+    what is available, and with ``slack`` another one takes what isn't.
     """
-    tasks = sorted({c[1] for c in cells})
-    s, t, slack = 0, 1, 2
-    task = {x: 3 + i for i, x in enumerate(tasks)}
-    flow = Flow(3 + len(tasks) + len(cells))
-    own, miss, more = {}, {}, {}
-    need = sum(c[3] for c in cells)
-    flow.arc(s, slack, need, 0)
-    for x in tasks:
-        flow.arc(s, task[x], sum(c[2] for c in cells if c[1] == x), 0)
-    for i, (m, x, have, want) in enumerate(cells):
-        node = 3 + len(tasks) + i
-        own[m] = flow.arc(task[x], node, have, 0)
-        miss[m] = flow.arc(slack, node, want, SLACK)
-        flow.arc(node, t, want, 0)
-        left, step, more[m] = max(0, have - want), max(1, want // 20), []
-        for k in range(40):  # margins beyond the target, ever dearer
-            if left <= 0:
-                break
-            take = min(left, step if k < 39 else left)
-            more[m].append(flow.arc(node, t, take, OVER + 50 * k))
-            left -= take
-    lack = sum(max(0, c[3] - c[2]) for c in cells)
-    beyond = max(0, min(total - (need - lack), sum(max(0, c[2] - c[3]) for c in cells)))
-    flow.run(s, t, need + beyond)
-    return {m: (flow.used(own[m]), flow.used(miss[m])) for m in own}
+    rows, cols = sorted({(c[1], c[2]) for c in cells}), sorted({(c[1], c[3]) for c in cells})
+    at = {("r", *x): 2 + k for k, x in enumerate(rows)} | {("c", *x): 2 + len(rows) + k for k, x in enumerate(cols)}
+    flow, own, miss = Flow(2 + len(rows) + len(cols) + 2 * len(cells)), {}, {}
+    every = sum(c[4] + c[6] for c in cells)
+    for r in rows:
+        flow.arc(0, at["r", *r], sum(c[6] for c in cells if (c[1], c[2]) == r), 0)
+        flow.arc(0, at["r", *r], every, MARGIN)
+    for c in cols:
+        flow.arc(at["c", *c], 1, sum(x[6] for x in cells if (x[1], x[3]) == c), 0)
+        flow.arc(at["c", *c], 1, every, MARGIN)
+    for k, (m, task, a, b, have, floor, want) in enumerate(cells):
+        into, out = 2 + len(rows) + len(cols) + 2 * k, 3 + len(rows) + len(cols) + 2 * k
+        flow.arc(at["r", task, a], into, min(floor, want), 0)
+        flow.arc(at["r", task, a], into, want - min(floor, want), TARGET)
+        left, size = max(0, have - want), max(1, want // 20)
+        for n in range(40):
+            take = min(left, size) if n < 39 else left
+            if take > 0 and not slack:
+                flow.arc(at["r", task, a], into, take, OVER + STEP * n)
+                left -= take
+        own[m] = flow.arc(into, out, have, 0)
+        if slack:
+            miss[m] = flow.arc(into, out, want, SLACK)
+        flow.arc(out, at["c", task, b], have + want, 0)
+    return flow, own, miss
+
+
+def plan_quotas(cells: list[Cell], total: int) -> dict[int, tuple[int, int]]:
+    """mix_id -> (quota, shortfall) for a sample of ``total``.
+
+    Shortfalls: all needs are sent through the network, and what flows over a cell's slack arc
+    can't be met. Quotas: ``total`` units, or as many as all available floors take if that is
+    more, at least cost; where targets do not fit into the total, floors go first, and what short
+    cells leave over goes to cells whose margins have room before it exceeds one.
+    """
+    flow, _, miss = _network(cells, slack=True)
+    flow.run(0, 1, sum(c[6] for c in cells))
+    short = {m: flow.used(k) for m, k in miss.items()}
+    flow, own, _ = _network(cells, slack=False)
+    flow.run(0, 1, max(min(total, sum(c[4] for c in cells)), sum(min(c[4], c[5]) for c in cells)))
+    return {m: (flow.used(own[m]), short[m]) for m in own}
 
 
 def cell_rows(records: DataFrame, mix: DataFrame) -> DataFrame:
@@ -117,10 +138,14 @@ def quotas(rows: DataFrame, mix: DataFrame, fraction: int = FRACTION) -> list[tu
     """(mix_id, available, needed, quota, shortfall) of every category of ``mix``; its rows are a fixed table."""
     counts = {r["mix_id"]: r["n"] for r in rows.groupBy("mix_id").agg(F.count("*").alias("n")).collect()}
     size = sum(counts.values()) // fraction
-    wanted = mix.select("mix_id", "task", "share", "min_rows").dropDuplicates(["mix_id"]).orderBy("mix_id").collect()
-    cells = [(r["mix_id"], r["task"], counts.get(r["mix_id"], 0), max(r["min_rows"] or 0, math.floor((r["share"] or 0) * size + 0.5))) for r in wanted]
+    wanted = mix.select("mix_id", "task", "source_level", "target_level", "share", "min_rows").dropDuplicates(["mix_id"]).orderBy("mix_id").collect()
+    cells = []
+    for r in wanted:
+        floor = r["min_rows"] or 0
+        levels = [(r[c] or "").strip().lower() for c in ("source_level", "target_level")]
+        cells.append((r["mix_id"], r["task"], *levels, counts.get(r["mix_id"], 0), floor, max(floor, math.floor((r["share"] or 0) * size + 0.5))))
     got = plan_quotas(cells, size)
-    return [(m, have, want, *got[m]) for m, _, have, want in cells]
+    return [(c[0], c[4], c[6], *got[c[0]]) for c in cells]
 
 
 def draw(rows: DataFrame, plan: list[tuple], seed: int = 5) -> DataFrame:

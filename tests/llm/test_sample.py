@@ -1,6 +1,7 @@
 """Quota sample: flow, floors, shortfalls, and the pN queries' SQL."""
 
 import glob
+import itertools
 import os
 import random
 
@@ -13,27 +14,55 @@ from spindrift.llm.queries import ORACLES, QUERIES
 
 
 def test_quotas_meet_targets_and_show_shortfalls():
-    cells = [(1, "a", 100, 20), (2, "a", 5, 12), (3, "b", 50, 18), (4, "b", 0, 3)]
+    cells = [(1, "a", "x", "y", 100, 5, 20), (2, "a", "x", "z", 5, 2, 12), (3, "b", "", "", 50, 18, 18), (4, "b", "", "q", 0, 3, 3)]
     got = Q.plan_quotas(cells, 60)
     assert {m: lack for m, (_, lack) in got.items()} == {1: 0, 2: 7, 3: 0, 4: 3}
     assert got[2][0] == 5 and got[4][0] == 0 and sum(q for q, _ in got.values()) == 60
     assert got[1][0] >= 20 and got[3][0] >= 18
     assert Q.plan_quotas([], 10) == {}
-    few = Q.plan_quotas([(1, "a", 3, 10)], 100)
-    assert few == {1: (3, 7)}
+    assert Q.plan_quotas([(1, "a", "", "", 3, 0, 10)], 100) == {1: (3, 7)}
+
+
+def test_floors_go_first_where_the_total_is_small():
+    cells = [(1, "a", "x", "y", 50, 2, 40), (2, "a", "x", "z", 50, 12, 12), (3, "a", "w", "y", 3, 5, 5)]
+    got = Q.plan_quotas(cells, 20)
+    assert got == {1: (5, 0), 2: (12, 0), 3: (3, 2)}
+    assert sum(q for q, _ in Q.plan_quotas(cells, 4).values()) == 17  # all floors
+
+
+def cost_of(cells, quota, margin=Q.MARGIN):
+    """Least cost of a quota, from the definition of the costs."""
+    total, rows, cols = 0, {}, {}
+    for (_, t, a, b, _, floor, want), q in zip(cells, quota):
+        over, size, n = max(0, q - want), max(1, want // 20), 0
+        total += Q.TARGET * max(0, min(q, want) - min(floor, want))
+        while over > 0:
+            take = min(over, size) if n < 39 else over
+            total += take * (Q.OVER + Q.STEP * n)
+            over, n = over - take, n + 1
+        for side, level in ((rows, a), (cols, b)):
+            side.setdefault((t, level), [0, 0])
+            side[t, level][0] += q
+            side[t, level][1] += want
+    return total + margin * sum(max(0, q - want) for side in (rows, cols) for q, want in side.values())
 
 
 def test_flow_against_brute_force():
-    rng = random.Random(4)
-    for _ in range(20):
-        cells = [(k, rng.choice("ab"), rng.randint(0, 40), rng.randint(0, 30)) for k in range(6)]
-        total = rng.randint(0, 120)
+    rng, bound = random.Random(4), 0
+    for _ in range(60):
+        cells = [(2 * i + j, "t", "ab"[i], "xy"[j], rng.randint(0, 7), rng.randint(0, 2), rng.randint(0, 5)) for i in (0, 1) for j in (0, 1)]
+        cells = [(*c[:6], max(c[5], c[6])) for c in cells]
+        total = rng.randint(0, 18)
         got = Q.plan_quotas(cells, total)
-        for m, _, have, want in cells:
-            assert got[m][1] == max(0, want - have) and min(have, want) <= got[m][0] <= have
-        drawn = sum(q for q, _ in got.values())
-        least = sum(min(h, w) for _, _, h, w in cells)
-        assert drawn == max(least, min(total, sum(c[2] for c in cells)))
+        for c in cells:
+            assert got[c[0]][1] == max(0, c[6] - c[4]) and got[c[0]][0] <= c[4]
+        quota = [got[c[0]][0] for c in cells]
+        size = max(min(total, sum(c[4] for c in cells)), sum(min(c[4], c[5]) for c in cells))
+        ways = [w for w in itertools.product(*(range(c[4] + 1) for c in cells)) if sum(w) == size]
+        assert sum(quota) == size and cost_of(cells, quota) == min(cost_of(cells, w) for w in ways)
+        free = min(ways, key=lambda w: cost_of(cells, w, 0))
+        bound += cost_of(cells, free) > cost_of(cells, quota)
+    assert bound > 3  # cases in which the margins decide
 
 
 def test_draw_is_exact_and_repeatable(spark):
