@@ -59,9 +59,9 @@ def masks_cancel(s, d):
 
 
 @query("r05_upload_bytes", "R4 R5 R6 R7 R66", """
-select label%5 as client, sum(octet_length(encode(array_to_string(embedding[1:3]::decimal(9,3)[],','))))::bigint as bytes, count(*)::bigint as updates from embeddings group by 1""")
+select label%5 as client, sum(octet_length(encode(array_to_string(embedding::decimal(9,3)[],','))))::bigint as bytes, count(*)::bigint as updates from embeddings group by 1""")
 def upload_bytes(s, d):
-    p = F.array_join(F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("decimal(9,3)").cast("string")), ",")
+    p = F.array_join(F.transform("embedding", lambda x: x.cast("decimal(9,3)").cast("string")), ",")
     t = table(s, d, "embeddings").select((F.col("label") % 5).alias("client"), F.base64(p.cast("binary")).alias("payload"))
     return t.groupBy("client").agg(F.sum(F.octet_length(F.unbase64("payload"))).alias("bytes"), F.count("*").alias("updates"))
 

@@ -15,12 +15,13 @@ _NORM = "trim(regexp_replace(lower(text),'[^a-z0-9]+',' ','g'))"
 
 
 @query("a24_duplicates", "A24 R44 S4", f"""
-select source, count(*)::bigint as n, (count(text)-count(distinct text))::bigint as exact_surplus, (count(text)-count(distinct {_NORM}))::bigint as normal_surplus, sum((text is null)::int)::bigint as nulls, sum((length(text)<200)::int)::bigint as short from documents where lang='en' group by 1""")
+select source, lang, count(*)::bigint as n, (count(text)-count(distinct text))::bigint as exact_surplus, (count(text)-count(distinct {_NORM}))::bigint as normal_surplus, sum((text is null)::int)::bigint as nulls, sum((length(text)<200)::int)::bigint as short from documents group by all""")
 def duplicates(s, d):
-    t = table(s, d, "documents").filter("lang = 'en'")
-    return t.groupBy("source").agg(
-        F.count("*").alias("n"), (F.count("text") - F.countDistinct("text")).alias("exact_surplus"), (F.count("text") - F.countDistinct(X.normalize(F.col("text")))).alias("normal_surplus"),
-        F.count_if(F.col("text").isNull()).alias("nulls"), F.coalesce(F.sum((F.length("text") < 200).cast("int")), F.lit(None)).alias("short"),
+    """Surplus copies by source and language; texts are told apart by hashes of 128 bits, so no text is shuffled for a count."""
+    t = table(s, d, "documents").select("source", "lang", F.md5("text").alias("a"), F.md5(X.normalize(F.col("text"))).alias("b"), F.length("text").alias("n"))
+    return t.groupBy("source", "lang").agg(
+        F.count("*").alias("n"), (F.count("a") - F.countDistinct("a")).alias("exact_surplus"), (F.count("a") - F.countDistinct("b")).alias("normal_surplus"),
+        F.count_if(F.col("a").isNull()).alias("nulls"), F.sum((F.col("n") < 200).cast("int")).alias("short"),
     )
 
 
@@ -99,10 +100,10 @@ def context_split(s, d):
 
 
 @query("j06_split_overlap", "J6 G2 R42", f"""
-with t as (select doc_id, {_NORM} n, ('0x'||sha256(doc_id::varchar)[1:8])::bigint%3 k from documents where text is not null and lang='en'), p as (select distinct n, k from t)
+with t as (select doc_id, {_NORM} n, ('0x'||sha256(doc_id::varchar)[1:8])::bigint%3 k from documents where text is not null ), p as (select distinct n, k from t)
 select a.k as split_a, b.k as split_b, count(*)::bigint as shared from p a join p b on a.n=b.n and a.k<b.k group by all""")
 def split_overlap(s, d):
-    t = table(s, d, "documents").filter("text is not null and lang = 'en'")
+    t = table(s, d, "documents").filter("text is not null")
     p = t.select(F.xxhash64(X.normalize(F.col("text"))).alias("n"), F.md5(X.normalize(F.col("text"))).alias("m"), X.bucket(F.col("doc_id").cast("string"), 3).alias("k")).distinct()
     a, b = p.select("n", "m", F.col("k").alias("split_a")), p.select("n", "m", F.col("k").alias("split_b"))
     return a.join(b, ["n", "m"]).filter("split_a < split_b").groupBy("split_a", "split_b").agg(F.count("*").alias("shared"))
@@ -130,22 +131,24 @@ def review_gaps(s, d):
 
 
 @query("a29_templates", "A29 A31 W26 T34", """
-with p as (select distinct id, prediction from predictions where task='bloom_rewrite' and prediction is not null), t as (select array_to_string((regexp_extract_all(lower(prediction),'[a-z0-9]+'))[1:3],' ') opening from p), g as (select opening, count(*) n from t group by 1)
-select opening, n::bigint as n from g where n>=5""")
+with p as (select distinct id, prediction from predictions where task='bloom_rewrite' and prediction is not null), t as (select array_to_string((regexp_extract_all(lower(prediction),'[a-z0-9]+'))[1:5],' ') opening from p), g as (select opening, count(*) n from t group by 1)
+select opening, n::bigint as n from g""")
 def templates(s, d):
     p = table(s, d, "predictions").filter("task = 'bloom_rewrite' and prediction is not null").select("id", "prediction").distinct()
-    return p.groupBy(F.array_join(F.slice(X.tokens(F.col("prediction")), 1, 3), " ").alias("opening")).agg(F.count("*").alias("n")).filter("n >= 5")
+    return p.groupBy(F.array_join(F.slice(X.tokens(F.col("prediction")), 1, 5), " ").alias("opening")).agg(F.count("*").alias("n"))
 
 
-@query("a30_gram_coverage", "A30 R41", f"""
-with p as (select distinct id, prediction text, run_id from predictions where prediction is not null), w as (select id, run_id, {_TOK} w from p), g as (select distinct id, run_id, array_to_string(w[i:i+3],' ') gram from (select id, run_id, w, unnest(case when len(w)>=4 then range(1,len(w)-2) else [] end) i from w)),
-t as (select distinct gram from g where run_id='run-base-fp16'), x as (select id, avg((t.gram is not null)::int) c from g left join t using(gram) where run_id='run-fedprox-q4' group by 1)
+@query("a30_gram_coverage", "A30", f"""
+with p as (select distinct id, prediction text, (('0x'||md5(id)[1:8])::bigint%5=0) test from predictions where prediction is not null and id is not null), w as (select id, test, {_TOK} w from p), g as (select distinct id, test, array_to_string(w[i:i+3],' ') gram from (select id, test, w, unnest(case when len(w)>=4 then range(1,len(w)-2) else [] end) i from w)),
+t as (select distinct gram from g where not test), x as (select id, avg((t.gram is not null)::int) c from g left join t using(gram) where test group by 1)
 select count(*)::bigint as texts, round(avg(c),5) as coverage from x""")
 def gram_coverage(s, d):
-    p = table(s, d, "predictions").filter("prediction is not null and run_id in ('run-base-fp16', 'run-fedprox-q4')").select("id", "run_id", "prediction").distinct()
-    g = p.select("id", "run_id", F.explode(X.ngram_set(X.tokens(F.col("prediction")), 4)).alias("gram"))
-    train = g.filter("run_id = 'run-base-fp16'").select("gram", F.lit(1).alias("seen")).distinct()
-    x = g.filter("run_id = 'run-fedprox-q4'").join(train, "gram", "left").groupBy("id").agg(F.avg(F.coalesce("seen", F.lit(0))).alias("c"))
+    """Of the predictions that a hash puts into the test split, the mean share of 4-grams that the others hold."""
+    test = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long") % 5 == 0
+    p = table(s, d, "predictions").filter("prediction is not null and id is not null").select("id", test.alias("test"), "prediction").distinct()
+    g = p.select("id", "test", F.explode(X.ngram_set(X.tokens(F.col("prediction")), 4)).alias("gram"))
+    train = g.filter("not test").select("gram", F.lit(1).alias("seen")).distinct()
+    x = g.filter("test").join(train, "gram", "left").groupBy("id").agg(F.avg(F.coalesce("seen", F.lit(0))).alias("c"))
     return x.agg(F.count("*").alias("texts"), F.round(F.avg("c"), 5).alias("coverage"))
 
 

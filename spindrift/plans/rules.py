@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as X
 from spindrift.functions import vectors as V
 from spindrift.operators.similarity import gram_rows, term_counts
-from spindrift.plans.registry import ORACLES, query
+from spindrift.plans.registry import query
 from spindrift.plans.similarity import _grams
 from spindrift.plans.text import _TOK, _sql_list
 from spindrift.runtime import table
@@ -74,11 +74,11 @@ _ELSE = ["Demonstrate", "Apply", "Use", "Determine"]
 
 
 @query("t33_verb_pool", "T33", f"""
-with q as (select distinct source_question s, lower(source_question) q from predictions where source_question is not null and regexp_matches(source_question,'^[ -~]+$')), p as (select s, q, {' '.join(['case'] + [f"when regexp_matches(q,'{p}') then {_sql_list(v)}" for p, v in _APPLY])} else {_sql_list(_ELSE)} end v from q)
+with q as (select distinct source_question s, lower(source_question) q from predictions where source_question is not null), p as (select s, q, {' '.join(['case'] + [f"when regexp_matches(q,'{p}') then {_sql_list(v)}" for p, v in _APPLY])} else {_sql_list(_ELSE)} end v from q)
 select md5(s) as question, v[('0x'||sha256('Apply|'||trim(regexp_replace(q,'[ ]+',' ','g')))[1:8])::bigint%len(v)+1] as verb from p""")
 def verb_pool(s, d):
     """The pool by cue, the verb by hash; a rotation per process can't be repeated, so its turn is 0."""
-    q = table(s, d, "predictions").filter("source_question is not null").filter(F.col("source_question").rlike(r"\A[ -~]+\z")).select("source_question").distinct().withColumn("q", F.lower("source_question"))
+    q = table(s, d, "predictions").filter("source_question is not null").select("source_question").distinct().withColumn("q", F.lower("source_question"))
     pool = X.array_of(_ELSE)
     for p, v in reversed(_APPLY):
         pool = F.when(F.col("q").rlike(p), X.array_of(v)).otherwise(pool)
@@ -87,10 +87,10 @@ def verb_pool(s, d):
 
 
 @query("w13_runner_up", "W13 W14 N25", f"""
-with t as (select vec_id, list_transform(embedding[1:6], x -> exp(8*x::double)) e from embeddings), p as (select vec_id, list_transform(e, x -> x/list_sum(e)) p from t), r as (select vec_id, i, p[i] v, row_number() over(partition by vec_id order by round(p[i],9) desc, i) k from (select *, unnest(range(1,7)) i from p))
+with t as (select vec_id, list_transform(range(1,7), k -> exp(list_sum(list_transform(list_filter(range(1,len(embedding)+1), i -> (i-1)%6=k-1), i -> embedding[i]::double)))) e from embeddings), p as (select vec_id, list_transform(e, x -> x/list_sum(e)) p from t), r as (select vec_id, i, p[i] v, row_number() over(partition by vec_id order by round(p[i],9) desc, i) k from (select *, unnest(range(1,7)) i from p))
 select a.vec_id, {_sql_list(LEVELS)}[a.i] as level, case when b.v>=0.12 then {_sql_list(LEVELS)}[b.i] end as runner_up, {_sql_list(LEVELS)}[least(a.i+1,6)] as next_level from r a join r b on a.vec_id=b.vec_id and a.k=1 and b.k=2""")
 def runner_up(s, d):
-    e = table(s, d, "embeddings").select("vec_id", V.softmax(F.transform(F.slice("embedding", 1, 6), lambda x: 8 * x.cast("double"))).alias("p"))
+    e = table(s, d, "embeddings").select("vec_id", V.softmax(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.aggregate(F.filter("embedding", lambda x, i: i % 6 == k), F.lit(0.0), lambda a, x: a + x.cast("double")))).alias("p"))
     order = F.array_sort(F.transform("p", lambda x, i: F.struct((-F.round(x, 9)).alias("m"), i.alias("i"), x.alias("v"))))
     e = e.select("vec_id", F.get(order, F.lit(0)).alias("a"), F.get(order, F.lit(1)).alias("b"))
     name = lambda i: F.get(X.array_of(LEVELS), i)
@@ -144,15 +144,9 @@ def output_screen(s, d):
 
 @query("t05_concept_ratio", "P3 T5 T13", f"""
 with i as (select distinct unnest({_TOK}) t from eval_items), p as (select list(t) ps from i where length(t)>=3 and not list_contains({_sql_list(X.CONCEPT_STOPWORDS)},t)),
-d as (select doc_id, list_distinct(list_filter({_TOK}, x -> length(x)>=3 and not list_contains({_sql_list(X.CONCEPT_STOPWORDS)},x))) b from documents where text is not null and source='papers-final')
+d as (select doc_id, list_distinct(list_filter({_TOK}, x -> length(x)>=3 and not list_contains({_sql_list(X.CONCEPT_STOPWORDS)},x))) b from documents where text is not null)
 select doc_id, len(b)::bigint as concepts, round(len(list_intersect(b,ps))/greatest(1,len(b))::double,6) as ratio from d, p""")
 def concept_ratio(s, d):
-    return _concept_ratio(table(s, d, "eval_items"), table(s, d, "documents").filter("source = 'papers-final'"))
-
-
-@query("t05_concept_ratio_all", "P3 T5 T13", ORACLES["t05_concept_ratio"].replace(" and source='papers-final'", ""))
-def concept_ratio_all(s, d):
-    """Over the documents of every source; the query above keeps to the one source of its SQL."""
     return _concept_ratio(table(s, d, "eval_items"), table(s, d, "documents"))
 
 
@@ -200,10 +194,10 @@ def template_choice(s, d):
 
 
 @query("t29_summary_cleaned", "T29 T28", r"""
-with p as (select distinct id, prediction p from predictions where task='summarization' and prediction is not null and regexp_matches(prediction,'^[ -~]+$'))
+with p as (select distinct id, prediction p from predictions where task='summarization' and prediction is not null)
 select id, case when regexp_matches(trim(p),'(?i)\b(the|a|an|and|of|to|with|for|in)$') then 'dangling' when not regexp_matches(trim(p),'[.!?]$') then 'open' else 'closed' end as ending, md5(trim(regexp_replace(p,'\[[0-9]+\]\s*','','g'))) as cleaned from p""")
 def summary_cleaned(s, d):
-    p = table(s, d, "predictions").filter("task = 'summarization' and prediction is not null").filter(F.col("prediction").rlike(r"\A[ -~]+\z")).select("id", F.col("prediction").alias("p")).distinct()
+    p = table(s, d, "predictions").filter("task = 'summarization' and prediction is not null").select("id", F.col("prediction").alias("p")).distinct()
     t = F.trim("p")
     ending = F.when(t.rlike(r"(?i)\b(the|a|an|and|of|to|with|for|in)\z"), "dangling").when(~t.rlike(r"[.!?]\z"), "open").otherwise("closed")
     return p.select("id", ending.alias("ending"), F.md5(F.trim(F.regexp_replace("p", r"\[[0-9]+\]\s*", ""))).alias("cleaned"))

@@ -9,7 +9,7 @@ from spindrift.functions import text as X
 from spindrift.functions import vectors as V
 from spindrift.operators import retrieval as R
 from spindrift.operators import similarity as S
-from spindrift.plans.registry import ORACLES, query
+from spindrift.plans.registry import query
 from spindrift.plans.text import _TOK, _content_sql, _sql_list
 from spindrift.runtime import table
 
@@ -61,19 +61,9 @@ def rerank(s, d):
 
 @query("w05_diversified", "W5", """
 with t as (select vec_id, label, embedding e, row_number() over(partition by label order by vec_id) rn from embeddings),
-a as (select t.label, t.vec_id, t.rn, round(list_dot_product(t.e::double[], h.e::double[]),6) c from t join t h on h.label=t.label and h.rn=1 where t.rn<=30)
+a as (select t.label, t.vec_id, t.rn, round(list_dot_product(t.e::double[], h.e::double[]),6) c from t join t h on h.label=t.label and h.rn=1)
 select label, vec_id, row_number() over(partition by label order by (rn=1) desc, c, vec_id) as place from a""")
 def diversified(s, d):
-    e = table(s, d, "embeddings")
-    t = e.withColumn("rn", F.row_number().over(W.partitionBy("label").orderBy("vec_id"))).filter("rn <= 30")
-    head = t.filter("rn = 1").select("label", F.col("embedding").alias("h"))
-    a = t.join(F.broadcast(head), "label").withColumn("c", F.round(V.dot(F.col("embedding"), F.col("h")), 6))  # one row per label
-    return a.select("label", "vec_id", F.row_number().over(W.partitionBy("label").orderBy(F.when(F.col("rn") == 1, 0).otherwise(1), "c", "vec_id")).cast("long").alias("place"))
-
-
-@query("w05_diversified_all", "W5", ORACLES["w05_diversified"].replace(" where t.rn<=30", ""))
-def diversified_all(s, d):
-    """Every row of a label gets its place; the query above keeps the 30 lowest ids, as its SQL does."""
     e = table(s, d, "embeddings").select("label", "vec_id", "embedding")
     head = e.groupBy("label").agg(F.min("vec_id").alias("first"), F.min_by("embedding", "vec_id").alias("h"))
     a = e.join(F.broadcast(head), "label").withColumn("c", F.round(V.dot(F.col("embedding"), F.col("h")), 6))  # one row per label
@@ -81,19 +71,13 @@ def diversified_all(s, d):
 
 
 @query("j10_lexical_rank", "J10 N5 N6", f"""
-with d as (select doc_id, {_TOK} w from documents where text is not null and source='papers-final'), n as (select count(*) n from d),
+with d as (select doc_id, {_TOK} w from documents where text is not null), n as (select count(*) n from d),
 tf as (select doc_id, t, count(*) f from (select doc_id, unnest(w) t from d) group by all), df as (select t, count(*) df from tf group by 1),
 idf as (select t, ln((n+1)/(df+0.5))+1 idf from df, n), q as (select item_id, t, count(*) f from (select item_id, unnest({_TOK}) t from eval_items) group by all),
 qn as (select item_id, sqrt(sum(pow(f*coalesce(idf, ln(((select n from n)+1)/0.5)+1),2))) qn, count(*) qt from q left join idf using(t) group by 1), dn as (select doc_id, sqrt(sum(pow(f*idf,2))) dn from tf join idf using(t) group by 1),
 s as (select item_id, doc_id, sum(q.f*tf.f*idf) dot, count(*) common from q join tf using(t) join idf using(t) group by all)
 select item_id, doc_id, round(dot/(qn*dn)+0.15*common/qt,5) as score from s join qn using(item_id) join dn using(doc_id) qualify row_number() over(partition by item_id order by round(dot/(qn*dn)+0.15*common/qt,5) desc, doc_id)<=4""")
 def lexical_rank(s, d):
-    return R.lexical_rank(table(s, d, "eval_items"), table(s, d, "documents").filter("source = 'papers-final'"), 4)
-
-
-@query("j10_lexical_rank_all", "J10 N5 N6", ORACLES["j10_lexical_rank"].replace(" and source='papers-final'", ""))
-def lexical_rank_all(s, d):
-    """Over the documents of every source; the query above keeps to the one source of its SQL."""
     return R.lexical_rank(table(s, d, "eval_items"), table(s, d, "documents"), 4)
 
 
@@ -108,18 +92,10 @@ def retrieval_quality(s, d):
 
 
 @query("w06_word_windows", "W6", r"""
-with t as (select source, chunk_id, string_split_regex(trim(regexp_replace(min(text),'[ \t\r\n]+',' ','g')),' ') w from document_chunks where text is not null and regexp_matches(text,'^[ -~\n\t]+$') group by all),
+with t as (select source, chunk_id, string_split_regex(trim(regexp_replace(min(text),'[ \t\r\n]+',' ','g')),' ') w from document_chunks where text is not null group by all),
 x as (select source, chunk_id, w, unnest(range(0,len(w),48)) i from t)
 select source, chunk_id, (i/48)::bigint as piece, least(64,len(w)-i)::bigint as words, md5(array_to_string(w[i+1:i+64],' ')) as h from x""")
 def word_windows(s, d):
-    t = table(s, d, "document_chunks").filter("text is not null").filter(F.col("text").rlike(r"\A[ -~\n\t]+\z"))
-    t = t.groupBy("source", "chunk_id").agg(F.min("text").alias("text"))
-    return R.word_windows(t, ["source", "chunk_id"], 64, 16)
-
-
-@query("w06_word_windows_all", "W6")
-def word_windows_all(s, d):
-    """Chunks in any characters; the query above keeps to ASCII, as its SQL does."""
     t = table(s, d, "document_chunks").filter("text is not null").groupBy("source", "chunk_id").agg(F.min("text").alias("text"))
     return R.word_windows(t, ["source", "chunk_id"], 64, 16)
 
@@ -135,20 +111,13 @@ def context_budget(s, d):
 
 
 @query("w09_extractive_summary", "W9 W10 R53", r"""
-with t as (select source, chunk_id, min(text) text from document_chunks where source='library/handbook_all.pdf' and text is not null group by all),
+with t as (select source, chunk_id, min(text) text from document_chunks where text is not null group by all),
 x as (select source, chunk_id, string_split(regexp_replace(text,'([.!?])\s+','\1'||chr(1),'g'),chr(1)) ss from t), s as (select source, chunk_id, i, ss[i] sent from (select *, unnest(range(1,len(ss)+1)) i from x)),
 k as (select *, list_distinct(list_filter(regexp_extract_all(lower(sent),'[a-z0-9]+'), w -> length(w)>2)) w from s), k2 as (select * from k where len(w)>=5),
 df as (select source, chunk_id, w t, count(*) n from (select source, chunk_id, unnest(w) w from k2) group by all),
 sc as (select source, chunk_id, i, avg(n)*0.8+0.2/(1.0+(i-1)*0.35) score from (select source, chunk_id, i, unnest(w) t from k2) join df using(source,chunk_id,t) group by source, chunk_id, i)
 select source, chunk_id, i::bigint as sentence, round(score,6) as score from sc qualify row_number() over(partition by source, chunk_id order by round(score,6) desc, i)<=2""")
 def extractive(s, d):
-    t = table(s, d, "document_chunks").filter("text is not null and source = 'library/handbook_all.pdf'").groupBy("source", "chunk_id").agg(F.min("text").alias("text"))
-    return R.extractive_sentences(t, ["source", "chunk_id"], 2)
-
-
-@query("w09_extractive_summary_all", "W9 W10 R53", ORACLES["w09_extractive_summary"].replace("source='library/handbook_all.pdf' and ", ""))
-def extractive_all(s, d):
-    """Over the chunks of every source; the query above keeps to the one source of its SQL."""
     t = table(s, d, "document_chunks").filter("text is not null").groupBy("source", "chunk_id").agg(F.min("text").alias("text"))
     return R.extractive_sentences(t, ["source", "chunk_id"], 2)
 
@@ -197,11 +166,11 @@ def visible(s, d):
 
 
 @query("n07_divergence", "N7 N8 R52 P22 N25", """
-with t as (select vec_id, list_transform(embedding[1:6], x -> exp(x::double)) e, list_transform(embedding[7:12], x -> exp(x::double)) f from embeddings),
+with t as (select vec_id, list_transform(embedding[1:32], x -> exp(x::double)) e, list_transform(embedding[33:64], x -> exp(x::double)) f from embeddings),
 p as (select vec_id, list_transform(e, x -> x/list_sum(e)) p, list_transform(f, x -> x/list_sum(f)) q from t), m as (select *, list_transform(list_zip(p,q), z -> (z[1]+z[2])/2) m from p)
-select vec_id, round(list_sum(list_transform(p, x -> -x*ln(x)))/ln(6),6) as entropy, round((list_sum(list_transform(list_zip(p,m), z -> z[1]*ln(z[1]/z[2])))+list_sum(list_transform(list_zip(q,m), z -> z[1]*ln(z[1]/z[2]))))/2/ln(2),6) as divergence from m""")
+select vec_id, round(list_sum(list_transform(p, x -> -x*ln(x)))/ln(32),6) as entropy, round((list_sum(list_transform(list_zip(p,m), z -> z[1]*ln(z[1]/z[2])))+list_sum(list_transform(list_zip(q,m), z -> z[1]*ln(z[1]/z[2]))))/2/ln(2),6) as divergence from m""")
 def divergence(s, d):
-    e = table(s, d, "embeddings").select("vec_id", V.softmax(F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double"))).alias("p"), V.softmax(F.transform(F.slice("embedding", 7, 6), lambda x: x.cast("double"))).alias("q"))
+    e = table(s, d, "embeddings").select("vec_id", V.softmax(F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double"))).alias("p"), V.softmax(F.transform(F.slice("embedding", 33, 32), lambda x: x.cast("double"))).alias("q"))
     return e.select("vec_id", F.round(V.entropy(F.col("p")), 6).alias("entropy"), F.round(V.jensen_shannon(F.col("p"), F.col("q")), 6).alias("divergence"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
-from spindrift.plans.registry import ORACLES, query
+from spindrift.plans.registry import query
 from spindrift.runtime import table
 
 _TOK = "regexp_extract_all(lower(text),'[a-z0-9]+')"
@@ -24,9 +24,9 @@ def tidy_lines(s, d):
 
 @query("t02_collapsed", "T2 R51", r"""
 select doc_id, md5(trim(regexp_replace(lower(text),'[ \t\r\n]+',' ','g'))) as collapsed, md5(trim(regexp_replace(lower(text),'[^a-z0-9]+',' ','g'))) as normalized
-from documents where text is not null and lang='en'""")
+from documents where text is not null""")
 def collapsed(s, d):
-    return _docs(s, d).filter("lang = 'en'").select("doc_id", F.md5(X.collapse(F.col("text"))).alias("collapsed"), F.md5(X.normalize(F.col("text"))).alias("normalized"))
+    return _docs(s, d).select("doc_id", F.md5(X.collapse(F.col("text"))).alias("collapsed"), F.md5(X.normalize(F.col("text"))).alias("normalized"))
 
 
 @query("t03_tokens", "T3 T4", f"select doc_id, len({_TOK})::bigint as n_tokens, len(list_distinct({_TOK}))::bigint as n_distinct from documents where text is not null")
@@ -103,31 +103,22 @@ def keyword_overlap(s, d):
 @query("t17_multiset_overlap", "T17 G3", f"""
 with a as (select item_id, t, count(*) n from (select item_id, unnest({_TOK}) t from eval_items) group by all),
 q as (select item_id, sum(n) total from a group by 1),
-b as (select doc_id, t, count(*) n from (select doc_id, unnest({_TOK}) t from documents where source='papers-final') group by all),
+b as (select doc_id, t, count(*) n from (select doc_id, unnest({_TOK}) t from documents) group by all),
 o as (select item_id, doc_id, sum(least(a.n,b.n)) shared from a join b using(t) group by all)
 select item_id, doc_id, shared::bigint as shared, round(shared/total::double,6) as ratio from o join q using(item_id) qualify row_number() over(partition by item_id order by shared desc, doc_id)<=3""")
 def multiset_overlap(s, d):
     from spindrift.operators.similarity import multiset_overlap as f
 
-    docs = table(s, d, "documents").filter("source = 'papers-final'")
-    return f(table(s, d, "eval_items"), docs, 3)
-
-
-@query("t17_multiset_overlap_all", "T17 G3", ORACLES["t17_multiset_overlap"].replace(" where source='papers-final'", ""))
-def multiset_overlap_all(s, d):
-    """Over the documents of every source; the query above keeps to the one source of its SQL."""
-    from spindrift.operators.similarity import multiset_overlap as f
-
     return f(table(s, d, "eval_items"), table(s, d, "documents"), 3)
 
 
 @query("t20_topic", "T20 T14", r"""
 select distinct id, trim(regexp_replace(regexp_replace(source_question,'^(what is|what are|explain|describe|compare|list|name|state|why does|how would you adapt|show how|design|compose|assess the claim that|judge whether|do you agree that)\s+','','i'),'[?.!]+\s*$','')) as topic
-from predictions where source_question is not null and task='qa' and regexp_matches(source_question,'^[ -~]+$')""")
+from predictions where source_question is not null and task='qa'""")
 def topic(s, d):
     q = F.regexp_replace("source_question", r"(?i)^(what is|what are|explain|describe|compare|list|name|state|why does|how would you adapt|show how|design|compose|assess the claim that|judge whether|do you agree that)\s+", "")
-    p = table(s, d, "predictions").filter("source_question is not null and task = 'qa'").filter(F.col("source_question").rlike(r"\A[ -~]+\z"))
-    return p.select("id", F.trim(F.regexp_replace(q, r"[?.!]+\s*$", "")).alias("topic")).distinct()
+    p = table(s, d, "predictions").filter("source_question is not null and task = 'qa'")
+    return p.select("id", F.trim(F.regexp_replace(q, r"[?.!]+\s*\z", "")).alias("topic")).distinct()
 
 
 @query("t23_variant_index", "T23 W17 N21", """
@@ -154,9 +145,9 @@ def forms(s, d):
 
 @query("t30_cleaned", "T30 T31 T28", r"""
 select distinct diag_id, trim(regexp_replace(regexp_replace(regexp_replace(raw_output,'<\|[a-z_]+\|>','','g'),'^\s*(Answer|Rewritten|Question|Here is the rewritten question|Certainly, see below\.?|Sure!)\s*:?\s*','','i'),'\s+',' ','g')) as cleaned
-from target_rewrite_diagnostic where raw_output is not null and regexp_matches(raw_output,'^[ -~\n]*$')""")
+from target_rewrite_diagnostic where raw_output is not null""")
 def cleaned(s, d):
-    t = table(s, d, "target_rewrite_diagnostic").filter("raw_output is not null").filter(F.col("raw_output").rlike(r"\A[ -~\n]*\z"))
+    t = table(s, d, "target_rewrite_diagnostic").filter("raw_output is not null")
     c = F.regexp_replace("raw_output", r"<\|[a-z_]+\|>", "")
     c = F.regexp_replace(c, r"(?i)^\s*(Answer|Rewritten|Question|Here is the rewritten question|Certainly, see below\.?|Sure!)\s*:?\s*", "")
     return t.select("diag_id", F.trim(F.regexp_replace(c, r"\s+", " ")).alias("cleaned")).distinct()

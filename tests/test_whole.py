@@ -22,12 +22,12 @@ def test_items_meet_the_documents_of_every_source(spark, data):
     for i, a in items.items():
         shared = sorted((-sum((a & b).values()), k) for k, b in docs.items() if a & b)[:3]
         want |= {(i, k, -n) for n, k in shared}
-    got = {(r["item_id"], r["doc_id"], r["shared"]) for r in catalog.QUERIES["t17_multiset_overlap_all"](spark, data).collect()}
+    got = {(r["item_id"], r["doc_id"], r["shared"]) for r in catalog.QUERIES["t17_multiset_overlap"](spark, data).collect()}
     assert got == want
     sources = table(spark, data, "documents").select("doc_id", "source")
-    for name in ("t17_multiset_overlap_all", "j10_lexical_rank_all"):
+    for name in ("t17_multiset_overlap", "j10_lexical_rank"):
         assert catalog.QUERIES[name](spark, data).join(sources, "doc_id").filter("source != 'papers-final'").count(), name
-    assert {r["doc_id"] for r in catalog.QUERIES["t05_concept_ratio_all"](spark, data).collect()} == set(docs)
+    assert {r["doc_id"] for r in catalog.QUERIES["t05_concept_ratio"](spark, data).collect()} == set(docs)
 
 
 def likeness(a, b):

@@ -10,14 +10,14 @@ from spindrift.runtime import table
 
 
 def test_every_source_has_summaries(spark, data):
-    got = catalog.QUERIES["w09_extractive_summary_all"](spark, data)
+    got = catalog.QUERIES["w09_extractive_summary"](spark, data)
     assert got.filter("source != 'library/handbook_all.pdf'").count()
     assert got.groupBy("source", "chunk_id").count().filter("count > 2").count() == 0
 
 
 def test_every_row_of_a_label_has_a_place(spark, data):
     e = table(spark, data, "embeddings").filter("label is not null")
-    got = catalog.QUERIES["w05_diversified_all"](spark, data)
+    got = catalog.QUERIES["w05_diversified"](spark, data)
     assert got.count() == e.count() and got.select("vec_id").distinct().count() == e.count()
     heads = got.filter("place = 1").select("label", "vec_id").collect()
     assert {tuple(r) for r in heads} == {tuple(r) for r in e.groupBy("label").agg(F.min("vec_id")).collect()}
@@ -33,4 +33,4 @@ def test_chunks_in_any_characters_have_windows(spark, tmp_path):
         for i in range(0, len(w), 48):
             p = w[i : i + 64]
             want.add(("s", k, i // 48, len(p), hashlib.md5(" ".join(p).encode()).hexdigest()))
-    assert {tuple(r) for r in catalog.QUERIES["w06_word_windows_all"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in catalog.QUERIES["w06_word_windows"](spark, str(tmp_path)).collect()} == want
