@@ -102,10 +102,12 @@ def answer_form(c) -> Column:
 
 
 def is_question(c) -> Column:
+    # First words of a question or task.
     starts = r"^(what|why|how|which|when|where|who|whom|whose|define|explain|describe|list|name|identify|state|recall|recognize|summarize|interpret|illustrate|distinguish|differentiate|break down|categorize|classify|infer|predict|outline|rank|prioritize|organize|investigate|inspect|derive|select|support|defend|recommend|compare|contrast|evaluate|assess|design|propose|create|develop|formulate|construct|analyze|analyse|examine|discuss|calculate|compute|determine|apply|use|solve|justify|critique|given|using|for the following|in the following|consider) "
     return c.contains("?") | F.concat(normalize(c), F.lit(" ")).rlike(starts)
 
 
+# Phrases about the task itself.
 META = r"\bas an ai\b|\bi (?:cannot|can t|won t)\b|\brewrit(?:e|ten|ing)\b|\bbloom(?: s)?\s+level\b|\btarget\s+level\b|\boriginal\s+question\b|\bhere is\b|\bhere s the\b"
 
 

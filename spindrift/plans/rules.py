@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
 from spindrift.functions import vectors as V
-from spindrift.operators.similarity import gram_rows, term_counts
+from spindrift.operators.similarity import term_counts
 from spindrift.plans.registry import query
-from spindrift.plans.similarity import _grams
 from spindrift.plans.text import _TOK, _sql_list
 from spindrift.runtime import table
 
@@ -69,6 +68,7 @@ def cues(s, d):
     return _rewrites(s, d).select("id", *[F.size(F.filter(X.array_of(v), lambda w: F.col("p").contains(w))).cast("long").alias(k.lower()) for k, v in CUES.items()])
 
 
+# Pools of verbs by cue.
 _APPLY = [(r"\b(calculat|comput|numeric|equation|formula|percentage|probability|sum|average|distance|speed|cost|rate)\w*\b", ["Calculate", "Compute", "Determine"]), (r"\b(error|debug|fault|failure|bug|diagnos)\w*\b", ["Diagnose", "Test", "Investigate"]), (r"\b(given|input|output|scenario|case|example|algorithm|procedure|method)\b", ["Use", "Apply", "Demonstrate", "Execute"])]
 _ELSE = ["Demonstrate", "Apply", "Use", "Determine"]
 
@@ -119,29 +119,6 @@ def failures(s, d):
     return p.select("id", F.array_join(F.array_compact(found), ";").alias("failures"))
 
 
-@query("pr03_output_screen", "P3 R30 R54 T5 T17 T18", f"""
-with t as (select distinct turn_id, coalesce(content,'') text from chat_turns), w as (select turn_id, {_TOK} w, text from t),
-g8 as (select distinct turn_id from {_grams('t', 'turn_id', 8)} join (select distinct gram from {_grams('eval_items', 'item_id', 8)}) using(gram)),
-g5 as (select turn_id, avg((p.gram is not null)::int) c from {_grams('t', 'turn_id', 5)} a left join (select distinct gram from {_grams('eval_items', 'item_id', 5)}) p using(gram) group by 1),
-pt as (select t, count(*) m from (select unnest({_TOK}) t from eval_items) group by 1), ct as (select turn_id, t, count(*) n from (select turn_id, unnest(w) t from w) group by all),
-o as (select turn_id, sum(least(n,coalesce(m,0)))/sum(n)::double o, sum(n) n from ct left join pt using(t) group by 1)
-select turn_id, case when g8.turn_id is not null then 'span_copied' when coalesce(c,0)>=0.35 and coalesce(n,0)>=5 then 'ngram_copied' when coalesce(o,0)>=0.55 and coalesce(n,0)>=8 then 'overlap_high' else 'ok' end as reason, round(coalesce(o,0),6) as overlap, round(coalesce(c,0),6) as containment
-from t left join g8 using(turn_id) left join g5 using(turn_id) left join o using(turn_id)""")
-def output_screen(s, d):
-    """Outputs against the union of the protected items, whose terms and n-grams are joined by equality."""
-    t = table(s, d, "chat_turns").select("turn_id", F.coalesce("content", F.lit("")).alias("text")).distinct()
-    items = table(s, d, "eval_items")
-    span = gram_rows(t, "turn_id", 8).join(gram_rows(items, "item_id", 8).select("gram").distinct(), "gram").select("turn_id", F.lit(True).alias("span")).distinct()
-    known = gram_rows(items, "item_id", 5).select("gram", F.lit(1).alias("k")).distinct()
-    five = gram_rows(t, "turn_id", 5).join(known, "gram", "left").groupBy("turn_id").agg(F.avg(F.coalesce("k", F.lit(0))).alias("c"))
-    m = term_counts(items, "item_id").groupBy("t").agg(F.sum("n").alias("m"))
-    o = term_counts(t, "turn_id").join(m, "t", "left").groupBy("turn_id").agg((F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n")).alias("o"), F.sum("n").alias("n"))
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    reason = F.when(F.col("span"), "span_copied").when((z("c") >= 0.35) & (z("n") >= 5), "ngram_copied").when((z("o") >= 0.55) & (z("n") >= 8), "overlap_high").otherwise("ok")
-    j = t.select("turn_id").join(span, "turn_id", "left").join(five, "turn_id", "left").join(o, "turn_id", "left")
-    return j.select("turn_id", reason.alias("reason"), F.round(z("o").cast("double"), 6).alias("overlap"), F.round(z("c").cast("double"), 6).alias("containment"))
-
-
 @query("t05_concept_ratio", "P3 T5 T13", f"""
 with i as (select distinct unnest({_TOK}) t from eval_items), p as (select list(t) ps from i where length(t)>=3 and not list_contains({_sql_list(X.CONCEPT_STOPWORDS)},t)),
 d as (select doc_id, list_distinct(list_filter({_TOK}, x -> length(x)>=3 and not list_contains({_sql_list(X.CONCEPT_STOPWORDS)},x))) b from documents where text is not null)

@@ -143,21 +143,75 @@ def recent_turns(s, d):
     return r.groupBy("session_id").agg(F.count("*").alias("turns"), F.md5(F.array_join(F.transform(rows, lambda x: x["line"]), "\n")).alias("transcript"))
 
 
-_RISK = [r"\bverbatim\b", r"\bexact (text|question|paper)\b", r"\breconstruct\b", r"\brecover\b", r"\breveal\b", r"\bwhat (are|were) the questions\b", r"\blist (all|the) questions\b", r"\bcopy\b", r"\bquote\b", r"\bgive\b.*\b(questions?|exam|paper)\b", r"\bfull (question paper|exam paper|paper)\b"]
-_ARTIFACT = r"\buploaded\b|\bprotected\b|\bexam\b|\bquestion paper\b|\bpaper\b|\bmoderation\b"
-_RISK_SQL = "+".join(f"(case when regexp_matches(lower(c),'{p}') then 1 else 0 end)" for p in _RISK)
-
-
-@query("pr01_screening", "P1 P2 P4 R30", f"""
-with t as (select distinct turn_id, coalesce(content,'') c from chat_turns), h as (select turn_id, c, {_RISK_SQL} hits, regexp_matches(lower(c),'{_ARTIFACT}') art from t),
-g as (select distinct h.turn_id from h join {_grams('chat_turns', 'turn_id', 8, 'content is not null').replace('lower(text)', 'lower(content)')} using(turn_id) join {_grams('eval_items', 'item_id', 8)} using(gram))
-select turn_id, case when trim(c)='' then 'empty_query' when hits>0 then 'reconstruction_intent_detected' when g.turn_id is not null then 'protected_span_in_query' else 'ok' end as reason, round(case when trim(c)='' then 1.0 else least(1.0,0.2*hits) end,6) as risk, art as names_artifact
-from h left join g using(turn_id)""")
+# Wordings of a query that are a risk, and names of protected artifacts.
+_RISK = [
+    r"\bverbatim\b",
+    r"\bexact (text|question|paper)\b",
+    r"\breconstruct\b",
+    r"\brecover\b",
+    r"\breveal\b",
+    r"\bshow (me )?(the )?(question paper|exam paper|uploaded exam)\b",
+    r"\bwhat (are|were) the questions\b",
+    r"\bfull (question paper|exam paper|paper)\b",
+    r"\blist (all|the) questions\b",
+    r"\bcopy\b",
+    r"\bquote\b",
+    r"\bmoderation paper\b",
+    r"\bwithout (copying|quoting)\b.*\b(exam|paper|question)",
+    r"\bin (your own words|plain english)\b.*\b(exam|paper|question)",
+    r"\bparaphrase\b.*\b(exam|paper|question|protected|uploaded)",
+    r"\btopics?\b.*\b(uploaded|protected|exam|question paper)",
+    r"\bwhat does the (uploaded|protected) (exam|paper)\b.*\bcover\b",
+    r"\bsummarize\b.*\b(uploaded|protected|previously uploaded)\b.*\b(document|documents|exam|paper|questions?)\b",
+    r"\b(previously uploaded|uploaded)\b.*\b(document|documents|exam|paper|questions?)\b",
+    r"\bgive\b.*\b(uploaded|protected|previously uploaded)\b.*\b(document|documents|exam|paper|questions?)\b",
+    r"\bfirst\b.*\bthen\b.*\b(protected|exam|paper)",
+    r"\bprevious answer\b.*\b(protected|exam|question)",
+]
+_ARTIFACTS = [r"\buploaded\b", r"\bprotected\b", r"\bexam\b", r"\bquestion paper\b", r"\buploaded document\b", r"\buploaded documents\b", r"\bpreviously uploaded\b", r"\bpaper\b", r"\bmoderation\b"]
+_RISK_SQL = "+".join(f"(case when regexp_matches(lower(text),'{p}') then 1 else 0 end)" for p in _RISK)
+_ARTIFACT_SQL = " or ".join(f"regexp_matches(lower(text),'{p}')" for p in _ARTIFACTS)
+_ALIASES_IN = "list_filter([" + ",".join(f"case when list_has_any(b,{_sql_list(v)}) then '{k}' end" for k, v in X.CONCEPT_ALIASES.items()) + "], x -> x is not null)"
+
+
+def _leak_sql(rows):
+    """x: what rows (turn_id, text, ...) share with the evaluation items."""
+    concepts = f"list_distinct(list_filter({_TOK}, x -> length(x)>=3 and not list_contains({_sql_list(X.CONCEPT_STOPWORDS)},x)))"
+    return f"""t as {rows},
+g8 as (select distinct turn_id from {_grams('t', 'turn_id', 8)} join (select distinct gram from {_grams('eval_items', 'item_id', 8)}) using(gram)),
+g5 as (select turn_id, avg((p.gram is not null)::int) c from {_grams('t', 'turn_id', 5)} a left join (select distinct gram from {_grams('eval_items', 'item_id', 5)}) p using(gram) group by 1),
+pt as (select t, count(*) m from (select unnest({_TOK}) t from eval_items) group by 1), ct as (select turn_id, w, count(*) n from (select turn_id, unnest({_TOK}) w from t) group by all),
+o as (select turn_id, sum(least(n,coalesce(m,0)))/sum(n)::double o, sum(n) n from ct left join pt on pt.t=ct.w group by 1),
+pc as (select distinct unnest(list_concat(b,{_ALIASES_IN})) w from (select {concepts} b from eval_items)), cc as (select turn_id, unnest(list_distinct(list_concat(b,{_ALIASES_IN}))) w from (select turn_id, {concepts} b from t)),
+k as (select turn_id, count(*) k, sum((pc.w is not null)::int)/count(*)::double r from cc left join pc using(w) group by 1),
+x as (select t.*, g8.turn_id is not null span, coalesce(c,0)::double c, coalesce(o,0)::double o, coalesce(n,0) n, coalesce(k,0) k, coalesce(r,0)::double r from t left join g8 using(turn_id) left join g5 using(turn_id) left join o using(turn_id) left join k using(turn_id))"""
+
+
+@query("pr01_screening", "P1 P2 P4 T5 T17 T18", f"""
+with {_leak_sql("(select distinct turn_id, coalesce(content,'') as text from chat_turns)")}, y as (select *, {_RISK_SQL} hits, ({_ARTIFACT_SQL}) art from x),
+z as (select *, case when trim(text)='' then 'empty_query' when hits>0 then 'reconstruction_intent_detected' when art and o>=0.12 then 'artifact_reference_with_overlap' when span then 'protected_span_in_query' when art and c>=0.35 then 'protected_ngram_query' when art and r>=0.62 then 'protected_semantic_query' when o>=0.85 and n>=8 then 'query_overlap_high' else 'ok' end reason from y)
+select turn_id, reason, round(case reason when 'empty_query' then 1.0 when 'reconstruction_intent_detected' then least(1.0,0.2*hits) when 'protected_span_in_query' then 1.0 when 'protected_ngram_query' then c when 'protected_semantic_query' then r else o end,6) as risk, art as names_artifact from z""")
 def screening(s, d):
     from spindrift.operators.screening import screen
 
-    t = table(s, d, "chat_turns").select("turn_id", F.coalesce("content", F.lit("")).alias("c")).distinct()
-    return screen(t, table(s, d, "eval_items"), _RISK, _ARTIFACT)
+    t = table(s, d, "chat_turns").select("turn_id", F.coalesce("content", F.lit("")).alias("text")).distinct()
+    return screen(t, "turn_id", table(s, d, "eval_items"), "item_id", _RISK, _ARTIFACTS)
+
+
+_STAFF = "(select distinct turn_id, coalesce(content,'') as text, lower(trim(coalesce(role,''))) in ('teacher','moderator','admin','assistant') staff from chat_turns)"
+
+
+@query("pr03_output_screen", "P3 T5 T17 T18", f"""
+with {_leak_sql(_STAFF)}, z as (select *, case when span then 's' when c>=0.35 and n>=5 then 'c' when not staff and r>=0.62 and k>=4 then 'r' when o>=0.55 and n>=8 then 'o' else 'ok' end w from x)
+select turn_id, case w when 's' then (case when staff then 'teacher_output_copied_protected_span' else 'protected_span_copied' end) when 'c' then (case when staff then 'teacher_output_copied_protected_ngram' else 'protected_ngram_copied' end) when 'r' then 'protected_semantic_leakage' when 'o' then (case when staff then 'teacher_output_high_protected_overlap' else 'protected_overlap_high' end) else 'ok' end as reason,
+round(case w when 's' then 1.0 when 'c' then c when 'r' then r when 'o' then o else greatest(o,c) end,6) as risk from z""")
+def output_screen(s, d):
+    """Turns as outputs; those of the assistant stand for outputs to staff, as the test table has no other readers."""
+    from spindrift.operators.screening import screen_outputs
+
+    staff = F.lower(F.trim(F.coalesce("role", F.lit("")))).isin("teacher", "moderator", "admin", "assistant")
+    t = table(s, d, "chat_turns").select("turn_id", F.coalesce("content", F.lit("")).alias("text"), staff.alias("staff")).distinct()
+    return screen_outputs(t, "turn_id", table(s, d, "eval_items"), "item_id")
 
 
 @query("pr05_visible", "P5 P6", "select content_type, count(*)::bigint as documents, sum(case when access_level='public' then 1 else 0 end)::bigint as open_documents from documents group by 1")
