@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.runtime import cut
+
 
 def _positions(df: DataFrame) -> DataFrame:
     return df.select("client", F.posexplode("embedding").alias("pos", "v"))
@@ -94,12 +96,12 @@ def federated_logistic(docs: DataFrame, rounds: int, clients: int = 4, size: int
                     a[3] -= float(np.log(max(p if y >= 0.5 else 1 - p, 1e-9)))
             yield pd.DataFrame([(c, a[0].tolist(), a[1], a[2], a[3]) for c, a in g.items()], columns=["client", "g", "n", "hit", "loss"])
 
-        rows = f.mapInPandas(grad, "client long, g array<double>, n long, hit long, loss double").collect()
-        by = {}
-        for x in rows:
-            a = by.setdefault(x["client"], [np.zeros(size + 1), 0])
-            a[0] += np.array(x["g"])
-            a[1] += x["n"]
+        # Partitions are added up where they are: one row per client and position comes to the driver.
+        parts = cut(f.mapInPandas(grad, "client long, g array<double>, n long, hit long, loss double"))
+        rows = parts.groupBy("client").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"), F.sum("loss").alias("loss")).collect()
+        by = {x["client"]: [np.zeros(size + 1), x["n"]] for x in rows}
+        for x in parts.select("client", F.posexplode("g").alias("pos", "v")).groupBy("client", "pos").agg(F.sum("v").alias("v")).collect():
+            by[x["client"]][0][x["pos"]] = x["v"]
         n = sum(a[1] for a in by.values()) or 1
         out.append((r, sum(x["hit"] for x in rows) / n, sum(x["loss"] for x in rows) / n))
         step = np.zeros(size + 1)

@@ -32,7 +32,7 @@ def top_matches(queries: DataFrame, corpus: DataFrame, k: int, nearest: bool = F
         if not len(a) or not len(b):
             return pd.DataFrame({"q": [], "v": [], "s": []}).astype({"q": "int64", "v": "int64"})
         A, B, ids = np.stack(a["embedding"]).astype(float), np.stack(b["embedding"]).astype(float), b["vec_id"].to_numpy()
-        out = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for x in range(0, len(A), 256):
             S = A[x : x + 256] @ B.T
             S = np.round((A[x : x + 256] ** 2).sum(1)[:, None] + (B**2).sum(1) - 2 * S, 5) if nearest else -np.round(S, 6)
@@ -42,8 +42,9 @@ def top_matches(queries: DataFrame, corpus: DataFrame, k: int, nearest: bool = F
                 near = np.flatnonzero(row <= edge)
                 near = near[np.lexsort((ids[near], row[near]))][:k]
                 near = near[np.isfinite(row[near])]
-                out.append(pd.DataFrame({"q": q_id, "v": ids[near], "s": row[near]}))
-        return pd.concat(out).astype({"q": "int64", "v": "int64"})
+                out.append((np.full(len(near), q_id), ids[near], row[near]))
+        q_ids, v_ids, scores = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"q": q_ids, "v": v_ids, "s": scores}).astype({"q": "int64", "v": "int64"})
 
     x = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(best, "q long, v long, s double")
     x = x.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("s", "v"))).filter(F.col("r") <= k)
@@ -55,6 +56,13 @@ def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return top_matches(queries, corpus, k, nearest=True).select("q", "v", F.col("s").alias("dist"))
 
 
+def relevant_matches(queries: DataFrame, corpus: DataFrame, pool: int, least: float) -> DataFrame:
+    """(q, v, cosine): of each query's pool the rows of ``least`` or more, or the best one if there is none."""
+    x = top_matches(queries, corpus, pool)
+    top = x.withColumn("top", F.max("s").over(W.partitionBy("q")))  # at most ``pool`` rows
+    return top.filter((F.col("s") >= least) | ((F.col("top") < least) & (F.col("r") == 1))).select("q", "v", F.col("s").alias("cosine"))
+
+
 def privacy_rerank(queries: DataFrame, corpus: DataFrame, pool: int, temperature: float, weight: float) -> DataFrame:
     """(q, v, risk, score, rank): cosine of the pool minus ``weight`` times its softmax over the pool."""
     x = top_matches(queries, corpus, pool).select("q", "v", F.col("s").alias("c"))
@@ -99,13 +107,22 @@ def word_windows(df: DataFrame, keys: list[str], size: int, overlap: int) -> Dat
     return x.select(*keys, (F.col("i") / step).cast("long").alias("piece"), F.size("p").cast("long").alias("words"), F.md5(F.array_join("p", " ")).alias("h"))
 
 
-def context_budget(df: DataFrame, group: str, order: str, most: int) -> DataFrame:
-    """Rows of each group up to the first that would pass the budget; the first row always stays."""
-    by = W.partitionBy(group)
-    run = by.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    r = df.withColumn("rank", F.row_number().over(by.orderBy(order))).withColumn("total", F.sum("chars").over(run))
-    r = r.withColumn("stop", F.min(F.when((F.col("total") > most) & (F.col("rank") > 1), F.col("rank"))).over(by))
-    return r.filter(F.col("stop").isNull() | (F.col("rank") < F.col("stop"))).select(group, order, "chars", "total")
+def context_budget(df: DataFrame, group: str, order: str, most: int, block: int = 256) -> DataFrame:
+    """(group, order, chars, total): rows of each group up to the first that would pass the budget; the first row always stays.
+
+    Running totals are put together from blocks of ``block`` values of the whole number ``order``, so a group with most of
+    all rows is not summed up in one task, and the place where it stops is an aggregate.
+    """
+    x = df.select(group, order, "chars").withColumn("_b", F.floor(F.col(order) / block))
+    sums = x.groupBy(group, "_b").agg(F.sum("chars").alias("_s"), F.min(order).alias("_o"))
+    over = W.partitionBy(group).orderBy("_b")
+    sums = sums.select(F.col(group).alias("_g"), F.col("_b").alias("_k"), (F.sum("_s").over(over) - F.col("_s")).alias("_before"), F.min("_o").over(W.partitionBy(group)).alias("_first"))
+    run = W.partitionBy(group, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    x = x.withColumn("_t", F.sum("chars").over(run))
+    r = x.join(sums, x[group].eqNullSafe(sums["_g"]) & (x["_b"] == sums["_k"])).withColumn("total", F.col("_t") + F.col("_before"))
+    stop = r.filter((F.col("total") > most) & (F.col(order) > F.col("_first"))).groupBy(F.col(group).alias("_h")).agg(F.min(order).alias("_stop"))
+    r = r.select(group, order, "chars", "total").join(stop, F.col(group).eqNullSafe(F.col("_h")), "left")
+    return r.filter(F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).select(group, order, "chars", "total")
 
 
 def extractive_sentences(df: DataFrame, keys: list[str], top: int) -> DataFrame:

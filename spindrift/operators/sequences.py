@@ -32,7 +32,7 @@ def lcs_length(a: list[str], b: list[str]) -> int:
 
 
 def overlap_scores(pairs: DataFrame) -> DataFrame:
-    """(id, rouge1, rouge_l, meteor) of (id, prediction, reference): unigram F1, recall-weighted subsequence F, set overlap."""
+    """(id, rouge1, rouge2, rouge_l, meteor) of (id, prediction, reference): F1 of words and of word pairs, recall-weighted subsequence F, set overlap."""
 
     def score(frames):
         for pdf in frames:
@@ -41,16 +41,18 @@ def overlap_scores(pairs: DataFrame) -> DataFrame:
                 a, b = _TOKEN.findall(p.lower()), _TOKEN.findall(r.lower())
                 common = sum((Counter(a) & Counter(b)).values())
                 f1 = 2 * common / (len(a) + len(b)) if a or b else 1.0
+                ta, tb = list(zip(a, a[1:])), list(zip(b, b[1:]))
+                f2 = 2 * sum((Counter(ta) & Counter(tb)).values()) / (len(ta) + len(tb)) if ta or tb else float(a == b)
                 n = lcs_length(a, b)
                 x, y = (n / len(a), n / len(b)) if n else (0.0, 0.0)
                 f = (1 + 1.44) * x * y / (y + 1.44 * x) if n else 0.0
                 sa, sb = set(a), set(b)
                 m = len(sa & sb)
                 u, v = (m / len(sa), m / len(sb)) if m else (0.0, 0.0)
-                out.append((i, round(f1, 6), round(f, 6), round(u * v / (0.9 * u + 0.1 * v), 6) if m else 0.0))
-            yield pd.DataFrame(out, columns=["id", "rouge1", "rouge_l", "meteor"])
+                out.append((i, round(f1, 6), round(f2, 6), round(f, 6), round(u * v / (0.9 * u + 0.1 * v), 6) if m else 0.0))
+            yield pd.DataFrame(out, columns=["id", "rouge1", "rouge2", "rouge_l", "meteor"])
 
-    return pairs.mapInPandas(score, "id string, rouge1 double, rouge_l double, meteor double")
+    return pairs.mapInPandas(score, "id string, rouge1 double, rouge2 double, rouge_l double, meteor double")
 
 
 def sequence_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:

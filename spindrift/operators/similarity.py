@@ -45,6 +45,18 @@ def shared_runs(items: DataFrame, docs: DataFrame, n: int = 8) -> DataFrame:
     return gram_rows(items, "item_id", n).join(gram_rows(docs, "doc_id", n), "gram").select("item_id", "doc_id").distinct()
 
 
+def longest_runs(items: DataFrame, docs: DataFrame, n: int = 8) -> DataFrame:
+    """(item_id, doc_id, run): the longest run of common tokens of pairs that share one of n or more.
+
+    n-grams are joined with their places; in a run they follow each other on one diagonal.
+    """
+    placed = lambda df, key, at: df.filter("text is not null").select(key, "text").distinct().select(key, F.posexplode(X.ngrams(X.tokens(F.col("text")), n)).alias(at, "gram"))
+    m = placed(items, "item_id", "i").join(placed(docs, "doc_id", "j"), "gram").select("item_id", "doc_id", "i", (F.col("i") - F.col("j")).alias("d"))
+    run = F.col("i") - F.row_number().over(W.partitionBy("item_id", "doc_id", "d").orderBy("i"))
+    r = m.withColumn("g", run).groupBy("item_id", "doc_id", "d", "g").agg((F.count("*") + (n - 1)).alias("run"))
+    return r.groupBy("item_id", "doc_id").agg(F.max("run").alias("run"))
+
+
 def banded_pairs(df: DataFrame, key: str, band: int, least: float) -> DataFrame:
     """Pairs within ``band`` places of each other in key order with content likeness ``least`` or more.
 

@@ -29,7 +29,7 @@ def confusion(s, d):
     return M.confusion(_base(s, d), "gold", "pred")
 
 
-@query("a02_class_report", "A2 A3 A51", f"""
+@query("a02_class_report", "A3", f"""
 with b as {_BASE}, c as (select label, sum((gold=label and pred=label)::int) tp, sum((gold=label)::int) g, sum((pred=label)::int) p from b, {_LEVELS_SQL} group by 1),
 m as (select label, case when p=0 then 0.0 else tp/p::double end pr, case when g=0 then 0.0 else tp/g::double end re, g from c)
 select label, round(pr,6) as precision, round(re,6) as recall, round(case when pr+re=0 then 0.0 else 2*pr*re/(pr+re) end,6) as f1, g::bigint as support from m""")
@@ -71,7 +71,7 @@ def calibration(s, d):
     return j.select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.round("acc", 6).alias("accuracy"), F.round("c", 6).alias("confidence"), F.round(F.coalesce(share, F.lit(0.0)), 6).alias("error"))
 
 
-@query("a08_selective", "A8 A34", f"""
+@query("a08_selective", "A8", f"""
 with b as {_BASE}, t as (select unnest([0.5,0.6,0.7,0.8,0.9])::double t)
 select t as threshold, round(avg((conf>=t)::int),6) as coverage, round(avg(case when conf>=t then (gold=pred)::int end),6) as accuracy from b, t where conf is not null group by 1""")
 def selective(s, d):
@@ -91,16 +91,70 @@ def _pair(s, d):
     return one("run-base-fp16", "x").join(one("run-fedprox-q4", "y"), "q").filter("x is not null and y is not null")
 
 
-@query("a09_mcnemar", "A9 A10 J1 R24 A40", f"""
+@query("a09_mcnemar", "A9 A10 R24 A40", f"""
 select count(*)::bigint as pairs, sum((x=1 and y=0)::int)::bigint as only_first, sum((x=0 and y=1)::int)::bigint as only_second, round(avg((x=y)::int),6) as agreement,
-round(case when sum((x<>y)::int)=0 then 0.0 else pow(greatest(abs(sum((x=1 and y=0)::int)-sum((x=0 and y=1)::int))-1,0),2)/sum((x<>y)::int)::double end,6) as chi2 from {_PAIR}""")
+round(case when sum((x<>y)::int)=0 then 0.0 else pow(greatest(abs(sum((x=1 and y=0)::int)-sum((x=0 and y=1)::int))-1,0),2)/sum((x<>y)::int)::double end,6) as chi2,
+round(least(1.0, 2*list_sum(list_transform(range(0, least(sum((x=1 and y=0)::int),sum((x=0 and y=1)::int))::bigint+1), i -> exp(lgamma(sum((x<>y)::int)+1)-lgamma(i+1)-lgamma(sum((x<>y)::int)-i+1)-sum((x<>y)::int)*ln(2))))),6) as exact_p from {_PAIR}""")
 def mcnemar(s, d):
     b, c = F.count_if(F.expr("x = 1 and y = 0")), F.count_if(F.expr("x = 0 and y = 1"))
     chi = F.when(b + c == 0, 0.0).otherwise(F.pow(F.greatest(F.abs(b - c) - 1, F.lit(0)), 2) / (b + c))
-    return _pair(s, d).agg(F.count("*").alias("pairs"), b.alias("only_first"), c.alias("only_second"), F.round(F.avg(F.expr("cast(x = y as int)")), 6).alias("agreement"), F.round(chi, 6).alias("chi2"))
+    x = _pair(s, d).agg(F.count("*").alias("pairs"), b.alias("only_first"), c.alias("only_second"), F.round(F.avg(F.expr("cast(x = y as int)")), 6).alias("agreement"), F.round(chi, 6).alias("chi2"))
+    # Twice the binomial tail up to the smaller count: the logarithm of each term follows from the one before.
+    n, k = (F.col("only_first") + F.col("only_second")).cast("double"), F.least("only_first", "only_second")
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("t"), F.lit(0.0).alias("s"))
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k), start, lambda a, i: F.struct((a["t"] + F.log(F.greatest(n - i, F.lit(1.0)) / (i + 1))).alias("t"), (a["s"] + F.exp(a["t"])).alias("s")), lambda a: a["s"])
+    return x.withColumn("exact_p", F.round(F.least(F.lit(1.0), 2 * tail), 6))
 
 
-@query("a11_bootstrap", "A11 A12")
+@query("a02_averages", "A2", f"""
+with b as {_BASE}, c as (select label, sum((gold=label and pred=label)::int) tp, sum((gold=label)::int) g, sum((pred=label)::int) p from b, {_LEVELS_SQL} group by 1),
+m as (select label, round(case when p=0 then 0.0 else tp/p::double end,6) pr, round(case when g=0 then 0.0 else tp/g::double end,6) re, case when p+g=0 then 0.0 else 2*tp/(p+g)::double end f, g from c)
+select round(avg(pr),5) as macro_precision, round(avg(re),5) as macro_recall, round(avg(f),5) as macro_f1, round(sum(pr*g)/sum(g),5) as weighted_precision, round(sum(re*g)/sum(g),5) as weighted_recall, round(sum(f*g)/sum(g),5) as weighted_f1 from m""")
+def class_averages(s, d):
+    r = M.class_report(M.confusion(_base(s, d), "gold", "pred"), _codes(s)).withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
+    each = [x for c in ("precision", "recall", "f1") for x in (F.round(F.avg(c), 5).alias(f"macro_{c}"), F.round(F.sum(F.col(c) * F.col("support")) / F.sum("support"), 5).alias(f"weighted_{c}"))]
+    return r.agg(*each)
+
+
+@query("a34_sweep_area", "A34", f"""
+with b as {_BASE}, t as (select unnest([0.0,0.4,0.5,0.6,0.7,0.8,0.9])::double t), g as (select t, avg((conf>=t)::int) x, coalesce(avg(case when conf>=t then (gold=pred)::int end),0) y from b, t where conf is not null group by 1),
+l as (select t, x, y, lag(x) over(order by t desc) lx, lag(y) over(order by t desc) ly from g) select count(*)::bigint as thresholds, round(sum((x-lx)*(y+ly)/2),6) as area from l""")
+def sweep_area(s, d):
+    """Area under accuracy over coverage by trapezes between seven thresholds."""
+    b = _base(s, d).filter("conf is not null").select("conf", (F.col("gold") == F.col("pred")).cast("int").alias("hit"))
+    t = b.withColumn("t", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)])))
+    on = F.col("conf") >= F.col("t")
+    g = t.groupBy("t").agg(F.avg(on.cast("int")).alias("x"), F.coalesce(F.avg(F.when(on, F.col("hit"))), F.lit(0.0)).alias("y"))
+    back = W.partitionBy().orderBy(F.desc("t"))  # seven rows
+    g = g.withColumns({"lx": F.lag("x").over(back), "ly": F.lag("y").over(back)})
+    return g.agg(F.count("*").alias("thresholds"), F.round(F.sum((F.col("x") - F.col("lx")) * (F.col("y") + F.col("ly")) / 2), 6).alias("area"))
+
+
+@query("j01_last_wins", "J1", """
+with p as (select distinct id, run_id, source_question q, evaluated_at, (lower(trim(target_bloom_level))=lower(trim(classifier_prediction)))::int ok from predictions where task='bloom_rewrite' and source_question is not null and id is not null),
+a as (select * from p where run_id='run-base-fp16'), b as (select * from p where run_id='run-fedprox-q4' qualify row_number() over(partition by q order by evaluated_at desc nulls last, id desc)=1)
+select a.id, b.id as other_id, a.ok as first_ok, b.ok as second_ok from a join b using(q)""")
+def last_wins(s, d):
+    """Predictions of one run with the other run's last prediction on the same question."""
+    ok = (F.lower(F.trim("target_bloom_level")) == F.lower(F.trim("classifier_prediction"))).cast("int")
+    p = table(s, d, "predictions").filter("task = 'bloom_rewrite' and source_question is not null and id is not null").select("id", "run_id", F.col("source_question").alias("q"), "evaluated_at", ok.alias("ok")).distinct()
+    last = F.max(F.struct(F.coalesce("evaluated_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("t"), "id", "ok"))
+    b = p.filter("run_id = 'run-fedprox-q4'").groupBy("q").agg(last.alias("x")).select("q", F.col("x.id").alias("other_id"), F.col("x.ok").alias("second_ok"))
+    return p.filter("run_id = 'run-base-fp16'").join(b, "q").select("id", "other_id", F.col("ok").alias("first_ok"), "second_ok")
+
+
+@query("j15_missing_transitions", "J13 J15", f"""
+with b as (select distinct run_id, lower(trim(source_bloom_level)) s, lower(trim(target_bloom_level)) t from predictions where task='bloom_rewrite'), l as (select * from {_LEVELS_SQL}), r as (select distinct run_id from b where run_id is not null)
+select r.run_id, x.label as source, y.label as target from r, l x, l y where x.label<>y.label and not exists (select 1 from b where b.run_id=r.run_id and b.s=x.label and b.t=y.label)""")
+def missing_transitions(s, d):
+    low = lambda c: F.lower(F.trim(c))
+    b = table(s, d, "predictions").filter("task = 'bloom_rewrite' and run_id is not null").select("run_id", low("source_bloom_level").alias("source"), low("target_bloom_level").alias("target")).distinct()
+    c = [x.lower() for x in LEVELS]
+    pairs = F.array(*[F.struct(F.lit(x).alias("source"), F.lit(y).alias("target")) for x in c for y in c if x != y])
+    return b.select("run_id").distinct().select("run_id", F.inline(pairs)).join(b, ["run_id", "source", "target"], "left_anti")
+
+
+@query("a11_bootstrap", "A11")
 def bootstrap(s, d):
     """95 % interval of accuracy over 200 Poisson resamples by hash: counts per resample come from one pass."""
     b = _base(s, d).select("id", (F.col("gold") == F.col("pred")).cast("double").alias("hit"))
@@ -110,7 +164,7 @@ def bootstrap(s, d):
     return g.agg(F.round(F.avg("acc"), 6).alias("mean"), F.round(F.percentile("acc", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("acc", F.lit(0.975)), 6).alias("high"))
 
 
-@query("a18_rate_panel", "A18 A20 A35", """
+@query("a18_rate_panel", "A18 A20", """
 with p as (select distinct id, run_id, format_valid, semantic_valid, cognitive_valid, topic_preserved, trivial_transform, fully_validated, semantic_similarity, task from predictions)
 select run_id, count(*)::bigint as n, round(coalesce(avg(format_valid::int),0),6) as format_rate, round(coalesce(avg(semantic_valid::int),0),6) as semantic_rate, round(coalesce(avg(cognitive_valid::int),0),6) as cognitive_rate, round(coalesce(avg(trivial_transform::int),0),6) as trivial_rate, round(coalesce(avg(fully_validated::int),0),6) as validated_rate, round(coalesce(avg(semantic_similarity),0),5) as mean_similarity
 from p where task='bloom_rewrite' group by 1""")
@@ -121,7 +175,7 @@ def rate_panel(s, d):
     return p.groupBy("run_id").agg(F.count("*").alias("n"), *rates, F.round(F.coalesce(F.avg("semantic_similarity"), F.lit(0.0)), 5).alias("mean_similarity"))
 
 
-@query("a19_transition_matrix", "A19 J13 J14 J15", f"""
+@query("a19_transition_matrix", "A19 J14", f"""
 with b as {_BASE}, l as (select * from {_LEVELS_SQL}), s as (select a.label src, b.label tgt from l a, l b where a.label<>b.label),
 g as (select src, gold, count(*) n, avg((gold=pred)::int) acc, avg(coalesce(ok,false)::int) v from b group by all)
 select s.src as source, s.tgt as target, coalesce(n,0)::bigint as n, round(acc,6) as accuracy, round(v,6) as validated from s left join g on g.src=s.src and g.gold=s.tgt""")
@@ -136,10 +190,11 @@ def transitions(s, d):
 with p as (select distinct id, run_id, latency_s from predictions where latency_s is not null), l as (select run_id, list_sort(list(latency_s)) v from p group by 1)
 select run_id, len(v)::bigint as n, round(list_avg(v),5) as mean, v[round_even(0.5*(len(v)-1),0)::int+1] as p50, v[round_even(0.95*(len(v)-1),0)::int+1] as p95, v[floor(0.99*(len(v)-1))::int+1] as p99 from l""")
 def latency(s, d):
-    """Nearest-rank percentiles by rank, so that no run's values are collected into one row."""
-    p = table(s, d, "predictions").filter("latency_s is not null").select("id", "run_id", "latency_s").distinct()
-    by = W.partitionBy("run_id")
-    r = p.withColumn("k", F.row_number().over(by.orderBy("latency_s")) - 1)
+    """Nearest-rank percentiles by rank; ranks are put together from counts by latency class, so no run is sorted in one task."""
+    p = table(s, d, "predictions").filter("latency_s is not null").select("id", "run_id", "latency_s").distinct().withColumn("c", F.floor(F.col("latency_s") * 20))
+    hist = p.groupBy("run_id", "c").agg(F.count("*").alias("m"))
+    hist = hist.select("run_id", "c", (F.sum("m").over(W.partitionBy("run_id").orderBy("c")) - F.col("m")).alias("before"))
+    r = p.withColumn("k", F.row_number().over(W.partitionBy("run_id", "c").orderBy("latency_s")) - 1).join(hist, ["run_id", "c"]).withColumn("k", F.col("k") + F.col("before"))
     n = p.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.avg("latency_s"), 5).alias("mean"))
     at = lambda c: F.max(F.when(F.col("k") == c, F.col("latency_s")))
     m = F.col("n") - 1

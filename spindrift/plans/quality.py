@@ -14,7 +14,7 @@ from spindrift.runtime import cut, table
 _NORM = "trim(regexp_replace(lower(text),'[^a-z0-9]+',' ','g'))"
 
 
-@query("a24_duplicates", "A24 R44 S4", f"""
+@query("a24_duplicates", "A24", f"""
 select source, lang, count(*)::bigint as n, (count(text)-count(distinct text))::bigint as exact_surplus, (count(text)-count(distinct {_NORM}))::bigint as normal_surplus, sum((text is null)::int)::bigint as nulls, sum((length(text)<200)::int)::bigint as short from documents group by all""")
 def duplicates(s, d):
     """Surplus copies by source and language; texts are told apart by hashes of 128 bits, so no text is shuffled for a count."""
@@ -71,6 +71,19 @@ def stratified(s, d):
     return P.stratified_split(table(s, d, "embeddings"), "vec_id", "label", 0.7, 0.15)
 
 
+@query("w19_group_split", "W19 W20 A28", """
+with p as (select distinct id, source_id g, lower(trim(target_bloom_level)) l from predictions where task='bloom_rewrite' and source_id is not null and target_bloom_level is not null), c as (select g, l, count(*) n from p group by all),
+m as (select g, l from c qualify row_number() over(partition by g order by n desc, l)=1), r as (select g, l, row_number() over(partition by l order by md5(g), g) k, count(*) over(partition by l) n from m)
+select g as source_id, l as label, case when k<=round_even(0.7*n,0) then 'train' when k<=round_even(0.7*n,0)+round_even(0.15*n,0) then 'validation' else 'test' end as split, 1::bigint as splits from r""")
+def group_split(s, d):
+    """Groups by their majority label, 70/15/15 in hash order; ``splits`` is the number of splits that a group's rows have: one."""
+    p = table(s, d, "predictions").filter("task = 'bloom_rewrite' and source_id is not null and target_bloom_level is not null").select("id", "source_id", F.lower(F.trim("target_bloom_level")).alias("l")).distinct()
+    m = p.groupBy("source_id", "l").agg(F.count("*").alias("n")).groupBy("source_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "l")).alias("x")).select("source_id", F.col("x.l").alias("label"))
+    g = P.stratified_split(m, "source_id", "label", 0.7, 0.15)
+    held = p.join(g.select("source_id", "split"), "source_id").groupBy("source_id").agg(F.countDistinct("split").alias("splits"))
+    return g.join(held, "source_id").select("source_id", "label", "split", "splits")
+
+
 @query("w21_balanced", "W21 W22", """
 with m as (select min(c) m from (select count(*) c from embeddings group by label)), r as (select vec_id, label, row_number() over(partition by label order by md5(vec_id::varchar), vec_id) rank from embeddings) select vec_id, label from r, m where rank<=m""")
 def balanced(s, d):
@@ -119,7 +132,7 @@ def run_overlap(s, d):
     return j.groupBy(F.when(F.col("x").isNull(), "second").when(F.col("y").isNull(), "first").otherwise("both").alias("side")).agg(F.count("*").alias("questions"))
 
 
-@query("j05_review_gaps", "J5 J12 R35", """
+@query("j05_review_gaps", "J5 R35", """
 with a as (select distinct annotator from doc_labels), d as (select distinct doc_id from doc_labels), l as (select doc_id, annotator, max(quality) q from doc_labels group by all)
 select a.annotator, count(*)::bigint as documents, sum((q is null)::int)::bigint as missing from d, a left join l on l.doc_id=d.doc_id and l.annotator=a.annotator group by 1""".replace("from d, a left join l on l.doc_id=d.doc_id and l.annotator=a.annotator group by 1", "from (select * from d, a) a left join l on l.doc_id=a.doc_id and l.annotator=a.annotator group by 1"))
 def review_gaps(s, d):
@@ -130,7 +143,7 @@ def review_gaps(s, d):
     return spine.join(lab, ["doc_id", "annotator"], "left").groupBy("annotator").agg(F.count("*").alias("documents"), F.count_if(F.col("q").isNull()).alias("missing"))
 
 
-@query("a29_templates", "A29 A31 W26 T34", """
+@query("a29_templates", "A29", """
 with p as (select distinct id, prediction from predictions where task='bloom_rewrite' and prediction is not null), t as (select array_to_string((regexp_extract_all(lower(prediction),'[a-z0-9]+'))[1:5],' ') opening from p), g as (select opening, count(*) n from t group by 1)
 select opening, n::bigint as n from g""")
 def templates(s, d):
@@ -152,7 +165,7 @@ def gram_coverage(s, d):
     return x.agg(F.count("*").alias("texts"), F.round(F.avg("c"), 5).alias("coverage"))
 
 
-@query("g06_cross_templates", "G6 G7 T22", r"""
+@query("g06_cross_templates", "G6", r"""
 with p as (select distinct id, regexp_replace(lower(source_question),'the [a-z]+ [a-z]+','<topic>','g') t, run_id from predictions where source_question is not null)
 select t as template, count(distinct run_id)::bigint as runs, count(*)::bigint as n from p group by 1 having count(distinct run_id)>1""")
 def cross_templates(s, d):
@@ -161,7 +174,7 @@ def cross_templates(s, d):
     return p.groupBy("template").agg(F.countDistinct("run_id").alias("runs"), F.count("*").alias("n")).filter("runs > 1")
 
 
-@query("pr09_usable", "P9 P10 P11 T21 R50", r"""
+@query("pr09_usable", "P9 P10", r"""
 with p as (select distinct id, source_question q from predictions), r as (select case when q is null or trim(q)='' then 'missing' when len(regexp_extract_all(q,'[^\s]+'))<6 then 'too_short' when len(regexp_extract_all(q,'[^\s]+'))>30 then 'too_long' when length(q)-length(replace(q,'?',''))>3 then 'many_questions' when not regexp_matches(trim(q),'[.?!]$') then 'incomplete' else 'ok' end reason from p)
 select reason, count(*)::bigint as n from r group by 1""")
 def usable(s, d):
@@ -171,7 +184,7 @@ def usable(s, d):
     return table(s, d, "predictions").select("id", "source_question").distinct().groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("pr12_validated", "P12 P20 P21 T27 M11", """
+@query("pr12_validated", "P12", """
 with p as (select distinct id, prediction r, format_valid f, topic_preserved t, trivial_transform v, cognitive_valid c from predictions where task='bloom_rewrite'),
 x as (select id, list_filter([case when regexp_matches(coalesce(r,''),'^ *$') then 'empty_output' end, case when not coalesce(f,false) then 'invalid_question_format' end, case when not coalesce(t,false) then 'topic_drift' end, case when coalesce(v,false) then 'trivial_verb_swap' end, case when not coalesce(c,false) then 'cognitive_invalid' end], x -> x is not null) l from p)
 select id, len(l)=0 as accepted, array_to_string(l,';') as reasons from x""")
@@ -182,7 +195,7 @@ def validated(s, d):
     return p.select("id", (F.size(found) == 0).alias("accepted"), F.array_join(found, ";").alias("reasons"))
 
 
-@query("pr17_repeated_wording", "P17 P26 P16", f"""
+@query("pr17_repeated_wording", "P17", f"""
 with p as (select distinct diag_id, cleaned_output text from target_rewrite_diagnostic where cleaned_output is not null), w as (select diag_id, {_TOK} w from p), g as (select diag_id, array_to_string(w[i:i+3],' ') gram, i from (select diag_id, w, unnest(case when len(w)>=4 then range(1,len(w)-2) else [] end) i from w)), r as (select diag_id, gram from g group by all having max(i)-min(i)>=6)
 select diag_id, count(*)::bigint as repeats from r group by 1""")
 def repeated(s, d):
@@ -192,7 +205,7 @@ def repeated(s, d):
     return r.groupBy("diag_id").agg(F.count("*").alias("repeats"))
 
 
-@query("s16_violations", "S16 J16 R1 R18 A48", """
+@query("s16_violations", "S16", """
 select 'predictions' as tbl, 'duplicate_id' as violation, (select count(*)::bigint from (select id from predictions group by 1 having count(distinct coalesce(prediction,'')) > 1)) as n
 union all select 'predictions', 'unknown_run', (select count(*)::bigint from predictions where run_id not in (select run_id from eval_runs))
 union all select 'documents', 'wrong_n_chars', (select count(*)::bigint from documents where n_chars<>length(text))

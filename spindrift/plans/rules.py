@@ -57,7 +57,7 @@ def _case(rules):
     return "case lvl " + " ".join(f"when '{k}' then regexp_matches(p,'{v}')" for k, v in rules.items()) + " else false end"
 
 
-@query("pr18_task_structure", "P18 P19 P14 R45 R49", f"select id, case when {_case(FORBIDDEN)} then 'forbidden' when not {_case(REQUIRED)} then 'no_pattern' else 'ok' end as verdict from {_REWRITES}")
+@query("pr18_task_structure", "P18", f"select id, case when {_case(FORBIDDEN)} then 'forbidden' when not {_case(REQUIRED)} then 'no_pattern' else 'ok' end as verdict from {_REWRITES}")
 def task_structure(s, d):
     verdict = F.when(_by_level(FORBIDDEN, F.col("p")), "forbidden").when(~_by_level(REQUIRED, F.col("p")), "no_pattern").otherwise("ok")
     return _rewrites(s, d).select("id", verdict.alias("verdict"))
@@ -105,7 +105,7 @@ def loss_mask(s, d):
     return table(s, d, "eval_items").select("item_id", F.aggregate(masked, F.lit(0), lambda a, x: a + x).cast("long").alias("total"))
 
 
-@query("r40_failures", "R40 P26", r"""
+@query("r40_failures", "R40", r"""
 with p as (select distinct id, source_question q, prediction p from predictions where source_question is not null and prediction is not null),
 t as (select id, p, q, list_distinct(list_filter(regexp_extract_all(lower(q),'[a-z0-9]+'), x -> length(x)>3)) k, len(regexp_extract_all(p,'[^\s]+')) n, len(regexp_extract_all(q,'[^\s]+')) m from p)
 select id, array_to_string(list_filter([case when regexp_matches(lower(p),'which of the following|in this context|as described above') then 'GENERIC_TEMPLATE' end, case when len(k)>0 and len(list_filter(k, x -> contains(lower(p),x)))/len(k)::double<0.5 then 'LOW_TOPIC_OVERLAP' end, case when n>greatest(35,5*m) then 'OVER_GENERATION' end, case when p='' then 'EMPTY_OUTPUT' end], x -> x is not null),';') as failures from t""")
@@ -135,7 +135,7 @@ def _concept_ratio(items, docs):
     return b.join(p, "t", "left").groupBy("doc_id").agg(F.count("t").alias("concepts"), F.round(F.sum(F.coalesce("k", F.lit(0))) / F.greatest(F.lit(1), F.count("t")), 6).alias("ratio"))
 
 
-@query("a33_guard_rates", "A33 A36 R29 R31", r"""
+@query("a33_guard_rates", "A33", r"""
 with t as (select distinct turn_id, lower(trim(coalesce(role,'unknown'))) role, lower(coalesce(content,'')) c from chat_turns), h as (select role, (regexp_matches(c,'\bcopy\b|\bquote\b|\bverbatim\b')::int + regexp_matches(c,'\bexam\b|\bpaper\b|\bquestions?\b')::int) hits from t)
 select role, count(*)::bigint as n, sum((hits>=2)::int)::bigint as blocked, round(avg((hits>=2)::int),6) as block_rate, round(avg(least(1.0,0.2*hits)),6) as mean_risk, round(1-avg((hits<2)::int),6) as false_block from h group by 1""")
 def guard_rates(s, d):
@@ -160,7 +160,7 @@ def answer_window(s, d):
     return w.groupBy("id").agg(F.max("r").cast("long").alias("radius"), F.max_by("k", "r").cast("long").alias("chars"))
 
 
-@query("w27_template_choice", "W27 T22 R38", """
+@query("w27_template_choice", "W27", """
 with q as (select distinct id, lower(trim(target_bloom_level)) lvl from predictions where task='bloom_rewrite' and target_bloom_level is not null), r as (select id, lvl, (row_number() over(partition by lvl order by md5(id), id)-1)%4 t from q)
 select lvl as level, t::bigint as template, count(*)::bigint as n from r group by all""")
 def template_choice(s, d):
@@ -180,7 +180,7 @@ def summary_cleaned(s, d):
     return p.select("id", ending.alias("ending"), F.md5(F.trim(F.regexp_replace("p", r"\[[0-9]+\]\s*", ""))).alias("cleaned"))
 
 
-@query("n28_budget_ratio", "N28 R13 R14 M8", """
+@query("n28_budget_ratio", "N28 R13 R14", """
 with c as (select user_id%7 client, count(*) n, sum((value>0)::int) done from events group by 1), t as (select client, n, coalesce(nullif(done,0),n) actual from c)
 select client, n::bigint as planned, actual::bigint as actual, round(actual/n::double,4) as ratio, (3*ceil(n/64.0))::bigint as steps, sum(actual) over ()::bigint as total from t""")
 def budget_ratio(s, d):
@@ -189,7 +189,7 @@ def budget_ratio(s, d):
     return a.select("client", "planned", "actual", F.round(F.try_divide("actual", "planned"), 4).alias("ratio"), (3 * F.ceil(F.col("planned") / 64.0)).alias("steps"), F.sum("actual").over(W.partitionBy()).alias("total"))  # seven rows
 
 
-@query("pr13_verbatim_rewrites", "P13 P11 T35")
+@query("pr13_verbatim_rewrites", "T35")
 def verbatim(s, d):
     """(id, ratio, verbatim): rewrites whose text after the first word is the question's, by difflib's ratio."""
     from spindrift.operators.sequences import sequence_ratio

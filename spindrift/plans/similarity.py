@@ -31,6 +31,18 @@ def shared_runs(s, d):
     return S.shared_runs(table(s, d, "eval_items"), table(s, d, "documents"))
 
 
+def _placed(t, key, n):
+    return f"(select {key}, i, array_to_string(w[i:i+{n - 1}],' ') gram from (select {key}, w, unnest(case when len(w)>={n} then range(1,len(w)-{n - 2}) else [] end) i from (select {key}, {_TOK} w from (select distinct {key}, text from {t} where text is not null))))"
+
+
+@query("t19_run_lengths", "T19", f"""
+with m as (select item_id, doc_id, a.i, a.i-b.i d, b.i j from {_placed('eval_items', 'item_id', 8)} a join {_placed('documents', 'doc_id', 8)} b using(gram)),
+r as (select item_id, doc_id, d, i-row_number() over(partition by item_id, doc_id, d order by i) g from m), c as (select item_id, doc_id, count(*) n from r group by item_id, doc_id, d, g)
+select item_id, doc_id, (max(n)+7)::bigint as run from c group by all""")
+def run_lengths(s, d):
+    return S.longest_runs(table(s, d, "eval_items"), table(s, d, "documents"), 8)
+
+
 @query("j08_banded_pairs", "J8 T11", f"""
 with w as (select doc_id, {_content_sql('text', X.VALIDATION_STOPWORDS)} s from documents where text is not null),
 p as (select a.doc_id a, b.doc_id b, a.s sa, b.s sb from w a join w b on b.doc_id>a.doc_id and b.doc_id-a.doc_id<=39),
@@ -59,6 +71,16 @@ def rerank(s, d):
     return R.privacy_rerank(e.filter("vec_id % 20 = 0"), e, 8, 0.07, 0.5)
 
 
+@query("pr08_relevant", "P8", """
+with q as (select vec_id q, embedding e from embeddings where vec_id%20=0),
+x as (select q.q, e.vec_id v, round(list_dot_product(q.e::double[], e.embedding::double[]),6) c from q join embeddings e on e.vec_id<>q.q qualify row_number() over(partition by q.q order by c desc, v)<=8),
+m as (select *, max(c) over(partition by q) top, row_number() over(partition by q order by c desc, v) r from x) select q, v, c as cosine from m where c>=0.5 or (top<0.5 and r=1)""")
+def relevant(s, d):
+    """Matches from the threshold on; where none reaches it, the best one."""
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    return R.relevant_matches(e.filter("vec_id % 20 = 0"), e, 8, 0.5)
+
+
 @query("w05_diversified", "W5", """
 with t as (select vec_id, label, embedding e, row_number() over(partition by label order by vec_id) rn from embeddings),
 a as (select t.label, t.vec_id, t.rn, round(list_dot_product(t.e::double[], h.e::double[]),6) c from t join t h on h.label=t.label and h.rn=1)
@@ -81,7 +103,7 @@ def lexical_rank(s, d):
     return R.lexical_rank(table(s, d, "eval_items"), table(s, d, "documents"), 4)
 
 
-@query("a37_retrieval_quality", "A37 A38 P8", """
+@query("a37_retrieval_quality", "A37", """
 with q as (select vec_id q, label l, embedding e from embeddings where vec_id%20=0),
 x as (select q.q, q.l=e.label hit, row_number() over(partition by q.q order by round(list_dot_product(q.e::double[],e.embedding::double[]),6) desc, e.vec_id) r from q join embeddings e on e.vec_id<>q.q qualify r<=10),
 g as (select q, max(case when hit and r<=1 then 1 else 0 end) h1, max(case when hit and r<=3 then 1 else 0 end) h3, coalesce(1.0/min(case when hit then r end),0) rr from x group by 1)
@@ -100,7 +122,7 @@ def word_windows(s, d):
     return R.word_windows(t, ["source", "chunk_id"], 64, 16)
 
 
-@query("w03_context_budget", "W3 W4 W8", """
+@query("w03_context_budget", "W3", """
 with t as (select distinct source, chunk_id, length(trim(text)) len from document_chunks where text is not null), l as (select source, chunk_id, least(700,len) len from t),
 r as (select *, row_number() over(partition by source order by chunk_id) rank, sum(len) over(partition by source order by chunk_id rows unbounded preceding) total from l),
 c as (select *, min(case when total>2800 and rank>1 then rank end) over(partition by source) stop from r)
@@ -214,12 +236,12 @@ def output_screen(s, d):
     return screen_outputs(t, "turn_id", table(s, d, "eval_items"), "item_id")
 
 
-@query("pr05_visible", "P5 P6", "select content_type, count(*)::bigint as documents, sum(case when access_level='public' then 1 else 0 end)::bigint as open_documents from documents group by 1")
+@query("pr05_visible", "P5", "select content_type, count(*)::bigint as documents, sum(case when access_level='public' then 1 else 0 end)::bigint as open_documents from documents group by 1")
 def visible(s, d):
     return table(s, d, "documents").groupBy("content_type").agg(F.count("*").alias("documents"), F.count_if(F.col("access_level") == "public").alias("open_documents"))
 
 
-@query("n07_divergence", "N7 N8 R52 P22 N25", """
+@query("n07_divergence", "N7 N8", """
 with t as (select vec_id, list_transform(embedding[1:32], x -> exp(x::double)) e, list_transform(embedding[33:64], x -> exp(x::double)) f from embeddings),
 p as (select vec_id, list_transform(e, x -> x/list_sum(e)) p, list_transform(f, x -> x/list_sum(f)) q from t), m as (select *, list_transform(list_zip(p,q), z -> (z[1]+z[2])/2) m from p)
 select vec_id, round(list_sum(list_transform(p, x -> -x*ln(x)))/ln(32),6) as entropy, round((list_sum(list_transform(list_zip(p,m), z -> z[1]*ln(z[1]/z[2])))+list_sum(list_transform(list_zip(q,m), z -> z[1]*ln(z[1]/z[2]))))/2/ln(2),6) as divergence from m""")
@@ -234,7 +256,7 @@ def clipped(s, d):
     return table(s, d, "embeddings").select("vec_id", F.round(V.norm(c), 5).alias("norm"))
 
 
-@query("n13_logistic", "N13 M2", "select vec_id, round(1/(1+exp(-greatest(-30,least(30,list_sum(list_transform(range(1,65), i -> embedding[i]::double*sin(i))))))),6) as score from embeddings")
+@query("n13_logistic", "N13", "select vec_id, round(1/(1+exp(-greatest(-30,least(30,list_sum(list_transform(range(1,65), i -> embedding[i]::double*sin(i))))))),6) as score from embeddings")
 def logistic(s, d):
     z = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * F.sin(i + 1)), F.lit(0.0), lambda a, x: a + x)
     return table(s, d, "embeddings").select("vec_id", F.round(1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))), 6).alias("score"))

@@ -79,7 +79,7 @@ def ngram_counts(s, d):
     return _docs(s, d).select("doc_id", F.size(g).cast("long").alias("grams"), F.size(F.array_distinct(g)).cast("long").alias("distinct_grams"))
 
 
-@query("t12_rewrite_similarity", "T11 T12 T13 T16 P21", f"""
+@query("t12_rewrite_similarity", "T11 T12 T13 T16", f"""
 with p as (select distinct id, source_question q, prediction p from predictions where source_question is not null and prediction is not null),
 t as (select id, {_content_sql('q', X.VALIDATION_STOPWORDS)} a, {_content_sql('p', X.VALIDATION_STOPWORDS)} b, string_split({_NORM_SQL.format(c='q')},' ') wa, string_split({_NORM_SQL.format(c='p')},' ') wb from p)
 select id, round(case when len(a)=0 and len(b)=0 then 1.0 else len(list_intersect(a,b))/(len(a)+len(b)-len(list_intersect(a,b)))::double end,6) as jaccard,
@@ -112,7 +112,7 @@ def multiset_overlap(s, d):
     return f(table(s, d, "eval_items"), table(s, d, "documents"), 3)
 
 
-@query("t20_topic", "T20 T14", r"""
+@query("t20_topic", "T20", r"""
 select distinct id, trim(regexp_replace(regexp_replace(source_question,'^(what is|what are|explain|describe|compare|list|name|state|why does|how would you adapt|show how|design|compose|assess the claim that|judge whether|do you agree that)\s+','','i'),'[?.!]+\s*$','')) as topic
 from predictions where source_question is not null and task='qa'""")
 def topic(s, d):
@@ -171,15 +171,25 @@ def first_verb(s, d):
     return g.select("verb", "n", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 6).alias("share"))  # one row per verb
 
 
-@query("t36_truncated_at_separator", "T36", r"""
-with t as (select source, chunk_id, min(text) text from document_chunks where text is not null group by all), c as (select *, text[1:200] cut from t),
-j as (select *, case when length(text)<=200 then null else (200-strpos(reverse(cut),' .')+1) end p from c)
-select source, chunk_id, (case when length(text)<=200 then length(text) when strpos(reverse(cut),' .')>0 and 199-strpos(reverse(cut),' .')>66 then p else 200 end)::bigint as kept from j""")
+# Separators behind which a text may be cut, in this order.
+_SEPARATORS = [".\n", ".\n\n", ". ", "\n", " "]
+_SEP_SQL = "".join(f" when {200 - len(x)}-(strpos(reverse(cut),{y})-1)>66 and strpos(reverse(cut),{y})>0 then 200-(strpos(reverse(cut),{y})-1)" for x, y in ((x, "||".join("chr(10)" if c == "\n" else f"'{c}'" for c in reversed(x))) for x in _SEPARATORS))
+
+
+@query("t36_truncated_at_separator", "T36", rf"""
+with t as (select source, chunk_id, regexp_replace(regexp_replace(min(text),'^[ \t\r\n]+',''),'[ \t\r\n]+$','') t from document_chunks where text is not null group by all), c as (select *, t[1:200] cut from t)
+select source, chunk_id, length(case when length(t)<=200 then t else regexp_replace(cut[1:(case{_SEP_SQL} else 200 end)],'[ \t\r\n]+$','') end)::bigint as kept from c""")
 def truncated_at_separator(s, d):
+    """Length kept of each text: up to the last place of the first separator that has one past a third of the limit."""
     t = table(s, d, "document_chunks").filter("text is not null").groupBy("source", "chunk_id").agg(F.min("text").alias("text"))
-    at = F.locate(" .", F.reverse(F.left("text", F.lit(200))))
-    kept = F.when(F.length("text") <= 200, F.length("text")).when((at > 0) & (199 - at > 66), 201 - at).otherwise(200)
-    return t.select("source", "chunk_id", kept.cast("long").alias("kept"))
+    bare = F.regexp_replace(F.regexp_replace("text", r"\A[ \t\r\n]+", ""), r"[ \t\r\n]+\z", "")
+    t = t.select("source", "chunk_id", bare.alias("t")).withColumn("back", F.reverse(F.left("t", F.lit(200))))
+    end = F.lit(200)
+    for x in reversed(_SEPARATORS):
+        at = F.locate(x[::-1], F.col("back"))
+        end = F.when((at > 0) & (200 - len(x) - (at - 1) > 66), 201 - at).otherwise(end)
+    kept = F.regexp_replace(F.left("t", end), r"[ \t\r\n]+\z", "")
+    return t.select("source", "chunk_id", F.length(F.when(F.length("t") <= 200, F.col("t")).otherwise(kept)).cast("long").alias("kept"))
 
 
 @query("t37_answer_match", "T37 A13 A14", r"""
@@ -195,7 +205,7 @@ def answer_match(s, d):
     return p.select("id", (F.col("a") == F.col("b")).alias("exact"), F.round(token_f1(F.col("a"), F.col("b")), 6).alias("f1"))
 
 
-@query("t38_prompt", "T38 T39 T40", """
+@query("t38_prompt", "T38 T39", """
 select distinct id, md5('<|user|>'||chr(10)||'Rewrite at level '||target_bloom_level||': '||source_question||chr(10)||'<|assistant|>'||chr(10)) as prompt, contains(lower(source_question),'source level') as leaks
 from predictions where task='bloom_rewrite' and target_bloom_level is not null and source_question is not null""")
 def prompt(s, d):
@@ -204,7 +214,7 @@ def prompt(s, d):
     return p.select("id", F.md5(text).alias("prompt"), F.lower("source_question").contains("source level").alias("leaks")).distinct()
 
 
-@query("t41_genre", "T41 P23 P24", r"""
+@query("t41_genre", "T41", r"""
 with t as (select doc_id, text, len(regexp_extract_all(text,'(?m)^(Week|Lab|Summary|Tutorial sheet|Past paper|Unit) \d+')) h, len(regexp_extract_all(lower(text),'question \d+|answer key|exam answer')) e, len(regexp_extract_all(lower(text),'definition|theorem|proof')) f from documents where text is not null)
 select doc_id, h::bigint as headings, e::bigint as exam_marks, case when e>=2 then 'exam' when f>=2 then 'notes' when h>=1 then 'sheet' else 'other' end as genre from t""")
 def genre(s, d):
