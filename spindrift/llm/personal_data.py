@@ -88,8 +88,16 @@ class Lexicon:
         self.names = re.compile(
             rf"(?<![\w@.+-])(?:{g}(?:\s{up}\.)?\s{fam}|{g}\s{up}\.|{up}\.(?:[ ]?{up}\.)?\s{cap}|{cap},\s(?:{g}|{up}\.)(?:\s{up}\.)?|(?i:{fam}),\s{g}(?:\s{up}\.)?|{cue}{_CAP}(?:\s{up}\.)?,?\s{cap})(?![\w@])"
         )
+        #: Without a given name, a text needs an initial or a cue before capital words to match.
+        self.hint = re.compile(rf"\.(?<={up}\.)|{cue}{_CAP}(?:\s{up}\.)?,?\s{cap}")
+        self.first = tuple(self.given)
         self.seen: dict[str, tuple[bool, bool, bool]] = {}
 
+    def may_name(self, text: str) -> bool:
+        """Whether the pattern of names can match at all."""
+        low = (text if text.isascii() else unicodedata.normalize("NFC", text)).casefold()
+        return any(g in low for g in self.first) or self.hint.search(text) is not None
+
     def made_up(self, word: str) -> tuple[bool, bool, bool]:
         """Whether a family name is listed, begins and ends with known parts; kept by word, of which a text has few."""
         if (out := self.seen.get(word)) is None:
@@ -102,19 +110,32 @@ class Lexicon:
 
 
 _PATTERNS = [(kind, re.compile(p)) for kind, p in _FORMS]
-#: What a text must hold for a pattern to match; a digit for the others.
-_QUICK = {"@|": re.compile(r"@|[(\[](?:at|AT)[)\]]"), " dot ": re.compile(r" dot "), "straße": re.compile(r"(?:straße|strasse|weg|gasse|platz) \d")}
-_NEEDS = [next((q for piece, q in _QUICK.items() if piece in p.pattern), re.compile(r"\d")) for _, p in _PATTERNS]
+def _holds(*words: str):
+    return lambda text: any(w in text for w in words)
+
+
+#: What a text must hold for a pattern to match, by a piece of the pattern; each test is asked once a text.
+_GATES = [
+    ("@|", _holds("@", "(at)", "[at]", "(AT)", "[AT]")),
+    (" dot ", _holds(" dot ")),
+    ("straße", re.compile(r"(?:straße|strasse|weg|gasse|platz) \d").search),
+    ("boulevard", _holds("rue ", "avenue ", "place ", "boulevard ")),
+    ("Calle", _holds("Calle ", "Avenida ", "Rua ", "Via ", "Plaza ")),
+    ("|Close|", _holds(" Road", " Lane", " Court", " Street", " Ave", " St", " Drive", " Close", " Square", " Way", " Rd")),
+    ("|ln|", _holds(" st ", " rd ", " ave ", " ln ", " road ", " lane ", " street ")),
+    ("", re.compile(r"(?:\d[ .\-/()]{0,2}){6}").search),  # numbers
+]
+_NEEDS = [next(k for k, (piece, _) in enumerate(_GATES) if piece in p.pattern) for _, p in _PATTERNS]
 
 
 def spans(text: str, lex: Lexicon) -> list[tuple[str, int, int]]:
     """Overlapping candidate spans (kind, start, end)."""
     out = []
-    may = {q: q.search(text) is not None for q in {*_NEEDS}}
-    for (kind, p), q in zip(_PATTERNS, _NEEDS):
-        if may[q]:
+    may = [bool(gate(text)) for _, gate in _GATES]
+    for (kind, p), k in zip(_PATTERNS, _NEEDS):
+        if may[k]:
             out += [(kind, m.start(), m.end()) for m in p.finditer(text)]
-    at = 0
+    at = 0 if lex.may_name(text) else len(text)
     while m := lex.names.search(text, at):
         out.append(("person_name", m.start(), m.end()))
         at = m.start() + 1 if m.group()[1:2] == "." else max(m.start() + 1, m.end() - 1)

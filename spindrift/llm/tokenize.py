@@ -166,8 +166,16 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     copies = distinct.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALT)])))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")
     merged = asked.withColumn("salt", salt).join(copies, ["word", "salt"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "ids")).alias("merged"))
-    plain = F.filter(F.transform("direct", lambda x, i: F.struct(i.alias("pos"), F.when(x.isNotNull(), F.array(x)).alias("ids"))), lambda p: p["ids"].isNotNull())
-    ids = F.when(F.col("merged").isNull(), F.col("direct")).otherwise(F.flatten(F.transform(F.array_sort(F.concat(plain, F.col("merged"))), lambda p: p["ids"])))
+    # The words between two merged ones are slices of the direct ids, so nothing but the merged ones is sorted.
+    merged = merged.withColumn("merged", F.array_sort("merged"))
+    m, n = F.col("merged"), F.size("merged")
+
+    def stretch(k):
+        lo = F.when(k > 0, F.get(m, k - 1)["pos"] + 1).otherwise(0)
+        hi = F.when(k < n, F.get(m, k)["pos"]).otherwise(F.size("direct"))
+        return F.concat(F.slice("direct", lo + 1, hi - lo), F.coalesce(F.get(m, k)["ids"], F.array().cast("array<int>")))
+
+    ids = F.when(m.isNull(), F.col("direct")).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), n), stretch)))
     return base.select("doc_id", "direct").join(merged, "doc_id", "left").select("doc_id", ids.alias("ids"))
 
 
