@@ -7,6 +7,7 @@ only the cuts next to it; where there is no boundary the landmark itself is the
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from spindrift.runtime import table
 
 WINDOW = 24
-#: A landmark every 2 ** LANDMARK_BITS characters on average.
-LANDMARK_BITS = 5
+#: Landmarks on average between the least and the largest size of a piece: few, so that pieces aren't all of the least size,
+#: and enough that hardly any stretch is without one.
+LANDMARKS = 4
 #: Least share of the room that a piece fills.
 LEAST = 0.4
 _BASE = np.uint64(0x100000001B3)
@@ -26,8 +28,8 @@ _BASE = np.uint64(0x100000001B3)
 _BOUNDARIES = [re.compile(p) for p in (r"\n[ \t]*\n\s*", r"\n+", r"[.!?][\"'”’)\]]*\s+|[。！？।؟]\s*", r"[;:,،、，]\s*", r"\s+")]
 
 
-def landmarks(text: str) -> np.ndarray:
-    """Positions after which the hash of the last WINDOW characters vanishes in its low bits."""
+def landmarks(text: str, bits: int) -> np.ndarray:
+    """Positions after which the hash of the last WINDOW characters vanishes in ``bits`` bits: one in 2 ** bits."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if len(codes) < WINDOW:
         return np.zeros(0, np.int64)
@@ -35,7 +37,7 @@ def landmarks(text: str) -> np.ndarray:
     for k in range(WINDOW):  # the polynomial hash of every window, all windows at once
         h = h * _BASE + codes[k : k + len(h)] + np.uint64(1)
     h ^= h >> np.uint64(29)
-    return np.flatnonzero((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - LANDMARK_BITS) == 0) + WINDOW
+    return np.flatnonzero((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits) == 0) + WINDOW
 
 
 def cuts(text: str, limit: int, overlap: int) -> list[int]:
@@ -44,7 +46,7 @@ def cuts(text: str, limit: int, overlap: int) -> list[int]:
     if limit is None or limit <= 0 or n <= limit:
         return []
     overlap = max(0, min(overlap or 0, limit // 2))
-    marks = landmarks(text)
+    marks = landmarks(text, max(3, int(math.log2(max(8, limit * (1 - LEAST) / LANDMARKS)))))
     ends = [np.array([m.end() for m in p.finditer(text)], np.int64) for p in _BOUNDARIES]
     out, at = [], 0
     while n - at > limit - (overlap if at else 0):

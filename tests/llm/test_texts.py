@@ -125,6 +125,14 @@ def test_an_edit_moves_only_cuts_near_it():
     assert len(a & b) > 0.6 * len(a)
 
 
+def test_pieces_are_not_all_of_the_least_size():
+    rng = random.Random(7)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(20_000))
+    for limit in (1000, 5000):
+        sizes = [b - a for a, b in C.pieces(text, limit, 0)[:-1]]
+        assert 0.45 * limit < sum(sizes) / len(sizes) < 0.8 * limit and max(sizes) <= limit
+
+
 def test_chunking_edge_rows(spark):
     items = spark.createDataFrame([("s", 1, None, "text", "a " * 900), ("s", 1, None, "text", "a " * 900), ("s", 2, 3, "film", "b" * 9000), ("s", 3, 1, "text", None), ("s", 4, 1, "text", "")], "source string, chunk_id int, page int, modality string, text string")
     limits = spark.createDataFrame([("text", 1500, 120)], "modality string, max_chars int, overlap_chars int")
