@@ -35,7 +35,7 @@ def likeness(a, b):
 
 
 def question_pairs(norms):
-    """Pairs (i, j), i before j by key, that the reference's group_questions would join."""
+    """Pairs (i, j), i before j by key, of one family by words or by the sequence ratio."""
     out, stop = set(), set(X.GROUPING_STOPWORDS)
     tokens = [{w for w in n.split() if len(w) > 2 and w not in stop} for n in norms]
     for i, a in enumerate(norms):
