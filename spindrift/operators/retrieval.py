@@ -12,6 +12,8 @@ from spindrift.functions import text as X
 
 #: Rows of a block of queries and of a block of the corpus; a task multiplies one of each.
 QUERY_BLOCK, CORPUS_BLOCK = 4096, 32_768
+#: Rows of items' terms up to which they are sent to every task.
+ITEM_TERMS = 1_000_000
 
 
 def top_matches(queries: DataFrame, corpus: DataFrame, k: int, nearest: bool = False) -> DataFrame:
@@ -83,16 +85,24 @@ def retrieval_quality(queries: DataFrame, corpus: DataFrame, k: int) -> DataFram
 
 
 def lexical_rank(items: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(item_id, doc_id, score): the dot product weighs terms once by idf, the norms by its square; plus 0.15 of the shared terms' share."""
+    """(item_id, doc_id, score): the dot product weighs terms once by idf, the norms by its square; plus 0.15 of the shared terms' share.
+
+    Documents stay on their doc_id's task; the items' weighted terms go to them if they are at most
+    ITEM_TERMS rows, so pairs are scored without a shuffle of their shared terms.
+    """
     from spindrift.operators.similarity import term_counts
 
-    tf, q = term_counts(docs, "doc_id"), term_counts(items, "item_id").withColumnRenamed("n", "f")
+    tf = term_counts(docs.select("doc_id", "text").repartition("doc_id"), "doc_id")
+    q = term_counts(items, "item_id").withColumnRenamed("n", "f")
     n = docs.filter("text is not null").count()
     idf = tf.groupBy("t").agg((F.log((n + 1) / (F.count("*") + 0.5)) + 1).alias("idf"))
     unseen = F.log(F.lit((n + 1) / 0.5)) + 1
     qn = q.join(idf, "t", "left").groupBy("item_id").agg(F.sqrt(F.sum(F.pow(F.col("f") * F.coalesce("idf", unseen), 2))).alias("qn"), F.count("*").alias("qt"))
     dn = tf.join(idf, "t").groupBy("doc_id").agg(F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), 2))).alias("dn"))
-    s = q.join(tf, "t").join(idf, "t").groupBy("item_id", "doc_id").agg(F.sum(F.col("f") * F.col("n") * F.col("idf")).alias("dot"), F.count("*").alias("common"))
+    weighed = q.join(idf, "t")
+    if q.count() <= ITEM_TERMS:
+        weighed = F.broadcast(weighed)
+    s = tf.join(weighed, "t").groupBy("item_id", "doc_id").agg(F.sum(F.col("f") * F.col("n") * F.col("idf")).alias("dot"), F.count("*").alias("common"))
     score = F.round(F.col("dot") / (F.col("qn") * F.col("dn")) + 0.15 * F.col("common") / F.col("qt"), 5)
     x = s.join(qn, "item_id").join(dn, "doc_id").select("item_id", "doc_id", score.alias("score"))
     return x.withColumn("r", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("r") <= k).drop("r")
