@@ -166,13 +166,13 @@ def bootstrap(s, d):
 
 @query("a18_rate_panel", "A18 A20", """
 with p as (select distinct id, run_id, format_valid, semantic_valid, cognitive_valid, topic_preserved, trivial_transform, fully_validated, semantic_similarity, task from predictions)
-select run_id, count(*)::bigint as n, round(coalesce(avg(format_valid::int),0),6) as format_rate, round(coalesce(avg(semantic_valid::int),0),6) as semantic_rate, round(coalesce(avg(cognitive_valid::int),0),6) as cognitive_rate, round(coalesce(avg(trivial_transform::int),0),6) as trivial_rate, round(coalesce(avg(fully_validated::int),0),6) as validated_rate, round(coalesce(avg(semantic_similarity),0),5) as mean_similarity
+select run_id, count(*)::bigint as n, round(coalesce(avg(format_valid::int),0),6) as format_rate, round(coalesce(avg(semantic_valid::int),0),6) as semantic_rate, round(coalesce(avg(cognitive_valid::int),0),6) as cognitive_rate, round(coalesce(avg(trivial_transform::int),0),6) as trivial_rate, round(coalesce(avg(fully_validated::int),0),6) as validated_rate, round(coalesce(avg(semantic_similarity),0),9) as mean_similarity
 from p where task='bloom_rewrite' group by 1""")
 def rate_panel(s, d):
     flags = {"format_rate": "format_valid", "semantic_rate": "semantic_valid", "cognitive_rate": "cognitive_valid", "trivial_rate": "trivial_transform", "validated_rate": "fully_validated"}
     p = table(s, d, "predictions").filter("task = 'bloom_rewrite'").select("id", "run_id", "topic_preserved", "semantic_similarity", *flags.values()).distinct()
     rates = [F.round(F.coalesce(F.avg(F.col(c).cast("int")), F.lit(0.0)), 6).alias(k) for k, c in flags.items()]
-    return p.groupBy("run_id").agg(F.count("*").alias("n"), *rates, F.round(F.coalesce(F.avg("semantic_similarity"), F.lit(0.0)), 5).alias("mean_similarity"))
+    return p.groupBy("run_id").agg(F.count("*").alias("n"), *rates, F.round(F.coalesce(F.avg("semantic_similarity"), F.lit(0.0)), 9).alias("mean_similarity"))
 
 
 @query("a19_transition_matrix", "A19 J14", f"""
