@@ -56,12 +56,15 @@ def overlap_scores(pairs: DataFrame) -> DataFrame:
 
 
 def sequence_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """The pairs with a column ``ratio``: difflib's ratio of a to b, which is not symmetric."""
-    f = F.pandas_udf(lambda x, y: pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)]), "double")
+    """The pairs with a column ``ratio``: difflib's ratio of a to b, which is not symmetric.
+
+    Its function counts as nondeterministic, else Spark runs it below earlier filters, on rows that they drop, and again behind them.
+    """
+    f = F.pandas_udf(lambda x, y: pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype=float), "double").asNondeterministic()
     return pairs.withColumn("ratio", f(F.col(a), F.col(b)))
 
 
-#: Rows of a block of texts; a task compares two blocks.
+#: Rows of a block of texts; two blocks are compared at once.
 TEXT_BLOCK = 4096
 #: Symbols of normalized texts (letters, blank, digits as one) and counts of each up to which they tell texts apart.
 _SYMBOLS, _COUNTED = 28, 16
@@ -85,41 +88,68 @@ def _letter_bits(codes: np.ndarray) -> np.ndarray:
 
 def _pair_bits(codes: np.ndarray) -> np.ndarray:
     """A bit turned by every two neighbours; a character more or less turns three at most."""
-    row, at = np.nonzero(codes[:, 1:])
-    cell = (codes[row, at].astype(np.int64) * 39 + codes[row, at + 1]) * 40503 % 65537 % 2048
-    n = np.bincount(row * 2048 + cell, minlength=len(codes) * 2048)
-    return np.packbits((n & 1).astype(bool)).reshape(len(codes), -1).view(np.uint64)
+    cell = (np.arange(39 * 39, dtype=np.int64) * 40503 % 65537 % 2048)[codes[:, :-1].astype(np.int64) * 39 + codes[:, 1:]]
+    cell[codes[:, 1:] == 0] = 2048  # behind the end
+    on, rows = np.zeros((len(codes), 2056), np.uint8), np.arange(len(codes))
+    for k in range(cell.shape[1]):
+        on[rows, cell[:, k]] ^= 1
+    return np.packbits(on[:, :2048], axis=None).reshape(len(codes), -1).view(np.uint64)
 
 
-def _lcs_of_pairs(codes: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences of rows a and b, all pairs at once by bit vectors."""
-    width = -(-int(size[a].max()) // 64)
+def _lcs_of_pairs(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of rows a of x and b of y, all pairs at once by bit vectors; 0 stands for no symbol."""
+    width = -(-x.shape[1] // 64)
     rows, back = np.unique(a, return_inverse=True)
     own = np.zeros((len(rows), width * 64), np.uint8)
-    own[:, : min(codes.shape[1], width * 64)] = codes[rows, : width * 64]
-    at = np.zeros((len(rows), 39, width), np.uint64)
+    own[:, : x.shape[1]] = x[rows]
+    at = np.zeros((39, width, len(rows)), np.uint64)
     for c in range(1, 39):
-        at[:, c] = np.packbits(own == c, axis=1, bitorder="little").view(np.uint64)
+        at[c] = np.packbits(own == c, axis=1, bitorder="little").view(np.uint64).T
+    flat, place = at.reshape(-1), y[b].T.astype(np.int64) * (width * len(rows)) + back
     rest = np.full((width, len(a)), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for k in range(int(size[b].max())):
-        hit = at[back, codes[b, k]]
-        carry = np.zeros(len(a), np.uint64)
+    for p in place:
+        carry = None
         for w in range(width):
-            u = rest[w] & hit[:, w]
+            u = rest[w] & flat[p + w * len(rows)]
             s = rest[w] + u
-            over = s < u
-            s += carry
-            over |= s < carry
-            rest[w], carry = s | (rest[w] & ~u), over.astype(np.uint64)
+            if width > 1:
+                over = s < u
+                if carry is not None:
+                    s += carry
+                    over |= s < carry
+                carry = over.astype(np.uint64)
+            rest[w] = s | (rest[w] & ~u)
     return width * 64 - np.bitwise_count(rest).sum(0, dtype=np.int64)
 
 
+def _may_reach(codes: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """False for pairs whose heads and tails alone miss too much for a common subsequence of ``least`` of the mean length.
+
+    A symbol of the shorter text has its partner at most as many places further on as the longer text may lack partners, so
+    its first symbols are looked for in a window at the longer text's head, its last ones at the tail; what both miss adds up.
+    """
+    short, long = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
+    need = np.ceil(least * (size[a] + size[b]) / 2 - 1e-9).astype(np.int64)
+    window = 64 * max(1, round(float(size[a].mean()) / 170))
+    first = min(window - int((size[long] - need).max()), int(size[short].min()) // 2)
+    if first < 16 or codes.shape[1] < window:
+        return np.ones(len(a), bool)
+    ends = size[:, None] - 1 - np.arange(window)
+    tails = np.where(ends >= 0, np.take_along_axis(codes, np.maximum(ends, 0), 1), 0)
+    miss = first - _lcs_of_pairs(codes[:, :window], codes[:, :first], long, short)
+    keep = miss <= size[short] - need
+    at = np.flatnonzero(keep)
+    keep[at] = miss[at] + first - _lcs_of_pairs(tails, tails[:, :first], long[at], short[at]) <= (size[short] - need)[at]
+    return keep
+
+
 def ratio_candidates(texts: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b), a < b, of texts whose common subsequence lets difflib's ratio reach ``least``; none is missing.
 
     texts: (k string, text string), distinct k, no empty text. Texts are put in classes by the logarithm of their
     length, so that pairs lie in one class or two next to each other; classes are cut into blocks by hash, and every
-    pair of blocks is one task, which compares counts of letters and then the common subsequence of what is left.
+    pair of blocks is compared on its own: counts of letters, then what heads and tails miss, then the common
+    subsequence of what is left. Block pairs are spread by their number, as few rows hold much work.
     """
     widest = math.log((2 - least) / least) + 1e-9  # of the longer to the shorter length
     t = texts.withColumn("c", F.floor(F.log(F.length("text")) / widest).cast("int"))
@@ -147,25 +177,30 @@ def ratio_candidates(texts: DataFrame, least: float) -> DataFrame:
         left, right = (np.arange(len(k)),) * 2 if one else (np.flatnonzero(~side), np.flatnonzero(side))
         found = [(np.zeros(0, np.int64),) * 2]
         for x in range(0, len(left), 64):
-            i = left[x : x + 64]
-            far = np.zeros((len(i), len(right)), np.uint16)
+            i, j = left[x : x + 64], right[x:] if one else right
+            far = np.zeros((len(i), len(j)), np.uint16)
             for w in range(letters.shape[1]):
-                far += np.bitwise_count(letters[i, None, w] ^ letters[None, right, w])
-            p, q = np.nonzero(far <= np.floor((1 - least) * (size[i][:, None] + size[right]) + 1e-9))
-            p, q = i[p], right[q]
+                far += np.bitwise_count(letters[i, None, w] ^ letters[None, j, w])
+            p, q = np.nonzero(far <= np.floor((1 - least) * (size[i][:, None] + size[j]) + 1e-9))
+            p, q = i[p], j[q]
             keep = np.bitwise_count(twos[p] ^ twos[q]).sum(1, dtype=np.int64) <= 3 * np.floor((1 - least) * (size[p] + size[q]) + 1e-9)
             keep &= (p < q) if one else (p != q)
             found.append((p[keep], q[keep]))
         p, q = (np.concatenate(z) for z in zip(*found))
-        out = []
+        order = np.argsort(np.abs(size[p] - size[q]), kind="stable")  # pairs with a like window
+        p, q, out = p[order], q[order], []
         for x in range(0, len(p), 8192):
             u, v = p[x : x + 8192], q[x : x + 8192]
-            near = 2.0 * _lcs_of_pairs(codes, size, u, v) / (size[u] + size[v]) >= least
+            may = _may_reach(codes, size, u, v, least)
+            u, v = u[may], v[may]
+            near = 2.0 * _lcs_of_pairs(codes, codes, u, v) / (size[u] + size[v]) >= least
             out += [(k[y], k[z]) for y, z in zip(np.minimum(u, v)[near].tolist(), np.maximum(u, v)[near].tolist())]
         return pd.DataFrame(out, columns=["a", "b"])
 
     rows = t.select("k", "text", "c", "h", F.explode(cells).alias("cell")).select("k", "text", "c", "h", F.col("cell.c").alias("cc"), "cell.x", "cell.d", "cell.y")
-    return rows.groupBy("cc", "x", "d", "y").applyInPandas(join, "a string, b string")
+    pairs = sum(m * (m + 1) // 2 + m * blocks.get(c + 1, 0) for c, m in blocks.items())
+    parts = max(12, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(pairs, 2000))
+    return rows.repartition(parts, "cc", "x", "d", "y").groupBy("cc", "x", "d", "y").applyInPandas(join, "a string, b string")
 
 
 def merge_overlaps(chunks: DataFrame, most: int = 9000) -> DataFrame:

@@ -250,15 +250,19 @@ def _question_pairs(texts):
     w = cut(texts.select("k", "text", F.transform(X.content_tokens(F.col("text"), X.GROUPING_STOPWORDS), lambda t: F.xxhash64(t)).alias("t")))
     many = w.filter(F.size("t") >= 4)
     df = many.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    # 128 bits of which every token turns one, so sets differ in no fewer tokens than bits.
+    turned = lambda half: F.aggregate("t", F.lit(0).cast("long"), lambda x, w: F.when(F.shiftright(w, 6).bitwiseAND(1) == half, x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int")))).otherwise(x))
     # Prefixes of the rarest tokens: alike sets share one of them.
-    toks = many.select("k", F.size("t").alias("m"), F.explode("t").alias("w")).join(df, "w")
+    toks = many.select("k", F.size("t").alias("m"), turned(0).alias("s"), turned(1).alias("z"), F.explode("t").alias("w")).join(df, "w")
     rank = F.row_number().over(W.partitionBy("k").orderBy("n", "w"))
-    pre = toks.withColumn("r", rank).filter(F.col("r") <= F.col("m") - F.ceil(0.8 * F.col("m")) + 1).select("k", "w", "m", "r")
-    ends = lambda x: [F.col("k").alias(x), "w", F.col("m").alias(f"m{x}"), F.col("r").alias(f"r{x}")]
-    # Tokens before, at and behind the place where two sets meet must still hold 4/9 of the sizes' sum.
-    reach = 1 + F.least(F.col("ma") - F.col("ra"), F.col("mb") - F.col("rb"))
-    met = pre.select(*ends("a")).join(pre.select(*ends("b")), "w").filter("a < b").withColumn("reach", reach + F.least("ra", "rb") - 1)
-    alike = met.filter(F.col("reach") >= F.col("ma").cast("double") * 0.8 / 1.8 + F.col("mb") * 0.8 / 1.8 - 1e-9).select("a", "b").distinct()
+    pre = cut(toks.withColumn("r", rank).filter(F.col("r") <= F.col("m") - F.ceil(0.8 * F.col("m")) + 1).select("k", "w", "m", "r", "s", "z"))
+    ends = lambda x: [F.col("k").alias(x), "w", *(F.col(c).alias(f"{c}{x}") for c in "mrsz")]
+    # Tokens before, at and behind the place where two sets meet must still hold 4/9 of the sizes' sum, and the rest is all that may differ.
+    reach = F.least(F.col("ma") - F.col("ra"), F.col("mb") - F.col("rb")) + F.least("ra", "rb")
+    differ = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) + F.bit_count(F.col("za").bitwiseXOR(F.col("zb")))
+    both = F.col("ma") + F.col("mb")
+    met = pre.select(*ends("a")).join(pre.select(*ends("b")), "w").filter("a < b").filter(reach >= both * 0.8 / 1.8 - 1e-9).filter(differ <= both / 9 + 1e-9)
+    alike = met.select("a", "b").distinct()
     near = ratio_candidates(w.filter("text != ''").select("k", "text"), 0.9)
     c = alike.withColumn("near", F.lit(False)).union(near.withColumn("near", F.lit(True))).groupBy("a", "b").agg(F.max("near").alias("near"))
     x = c.join(w.select(F.col("k").alias("a"), F.col("text").alias("qa"), F.col("t").alias("ta")), "a").join(w.select(F.col("k").alias("b"), F.col("text").alias("qb"), F.col("t").alias("tb")), "b")

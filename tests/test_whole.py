@@ -76,3 +76,37 @@ def test_question_families_of_all_runs_by_words_and_by_sequence(spark, data, tmp
     for r in catalog.QUERIES["j07_question_families"](spark, str(tmp_path)).collect():
         found.setdefault(r["family"], set()).add(r["question"])
     assert found == {min(x): x for x in families.values()}
+
+
+def test_the_ratio_is_computed_once_and_behind_the_filters(spark, data):
+    plan = catalog.QUERIES["j07_question_pairs"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert "array_intersect" in plan.split("ArrowEvalPython")[1]
+
+
+def test_heads_and_tails_rule_out_no_pair_that_reaches_the_ratio():
+    import random
+
+    import numpy as np
+
+    rng, letters = random.Random(5), "abcdefgh 12"
+    texts = []
+    for n in (40, 90, 165, 310):
+        for _ in range(12):
+            t = [rng.choice(letters) for _ in range(n + rng.randint(0, 9))]
+            texts.append("".join(t))
+            for share in (0.02, 0.05, 0.1):  # at one place or all over
+                u = list(t)
+                k = rng.randrange(len(u))
+                del u[k : k + int(share * n)]
+                texts.append("".join(u))
+                texts.append("".join(c if rng.random() > share else c + rng.choice(letters) for c in t))
+    codes, size = sequences._codes(texts)
+    for own in (np.flatnonzero((size > lo) & (size < hi)) for lo, hi in ((30, 60), (70, 110), (130, 200), (250, 400))):
+        a, b = (x.ravel() for x in np.meshgrid(own, own))
+        a, b = a[a < b], b[a < b]
+        may = sequences._may_reach(codes, size, a, b, 0.9)
+        lcs = np.array([sequences.lcs_length(list(texts[i]), list(texts[j])) for i, j in zip(a, b)])
+        assert (sequences._lcs_of_pairs(codes, codes, a, b) == lcs).all()
+        assert may[2 * lcs >= 0.9 * (size[a] + size[b])].all()
+        assert not may.all() or size[own].min() < 60
