@@ -136,13 +136,15 @@ def context_budget(df: DataFrame, group: str, order: str, most: int, block: int
 
 
 def extractive_sentences(df: DataFrame, keys: list[str], top: int) -> DataFrame:
-    """(keys, sentence, score): sentences by their terms' sentence frequency and a bonus for early ones."""
+    """(keys, sentence, score): sentences by their terms' sentence frequency and a bonus for early ones; rows with a null key drop out.
+
+    Frequencies are counted on the tasks that hold the keys' rows: no join, so none that could become a broadcast through the driver.
+    """
     parts = F.split("text", r"(?<=[.!?])\s+")
-    s = df.select(*keys, F.posexplode(parts).alias("p", "sent")).withColumn("i", F.col("p") + 1)
+    s = df.dropna(subset=keys).select(*keys, F.posexplode(parts).alias("p", "sent")).withColumn("i", F.col("p") + 1)
     s = s.withColumn("w", F.array_distinct(F.filter(X.tokens(F.col("sent")), lambda w: F.length(w) > 2))).filter(F.size("w") >= 5)
     t = s.select(*keys, "i", F.explode("w").alias("t"))
-    df_ = t.groupBy(*keys, "t").agg(F.count("*").alias("n"))
-    sc = t.join(df_, [*keys, "t"]).groupBy(*keys, "i").agg(F.avg("n").alias("a"))
+    sc = t.withColumn("n", F.count("*").over(W.partitionBy(*keys, "t"))).groupBy(*keys, "i").agg(F.avg("n").alias("a"))
     sc = sc.withColumn("score", F.round(F.col("a") * 0.8 + 0.2 / (1.0 + (F.col("i") - 1) * 0.35), 6))
     r = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "i"))
     return sc.withColumn("r", r).filter(F.col("r") <= top).select(*keys, F.col("i").cast("long").alias("sentence"), "score")

@@ -34,3 +34,12 @@ def test_chunks_in_any_characters_have_windows(spark, tmp_path):
             p = w[i : i + 64]
             want.add(("s", k, i // 48, len(p), hashlib.md5(" ".join(p).encode()).hexdigest()))
     assert {tuple(r) for r in catalog.QUERIES["w06_word_windows"](spark, str(tmp_path)).collect()} == want
+
+
+def test_summaries_need_no_join(spark, tmp_path):
+    text = "Alpha beta gamma delta epsilon. Alpha beta gamma delta omega. Tiny one. Other words stand here alone today."
+    rows = [("s", 1, text), ("s", None, text), (None, 2, text), ("s", 3, None)]
+    spark.createDataFrame(rows, "source string, chunk_id int, text string").write.parquet(f"{tmp_path}/document_chunks.parquet")
+    got = catalog.QUERIES["w09_extractive_summary"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {("s", 1, 1, 1.64), ("s", 1, 2, round(0.8 * 1.8 + 0.2 / 1.35, 6))}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
