@@ -3,9 +3,8 @@
 Lexicon and pattern voters vote on every sentence that holds a voter's word, after disguises are
 undone. A generative label model per kind estimates, from the vote patterns of all voted sentences,
 each voter's accuracy and which voters hang together. A linear classifier over the votes and the
-hashed words of a sentence is trained on the model's posteriors for a bounded sample; it scores the
-sentences, those with a word that it has learned included, and a document's score is that of its
-worst sentence.
+hashed words of a sentence is trained on the model's posteriors for a bounded sample; it scores all
+sentences, with votes or without, and a document's score is that of its worst sentence.
 """
 
 from __future__ import annotations
@@ -31,8 +30,7 @@ KINDS = ("abusive", "hateful", "sexual")
 CUTOFF = {"abusive": 0.4, "hateful": 0.7, "sexual": 0.5}
 #: Bound of the classifier's sample: voted sentences in hash order, and documents whose other sentences are its background.
 TRAIN_SENTENCES, TRAIN_DOCUMENTS = 12_000, 1_500
-#: Cells of the hashed words, and the logit from which a word is searched for like a lexicon's, unless over this share of the
-#: background's sentences has it: everyday words alone are no reason to score a sentence.
+#: Cells of the hashed words, and the logit from which a word counts as learned, unless over this share of the background's sentences has it.
 CELLS, LEARNED, EVERYDAY = 1 << 14, 0.7, 0.0005
 #: Weight of a word's feature against a vote's: less, so that a few everyday words can't make up for the lack of votes.
 WORD_WEIGHT = 0.35
@@ -260,7 +258,7 @@ class SentenceClassifier:
         return self
 
     def learned(self, sentences: list[str], background: list[str] = ()) -> tuple[str, ...]:
-        """Words of the sample that speak for a kind by LEARNED or more and are rare in the background: sentences with them are scored too."""
+        """Words of the sample that speak for a kind by LEARNED or more and are rare in the background."""
         common = Counter(w for s in background for w in set(_WORD.findall(s)))
         words = {w for s in sentences for w in _WORD.findall(s) if len(w) > 3 and common[w] <= EVERYDAY * len(background)}
         return tuple(sorted(w for w in words if max(self.w[k][zlib.crc32(w.encode()) % CELLS] for k in KINDS) * WORD_WEIGHT >= LEARNED))
@@ -276,8 +274,37 @@ class SentenceClassifier:
         return out
 
 
-def train(voted: DataFrame, docs: DataFrame) -> tuple[SentenceClassifier, tuple[str, ...]]:
-    """The classifier and its learned words. voted: (code, sentence) of all voted sentences; docs: (doc_id, text).
+def document_scores(texts: list[str], model: SentenceClassifier) -> np.ndarray:
+    """Highest score of any sentence of each text, by kind; every sentence is scored, voters are asked where a word of theirs stands."""
+    sentences, doc, asked = [], [], []
+    for k, t in enumerate(texts):
+        p = plain(t)
+        own = _SPLIT.split(p)
+        hit = _hit(p)
+        sentences += own
+        doc += [k] * len(own)
+        asked += [hit and _hit(s) for s in own]
+    out = np.zeros((len(texts), len(KINDS)))
+    if not sentences:
+        return out
+    words = [_WORD.findall(s) for s in sentences]
+    cell = {w: zlib.crc32(w.encode()) % CELLS for w in set().union(*words)}
+    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    pairs = np.unique(row * CELLS + np.array([cell[w] for ws in words for w in ws], np.int64))
+    row, col = pairs // CELLS, pairs % CELLS
+    votes = np.zeros((len(sentences), len(NAMES)))
+    for k in np.flatnonzero(asked):
+        votes[k] = sentence_votes(sentences[k])
+    doc, full = np.array(doc), np.array([s != "" and not s.isspace() for s in sentences])
+    for c, kind in enumerate(KINDS):
+        w = np.array(model.w[kind])
+        z = w[-1] + WORD_WEIGHT * np.bincount(row, w[col], minlength=len(sentences)) + votes @ w[CELLS:-1] - ALONE * (~(votes[:, _DEFINING[kind]] > 0).any(1))
+        np.maximum.at(out[:, c], doc[full], (1 / (1 + np.exp(-np.clip(z, -30, 30))))[full])
+    return out
+
+
+def train(voted: DataFrame, docs: DataFrame) -> SentenceClassifier:
+    """The classifier. voted: (code, sentence) of all voted sentences; docs: (doc_id, text).
 
     The label models read the counts of all vote patterns (at most 2 ** voters, a few hundred in
     practice); the classifier reads at most TRAIN_SENTENCES voted sentences and the first 4,000
@@ -293,12 +320,11 @@ def train(voted: DataFrame, docs: DataFrame) -> tuple[SentenceClassifier, tuple[
     sentences = [s for s, _ in sample] + plain_ones
     votes = [[c >> k & 1 for k in range(len(NAMES))] for _, c in sample] + [[0] * len(NAMES)] * len(plain_ones)
     y = {k: np.array([soft[k][at[c]] for _, c in sample] + [0.0] * len(plain_ones)) for k in KINDS}
-    model = SentenceClassifier().fit(sentences, votes, y)
-    return model, model.learned([s for s, _ in sample], plain_ones)
+    return SentenceClassifier().fit(sentences, votes, y)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, score) with the highest sentence score of each kind, for documents with a word of a voter.
+    """(doc_id, kind, score) with the highest score of any sentence, for each kind with one of 0.00005 or more.
 
     docs: (doc_id, text). Null and empty texts have no row; repeated rows count once; very long
     texts are read as a whole.
@@ -310,20 +336,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["code", "sentence"]).astype({"code": "int64"})
 
     texts = docs.filter(F.length("text") > 0).select("doc_id", "text")
-    model, learned = train(cut(texts.select("text").mapInPandas(vote, "code long, sentence string")), texts)
-    known = docs.sparkSession.sparkContext.broadcast((model, trigger(learned)))  # CELLS weights and the words of a bounded sample
+    model = train(cut(texts.select("text").mapInPandas(vote, "code long, sentence string")), texts)
+    known = docs.sparkSession.sparkContext.broadcast(model)  # CELLS weights
 
     def score(frames):
-        own, auto = known.value
         for pdf in frames:
-            rows = []
-            for d, t in zip(pdf["doc_id"], pdf["text"]):
-                best = dict.fromkeys(KINDS, 0.0)
-                for s in document_sentences(t, auto):
-                    for k, x in own.score(s, sentence_votes(s)).items():
-                        best[k] = max(best[k], x)
-                rows += [(d, k, x) for k, x in best.items() if x >= 1e-4]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "score"]).astype({"doc_id": "int64", "score": "float64"})
+            for k in range(0, len(pdf), 256):
+                ids, x = pdf["doc_id"].to_numpy()[k : k + 256], document_scores(pdf["text"].tolist()[k : k + 256], known.value)
+                d, c = np.nonzero(x >= 5e-5)  # of which four digits show anything
+                yield pd.DataFrame({"doc_id": ids[d], "kind": np.array(KINDS, object)[c], "score": x[d, c]})
 
     return texts.mapInPandas(score, "doc_id long, kind string, score double").groupBy("doc_id", "kind").agg(F.max("score").alias("score"))
 
@@ -355,7 +376,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, score, abusive, hateful, sexual) of every document; 0 where nothing was voted for."""
+    """(doc_id, score, abusive, hateful, sexual) of every document; 0 for null and empty texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
     s = score_documents(docs).groupBy("doc_id").pivot("kind", list(KINDS)).agg(F.max("score"))
     each = [F.round(F.coalesce(F.col(k), F.lit(0.0)), 4).alias(k) for k in KINDS]

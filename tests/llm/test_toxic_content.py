@@ -83,3 +83,16 @@ def test_cutoffs_hold_against_labels(spark):
     assert all(f >= 0.88 for _, f in got.values()), got
     at = {k: max(abs(c - X.CUTOFF[k]), 0) for k, (c, _) in got.items()}
     assert max(at.values()) <= 0.05, got
+
+
+def test_every_sentence_is_scored_as_by_the_classifier(spark):
+    model = X.SentenceClassifier()
+    rng = np.random.default_rng(4)
+    model.w = {k: rng.normal(0, 0.8, X.CELLS + len(X.NAMES) + 1).tolist() for k in X.KINDS}
+    texts = ["The meadow is green. Rain falls on it! Who asked?", "You are a pathetic idiot. The meadow is green.", "...", "meadow"]
+    got = X.document_scores(texts, model)
+    for t, row in zip(texts, got):
+        each = [model.score(s, X.sentence_votes(s)) for s in X._SPLIT.split(X.plain(t)) if s.strip()]
+        assert np.allclose(row, [max(e[k] for e in each) for k in X.KINDS])
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None, ""])], "doc_id long, text string")
+    assert {r["doc_id"] for r in X.score_documents(docs).collect()} == {0, 1, 2, 3}  # also without any voter's word
