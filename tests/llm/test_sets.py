@@ -136,3 +136,14 @@ def test_splits_never_part_a_group(spark):
     assert all(len({r["split"] for r in got if r["group_id"] == x}) == 1 for x in {r["group_id"] for r in got})
     n = sum(r["split"] == "train" for r in got)
     assert 680 <= n <= 720
+
+
+def test_words_of_a_text_are_found_once_and_short_texts_drop_out(spark):
+    from spindrift.llm.near_duplicates import text_sets
+
+    rows = [("q", "a", "one two"), ("p", "b", "one two"), ("p", "c", "One, two THREE three"), ("q", "d", " ?"), ("q", None, "one"), ("q", "e", None)]
+    df = spark.createDataFrame(rows, "field string, key string, text string").repartition(2)
+    got = text_sets(df, F.when(F.col("field") == "q", 1).otherwise(3))
+    assert {(r["field"], r["key"], len(r["toks"])) for r in got.collect()} == {("q", "a", 2), ("p", "c", 3)}
+    assert {r["key"] for r in text_sets(df).collect()} == {"a", "b", "c"}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
