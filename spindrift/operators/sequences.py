@@ -64,10 +64,10 @@ def sequence_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("ratio", f(F.col(a), F.col(b)))
 
 
-#: Rows of a block of texts; two blocks are compared at once.
-TEXT_BLOCK = 4096
-#: Symbols of normalized texts (letters, blank, digits as one) and counts of each up to which they tell texts apart.
-_SYMBOLS, _COUNTED = 28, 16
+#: Rows of a block of texts; two blocks meet in one task, in chunks of rows whose cost tables have TABLE bytes or so.
+TEXT_BLOCK, CHUNK, TABLE = 8192, 4096, 1 << 24
+#: Symbols of normalized texts (0 for none, letters, blank, digits, any other); places that a piece of a word has at most.
+_SYMBOLS, _PIECE = 39, 10
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,20 +80,90 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def _letter_bits(codes: np.ndarray) -> np.ndarray:
-    """Counts of symbols in unary, so differing bits never exceed the characters that differ."""
-    n = np.stack([((codes == c) if c < _SYMBOLS else (codes >= c)).sum(1) for c in range(1, _SYMBOLS + 1)], 1)
-    return np.packbits(np.arange(_COUNTED) < n[:, :, None], axis=None).reshape(len(codes), -1).view(np.uint64)
+def _padded(codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Codes with a blank before and behind every text; its places 0 to size lie between two symbols each."""
+    out = np.zeros((len(codes), codes.shape[1] + 2 + _PIECE), np.uint8)
+    out[:, 1 : codes.shape[1] + 1] = codes
+    out[:, 0] = out[np.arange(len(codes)), size + 1] = 27
+    return out
 
 
-def _pair_bits(codes: np.ndarray) -> np.ndarray:
-    """A bit turned by every two neighbours; a character more or less turns three at most."""
-    cell = (np.arange(39 * 39, dtype=np.int64) * 40503 % 65537 % 2048)[codes[:, :-1].astype(np.int64) * 39 + codes[:, 1:]]
-    cell[codes[:, 1:] == 0] = 2048  # behind the end
-    on, rows = np.zeros((len(codes), 2056), np.uint8), np.arange(len(codes))
-    for k in range(cell.shape[1]):
-        on[rows, cell[:, k]] ^= 1
-    return np.packbits(on[:, :2048], axis=None).reshape(len(codes), -1).view(np.uint64)
+def _pieces(codes: np.ndarray, size: np.ndarray, centre: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every place's word, cut into pieces, as (table, kind of each piece, first piece of each text).
+
+    table: the bucket and two neighbours at each place of every kind, -1 behind its end. A kind is a piece's symbols,
+    all of them, with the bucket of its place, counted from the text's middle in half places.
+    """
+    pad, place = _padded(codes, size), np.arange(codes.shape[1] + 1)
+    word = np.maximum.accumulate(np.where(pad[:, : len(place)] == 27, place, 0), 1)
+    row, at = np.nonzero((place <= size[:, None]) & ((place - word) % _PIECE == 0))
+    many = np.where(np.append(row[1:], -1) == row, np.append(at[1:], 0), size[row] + 1) - at
+    flat, base, bucket = pad.reshape(-1), row * pad.shape[1] + at, (2 * at - size[row] + centre) // width
+    key = bucket.astype(np.uint64)
+    for o in range(_PIECE + 1):
+        key = key * np.uint64(_SYMBOLS) + np.where(o <= many, flat[base + o], 0).astype(np.uint64)
+    _, first, kind = np.unique(key, return_index=True, return_inverse=True)
+    base, many, bucket = base[first], many[first], bucket[first]
+    two = [(bucket * _SYMBOLS + flat[base + o]) * _SYMBOLS + flat[base + o + 1] for o in range(_PIECE)]
+    return np.stack([np.where(o < many, t, -1) for o, t in enumerate(two)], 1), kind, np.searchsorted(row, np.arange(len(codes) + 1))
+
+
+def _present(codes: np.ndarray, size: np.ndarray, centre: int, width: int, least: float, rows: np.ndarray) -> np.ndarray:
+    """1 where a text (column) has two neighbours of a bucket (row) at a place that a like text's may have gone to; the last row is all 1.
+
+    Counted from the middles, neighbours that stay move by half the characters that differ, at most. rows: the row of every
+    bucket and two neighbours, the last but one for those that nobody looks for.
+    """
+    pad, place = _padded(codes, size), np.arange(codes.shape[1] + 1)
+    two = pad[:, : len(place)].astype(np.int64) * _SYMBOLS + pad[:, 1 : len(place) + 1]
+    at = 2 * place - size[:, None] + centre
+    reach = np.floor(size * 2 * (1 - least) / least + 1e-9).astype(np.int64)[:, None]
+    low = np.maximum((at - reach - 2 * (_PIECE - 1)) // width, 0)
+    high = np.where(place <= size[:, None], np.minimum((at + reach) // width, 2 * centre // width), -1)
+    out, column = np.zeros((rows.max() + 2, len(codes)), np.uint8), np.broadcast_to(np.arange(len(codes))[:, None], two.shape)
+    for o in range(int((high - low).max()) + 1):
+        on = low + o <= high
+        out.reshape(-1)[rows[((low + o) * _SYMBOLS**2 + two)[on]] * len(codes) + column[on]] = 1
+    out[-1] = 1
+    return out
+
+
+def _few_missing(codes: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, least: float):
+    """Chunks of pairs (p, q), rows of left and right, of which q has enough of p's neighbours for a common subsequence of ``least`` of the mean length.
+
+    Two neighbours are lost by a character that p alone has, one by a character that q alone has; q has all others, not
+    far from their place. What a piece of a word lacks in every row q is counted once for all rows p that have it at that
+    place. Rows come by size; where left is right, pairs come once, by its order.
+    """
+    centre = int(max(size[left].max(), size[right].max())) + 2
+    width = max(32, -(-2 * centre // 50))  # a kind's key has room for 57 buckets
+    need = np.ceil(least * np.arange(2 * centre) / 2 - 1e-9).astype(np.int64)
+    kinds = np.uint8 if centre < 255 else np.uint16
+    for x in range(0, len(left), CHUNK):
+        i = left[x : x + CHUNK]
+        table, kind, cut = _pieces(codes[i], size[i], centre, width)
+        used = np.unique(table[table >= 0])
+        rows = np.full((2 * centre // width + 1) * _SYMBOLS**2, len(used))
+        rows[used] = np.arange(len(used))
+        table = np.where(table < 0, len(used) + 1, rows[table])
+        columns = min(CHUNK, max(256, TABLE // max(table.shape[0], len(used))))
+        near = right[x:] if left is right else right
+        near = near[(size[near] >= size[i].min() * least / (2 - least) - 1e-9) & (size[near] <= size[i].max() * (2 - least) / least + 1e-9)]
+        for y in range(0, len(near), columns):
+            j = near[y : y + columns]
+            here = _present(codes[j], size[j], centre, width, least, rows)
+            lacks = np.empty((len(table), len(j)), np.uint8)
+            for z in range(0, len(table), 64):
+                lacks[z : z + 64] = _PIECE - here[table[z : z + 64]].sum(1, dtype=np.uint8)
+            most, found = {}, []
+            for p in range(len(i)):
+                if (n := int(size[i[p]])) not in most:
+                    most[n] = np.clip(2 * n + size[j] - 3 * need[n + size[j]] + 1, 0, np.iinfo(kinds).max).astype(kinds)
+                q = np.flatnonzero(lacks.take(kind[cut[p] : cut[p + 1]], 0).sum(0, dtype=kinds) < most[n])
+                q = q[q > p - y] if left is right else q
+                found.append((np.full(len(q), p), q))
+            p, q = (np.concatenate(f) for f in zip(*found))
+            yield i[p], j[q]
 
 
 def _lcs_of_pairs(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,8 +218,8 @@ def ratio_candidates(texts: DataFrame, least: float) -> DataFrame:
 
     texts: (k string, text string), distinct k, no empty text. Texts are put in classes by the logarithm of their
     length, so that pairs lie in one class or two next to each other; classes are cut into blocks by hash, and every
-    pair of blocks is compared on its own: counts of letters, then what heads and tails miss, then the common
-    subsequence of what is left. Block pairs are spread by their number, as few rows hold much work.
+    pair of blocks is compared on its own: neighbours that one text misses, then what heads and tails miss, then the
+    common subsequence of what is left. Block pairs are spread by their number, as few rows hold much work.
     """
     widest = math.log((2 - least) / least) + 1e-9  # of the longer to the shorter length
     t = texts.withColumn("c", F.floor(F.log(F.length("text")) / widest).cast("int"))
@@ -171,31 +241,32 @@ def ratio_candidates(texts: DataFrame, least: float) -> DataFrame:
         pdf = pdf.sort_values("k")
         k, text = pdf["k"].tolist(), pdf["text"].tolist()
         codes, size = _codes(text)
-        letters, twos = _letter_bits(codes), _pair_bits(codes)
         one = (pdf["cc"].iloc[0], pdf["x"].iloc[0]) == (pdf["d"].iloc[0], pdf["y"].iloc[0])
         side = ((pdf["c"] == pdf["d"]) & (pdf["h"] == pdf["y"])).to_numpy()
-        left, right = (np.arange(len(k)),) * 2 if one else (np.flatnonzero(~side), np.flatnonzero(side))
-        found = [(np.zeros(0, np.int64),) * 2]
-        for x in range(0, len(left), 64):
-            i, j = left[x : x + 64], right[x:] if one else right
-            far = np.zeros((len(i), len(j)), np.uint16)
-            for w in range(letters.shape[1]):
-                far += np.bitwise_count(letters[i, None, w] ^ letters[None, j, w])
-            p, q = np.nonzero(far <= np.floor((1 - least) * (size[i][:, None] + size[j]) + 1e-9))
-            p, q = i[p], j[q]
-            keep = np.bitwise_count(twos[p] ^ twos[q]).sum(1, dtype=np.int64) <= 3 * np.floor((1 - least) * (size[p] + size[q]) + 1e-9)
-            keep &= (p < q) if one else (p != q)
-            found.append((p[keep], q[keep]))
-        p, q = (np.concatenate(z) for z in zip(*found))
-        order = np.argsort(np.abs(size[p] - size[q]), kind="stable")  # pairs with a like window
-        p, q, out = p[order], q[order], []
-        for x in range(0, len(p), 8192):
-            u, v = p[x : x + 8192], q[x : x + 8192]
-            may = _may_reach(codes, size, u, v, least)
-            u, v = u[may], v[may]
-            near = 2.0 * _lcs_of_pairs(codes, codes, u, v) / (size[u] + size[v]) >= least
-            out += [(k[y], k[z]) for y, z in zip(np.minimum(u, v)[near].tolist(), np.maximum(u, v)[near].tolist())]
-        return pd.DataFrame(out, columns=["a", "b"])
+        order = np.argsort(size, kind="stable")  # chunks of like length
+        left, right = (order, order) if one else (order[~side[order]], order[side[order]])
+        none, out, may = np.zeros(0, np.int64), [], []
+
+        def settle(u, v):
+            for x in range(0, len(u), 8192):
+                p, q = u[x : x + 8192], v[x : x + 8192]
+                near = 2.0 * _lcs_of_pairs(codes, codes, p, q) / (size[p] + size[q]) >= least
+                out.append((np.minimum(p, q)[near], np.maximum(p, q)[near]))
+
+        for p, q in _few_missing(codes, size, left, right, least) if len(left) and len(right) else ():
+            by = np.argsort(np.abs(size[p] - size[q]), kind="stable")  # pairs with a like window
+            p, q = p[by], q[by]
+            for x in range(0, len(p), 8192):
+                u, v = p[x : x + 8192], q[x : x + 8192]
+                reach = _may_reach(codes, size, u, v, least)
+                may.append((u[reach], v[reach]))
+            if sum(len(u) for u, _ in may) >= 8192:
+                settle(*(np.concatenate(z) for z in zip(*may)))
+                may = []
+        settle(*(np.concatenate([none, *z]) for z in zip((none, none), *may)))
+        u, v = (np.concatenate([none, *z]) for z in zip((none, none), *out))
+        k = np.array(k, object)
+        return pd.DataFrame({"a": k[u], "b": k[v]})
 
     rows = t.select("k", "text", "c", "h", F.explode(cells).alias("cell")).select("k", "text", "c", "h", F.col("cell.c").alias("cc"), "cell.x", "cell.d", "cell.y")
     pairs = sum(m * (m + 1) // 2 + m * blocks.get(c + 1, 0) for c, m in blocks.items())

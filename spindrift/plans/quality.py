@@ -252,10 +252,16 @@ def _question_pairs(texts):
     df = many.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     # 128 bits of which every token turns one, so sets differ in no fewer tokens than bits.
     turned = lambda half: F.aggregate("t", F.lit(0).cast("long"), lambda x, w: F.when(F.shiftright(w, 6).bitwiseAND(1) == half, x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int")))).otherwise(x))
-    # Prefixes of the rarest tokens: alike sets share one of them.
+    # Prefixes of the rarest tokens: alike sets share two of them, and one of a prefix less by one. Two meet in far fewer sets; of
+    # long prefixes they would be too many. Sizes differ by a fifth at most, so up to 40 or above 32 both sets have the same kind of key.
     toks = many.select("k", F.size("t").alias("m"), turned(0).alias("s"), turned(1).alias("z"), F.explode("t").alias("w")).join(df, "w")
-    rank = F.row_number().over(W.partitionBy("k").orderBy("n", "w"))
-    pre = cut(toks.withColumn("r", rank).filter(F.col("r") <= F.col("m") - F.ceil(0.8 * F.col("m")) + 1).select("k", "w", "m", "r", "s", "z"))
+    order = W.partitionBy("k").orderBy("n", "w")
+    own = F.col("m") - F.ceil(0.8 * F.col("m") - 1e-9) + 1
+    pre = toks.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= own + 1).withColumn("before", F.collect_list("w").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    twos = F.when(F.col("m") <= 40, F.transform("before", lambda x: F.xxhash64(x, F.col("w"))))
+    ones = F.when((F.col("m") > 32) & (F.col("r") <= own), F.array("w"))
+    none = F.array().cast("array<long>")
+    pre = cut(pre.select("k", F.explode(F.concat(F.coalesce(twos, none), F.coalesce(ones, none))).alias("w"), "m", "r", "s", "z"))
     ends = lambda x: [F.col("k").alias(x), "w", *(F.col(c).alias(f"{c}{x}") for c in "mrsz")]
     # Tokens before, at and behind the place where two sets meet must still hold 4/9 of the sizes' sum, and the rest is all that may differ.
     reach = F.least(F.col("ma") - F.col("ra"), F.col("mb") - F.col("rb")) + F.least("ra", "rb")

@@ -110,3 +110,60 @@ def test_heads_and_tails_rule_out_no_pair_that_reaches_the_ratio():
         assert (sequences._lcs_of_pairs(codes, codes, a, b) == lcs).all()
         assert may[2 * lcs >= 0.9 * (size[a] + size[b])].all()
         assert not may.all() or size[own].min() < 60
+
+
+def test_missing_neighbours_leave_few_pairs_and_lose_none_that_reaches_the_ratio(monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng, letters = random.Random(7), "abcdefghijklmnopqrstuvwxyz 0123456789"
+    slots = [["".join(rng.choices(letters[:26], k=rng.randint(5, 12))) for _ in range(20)] for _ in range(10)]
+    form = "show how a {} {} could be run with the {} {} of a {} {} next to a {} {} and one {} {}"
+    texts = {form.format(*(rng.choice(s) for s in slots)) for _ in range(110)}
+    texts |= {"x", "12 apples", "12 apple", "x" * 300, "x" * 290 + "y" * 10, "y " * 150 + "z", "z" + " y" * 150, *("".join(rng.choices(letters[:5], k=n)) for n in (2, 3, 20, 22))}
+    for t in sorted(texts):
+        for share in (0.02, 0.05, 0.08):  # at one place, all over, from head to tail
+            k, n = rng.randrange(len(t)), max(1, int(share * len(t)))
+            texts |= {t[:k] + t[k + n :], "".join(c if rng.random() > share else rng.choice(letters) + c for c in t), t[n:] + " " + t[:n]}
+    texts = sorted({" ".join(t.split()) for t in texts} - {""})
+    codes, size = sequences._codes(texts)
+    order = np.argsort(size, kind="stable")
+    a, b = np.triu_indices(len(texts), 1)
+    like = np.abs(size[a] - size[b]) <= 0.1 * (size[a] + size[b])
+    a, b = a[like], b[like]
+    near = np.concatenate([2 * sequences._lcs_of_pairs(codes, codes, p, q) >= 0.9 * (size[p] + size[q]) - 1e-9 for p, q in zip(np.array_split(a, 200), np.array_split(b, 200))])
+    want = set(zip(a[near].tolist(), b[near].tolist()))
+    assert len(want) > 600
+    for chunk, table in ((4096, 1 << 24), (700, 1)):
+        monkeypatch.setattr(sequences, "CHUNK", chunk)
+        monkeypatch.setattr(sequences, "TABLE", table)
+        got = [(p, q) for u, v in sequences._few_missing(codes, size, order, order, 0.9) for p, q in zip(u.tolist(), v.tolist())]
+        found = {(min(x), max(x)) for x in got}
+        assert len(found) == len(got) and want <= found
+        assert len(found - want) < 0.01 * len(a)
+        even, odd = order[order % 2 == 0], order[order % 2 == 1]
+        across = {(p, q) for u, v in sequences._few_missing(codes, size, even, odd, 0.9) for p, q in zip(u.tolist(), v.tolist())}
+        assert {(p, q) if p % 2 == 0 else (q, p) for p, q in want if p % 2 != q % 2} <= across
+
+
+def test_families_by_words_of_short_and_of_long_sets(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("bcdfghjklm", k=6)) for _ in range(70)]
+    questions = set()
+    for n in (4, 5, 9, 15, 26, 32, 33, 36, 40, 41, 45, 50):  # keys change from two words to one between 32 and 41
+        for _ in range(3):
+            base = rng.sample(vocabulary, n)
+            for part in range(5):
+                rest = [w for w in vocabulary if w not in base]
+                gone, new = rng.randint(0, n // 9), rng.randint(0, n // 9 + 1)
+                own = base[gone:] + rng.sample(rest, new)
+                questions.add(" ".join(rng.sample(own, len(own))))
+    spark.createDataFrame([(q,) for q in sorted(questions)], "source_question string").write.parquet(f"{tmp_path}/predictions.parquet")
+    norms = sorted(questions, key=key)
+    want = {(key(norms[i]), key(norms[j])) for i, j in question_pairs(norms)}
+    sizes = {key(n): len(n.split()) for n in norms}
+    assert any(sizes[a] <= 32 for a, _ in want) and any(min(sizes[a], sizes[b]) <= 40 < max(sizes[a], sizes[b]) for a, b in want)
+    assert {(r["a"], r["b"]) for r in catalog.QUERIES["j07_question_pairs"](spark, str(tmp_path)).collect()} == want
